@@ -1,0 +1 @@
+"""Batch only: the source tables are snapshots, so no streaming operators exist."""
