@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkbook.book import Book
 from linkbook.operators.ownership import top_level_names
+from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
 PRINCIPAL = "exposure_amount"
@@ -163,9 +164,43 @@ def shared_pairs(collateral: DataFrame) -> DataFrame:
     return _pairs(collateral).join(shared, "item", "left_semi")
 
 
-def _shared_arm(
-    pairs: DataFrame, loans: DataFrame, book: Book, measures: Sequence[str]
-) -> DataFrame:
+def _shared_links(
+    book: Book, status_mode: str, measures: Sequence[str]
+) -> tuple[DataFrame, DataFrame | None]:
+    """Loans behind shared items, written once per book: ``item, loan_id, path`` and the measures.
+
+    Also the loans' packages, or None when no loan has two shared items.
+    """
+    cache = book.__dict__.setdefault("_shared_links", {})
+    key = (status_mode, tuple(measures))
+    if key not in cache:
+        loans, _, collateral = _facts(book, status_mode)
+        secured = shared_pairs(collateral).join(
+            loans.select("loan_id", "borrower_entity_id", *measures), "loan_id"
+        )
+        placed = _with_path(secured, book, "borrower_entity_id", "path")
+        links = stage(placed.select("item", "loan_id", "path", *measures), "links")
+        packages = _packages(links)
+        cache[key] = (links, None if packages.isEmpty() else packages)
+    return cache[key]
+
+
+def _packages(links: DataFrame) -> DataFrame:
+    # Two independent 64-bit sums and a count name the item set (a 128-bit fingerprint),
+    # so a loan with very many items never collects them into one row.
+    return (
+        links.groupBy("loan_id")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64(F.lit(1), "item").cast("decimal(38,0)")).alias("a"),
+            F.sum(F.xxhash64(F.lit(2), "item").cast("decimal(38,0)")).alias("b"),
+        )
+        .filter(F.col("n") > 1)
+        .select("loan_id", F.concat_ws(":", "n", "a", "b").alias("package"))
+    )
+
+
+def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFrame:
     """Outside loans that share an item with a group loan, each loan once per head.
 
     First order: item total minus the group's own part, over the items it touches.
@@ -175,50 +210,41 @@ def _shared_arm(
     met through a package's smaller items can be touched twice, so its largest
     item is never expanded.
     """
-    borrowed = loans.select("loan_id", "borrower_entity_id", *measures)
-    secured = pairs.join(borrowed, "loan_id")
-    touch = _touches(_with_path(secured, book, "borrower_entity_id", "path"), "item", measures)
+    links, packages = _shared_links(book, status_mode, measures)
+    touch = _touches(links, "item", measures)
     totals = _totals(touch, "item", measures)
-    first = touch.join(totals, "item").select(
-        "head", *[(F.col(f"all_{m}") - F.col(f"in_{m}")).alias(m) for m in measures]
+    amounts = touch.join(totals, "item").select(
+        "head", *[(F.col(f"all_{m}") - F.col(f"in_{m}")).cast(SUM_MONEY).alias(m) for m in measures]
     )
-
-    surplus = _package_surplus(secured, borrowed, touch, totals, book, measures)
-    return first.unionByName(surplus).select(
+    if packages is not None:
+        amounts = amounts.unionByName(_package_surplus(links, packages, touch, totals, measures))
+    return amounts.select(
         "head",
         *_zeros("own_", measures),
         *_zeros("direct_", measures),
         F.lit(0).cast(SUM_MONEY).alias("guarantees_given"),
-        *[F.col(m).cast(SUM_MONEY).alias(f"shared_{m}") for m in measures],
+        *[F.col(m).alias(f"shared_{m}") for m in measures],
     )
 
 
 def _package_surplus(
-    secured: DataFrame,
-    borrowed: DataFrame,
+    links: DataFrame,
+    packages: DataFrame,
     touch: DataFrame,
     totals: DataFrame,
-    book: Book,
     measures: Sequence[str],
 ) -> DataFrame:
-    # Two independent 64-bit sums and a count name the item set (a 128-bit fingerprint),
-    # so a loan with very many items never collects them into one row.
-    packages = (
-        secured.groupBy("loan_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64(F.lit(1), "item").cast("decimal(38,0)")).alias("a"),
-            F.sum(F.xxhash64(F.lit(2), "item").cast("decimal(38,0)")).alias("b"),
-        )
-        .filter(F.col("n") > 1)
-        .select("loan_id", F.concat_ws(":", "n", "a", "b").alias("package"))
+    packed = packages.join(
+        links.groupBy("loan_id").agg(
+            F.first("path").alias("path"), *[F.first(m).alias(m) for m in measures]
+        ),
+        "loan_id",
     )
-    packed = _with_path(packages.join(borrowed, "loan_id"), book, "borrower_entity_id", "path")
     inside = _touches(packed, "package", measures)
     package_totals = _totals(inside, "package", measures).drop("heads")
 
     sized = (
-        packages.join(secured.select("loan_id", "item"), "loan_id")
+        packages.join(links.select("loan_id", "item"), "loan_id")
         .select("package", "item")
         .distinct()
         .join(totals.select("item", "heads"), "item")
@@ -264,11 +290,11 @@ def connected_parts(
     Columns: ``head``, ``guarantees_given`` and, for each measure ``m``, ``own_m``
     (loans to the head itself), ``direct_m`` (to its group) and ``shared_m``.
     """
-    loans, guarantees, collateral = _facts(book, status_mode)
+    loans, guarantees, _ = _facts(book, status_mode)
     arms = (
         _direct_arm(loans, book, measures)
         .unionByName(_guarantee_arm(guarantees, loans, book, measures, status_mode == "raw"))
-        .unionByName(_shared_arm(shared_pairs(collateral), loans, book, measures))
+        .unionByName(_shared_arm(book, status_mode, measures))
     )
     return arms.groupBy("head").agg(
         _money("guarantees_given").alias("guarantees_given"),
