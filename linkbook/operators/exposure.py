@@ -668,7 +668,11 @@ def attributed_view(book: Book) -> DataFrame:
 def top_counterparties(book: Book, k: int = 10) -> DataFrame:
     """The ``k`` largest risk owners."""
     top = attributed_vector(book).orderBy(F.desc("exposure"), F.asc("owner")).limit(k)
-    return named(top, book, "owner", "owner_name").select("owner", "owner_name", "exposure")
+    return (
+        named(top, book, "owner", "owner_name")
+        .select("owner", "owner_name", "exposure")
+        .orderBy(F.desc("exposure"), F.asc("owner"))
+    )
 
 
 def guarantee_chains(book: Book, heads: DataFrame | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def entities(customer: DataFrame, nation: DataFrame) -> DataFrame:
         _pick(F.col("c_mktsegment"), SECTOR_OF_SEGMENT).alias("sector"),
         _parent(key).alias("parent_entity_id"),
         F.lit(None).cast(MONEY18).alias("eligible_capital"),
-        F.when(_pick(key % 7, TYPE_OF_REMAINDER).isNull(), F.round(F.col("c_acctbal") * 1000, 2))
+        F.when(key % 7 > 2, F.abs(F.col("c_acctbal")).cast(MONEY18) * 1000)
         .cast(MONEY18)
         .alias("annual_revenue"),
         F.col("n_name").alias("country"),
