@@ -148,8 +148,8 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
         kind = stored.schema[column].dataType
         latest = (
             judged.filter((F.col("field") == field) & F.col("accepted"))
-            .groupBy(F.col("subject_id").cast(stored.schema[KEY[table]].dataType).alias(KEY[table]))
-            .agg(F.max_by(amount, "change_id").cast(kind).alias("_new"))
+            .groupBy(F.col("subject_id").try_cast(stored.schema[KEY[table]].dataType).alias(KEY[table]))
+            .agg(F.max_by(amount, "change_id").try_cast(kind).alias("_new"))
         )
         tables[table] = (
             stored.join(latest, KEY[table], "left")
@@ -224,7 +224,7 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
         stored = getattr(book, table)
         hit = (
             judged.filter((F.col("kind") == kind) & F.col("accepted"))
-            .select(F.col("subject_id").cast(stored.schema[KEY[table]].dataType).alias(KEY[table]))
+            .select(F.col("subject_id").try_cast(stored.schema[KEY[table]].dataType).alias(KEY[table]))
             .distinct()
             .withColumn("_off", F.lit("closed" if kind == "loan" else "inactive"))
         )
