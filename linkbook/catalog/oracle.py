@@ -200,18 +200,18 @@ points AS (
 adjust AS (
   SELECT entity_id, rating, ANY_VALUE(ead) AS ead, ANY_VALUE(tenor) AS tenor, ANY_VALUE(pd) AS pd,
     MAX(ee + half) AS peak, AVG(ee) AS epe,
-    CAST(round(SUM(CAST(0.45 AS DOUBLE) * ee * mpd * df), 2) AS DECIMAL(24,2)) AS cva,
-    CAST(round(SUM(CAST(0.45 AS DOUBLE) * half * own_mpd * df), 2) AS DECIMAL(24,2)) AS dva,
-    CAST(round(SUM(ee * CAST(0.01 AS DOUBLE) * df), 2) AS DECIMAL(24,2)) AS fva,
-    CAST(round(SUM(2.0 * half * CAST(0.01 AS DOUBLE) * df), 2) AS DECIMAL(24,2)) AS mva,
-    CAST(round(SUM(CAST(0.08 AS DOUBLE) * CAST(rw AS DOUBLE) * ee * CAST(0.1 AS DOUBLE) * df), 2) AS DECIMAL(24,2)) AS kva,
+    CAST(CAST(SUM(CAST(0.45 AS DOUBLE) * ee * mpd * df) AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS cva,
+    CAST(CAST(SUM(CAST(0.45 AS DOUBLE) * half * own_mpd * df) AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS dva,
+    CAST(CAST(SUM(ee * CAST(0.01 AS DOUBLE) * df) AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS fva,
+    CAST(CAST(SUM(2.0 * half * CAST(0.01 AS DOUBLE) * df) AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS mva,
+    CAST(CAST(SUM(CAST(0.08 AS DOUBLE) * CAST(rw AS DOUBLE) * ee * CAST(0.1 AS DOUBLE) * df) AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS kva,
     SUM(CAST(0.45 AS DOUBLE) * x * mpd * df) AS lifetime
   FROM points GROUP BY entity_id, rating),
 ecl AS (
   SELECT entity_id, rating, CASE WHEN rating = 'CCC' THEN 3 WHEN rating IN ('unrated', 'BB', 'B') THEN 2 ELSE 1 END AS stage,
     CAST(ead AS DECIMAL(24,2)) AS ead,
     CAST(ead * pd * CAST(0.45 AS DECIMAL(3,2)) AS DECIMAL(24,2)) AS ecl_12m,
-    CAST(round(lifetime, 2) AS DECIMAL(24,2)) AS ecl_lifetime,
+    CAST(CAST(lifetime AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS ecl_lifetime,
     CAST(ead * CAST(0.45 AS DECIMAL(3,2)) AS DECIMAL(24,2)) AS impaired
   FROM adjust),
 ecl_full AS (
@@ -920,11 +920,11 @@ FROM (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS stage) s LEFT JOIN ecl_full e
     )
     q["total_ecl"] = _sql(CURVE, f"SELECT {_d('SUM(recognised)')} AS total_ecl FROM ecl_full")
     q["exposure_profiles"] = _sql(
-        CURVE, f"SELECT entity_id, {_b('t')} AS t, round(ee, 2) AS ee, round(ee + half, 2) AS pfe FROM points"
+        CURVE, f"SELECT entity_id, {_b('t')} AS t, {_d('CAST(CAST(ee AS DECIMAL(28,8)) AS DECIMAL(24,4))')} AS ee, {_d('CAST(CAST(ee + half AS DECIMAL(28,8)) AS DECIMAL(24,4))')} AS pfe FROM points"
     )
     q["counterparty_xva"] = _sql(
         CURVE,
-        f"""SELECT entity_id, rating, {_c('ead')} AS ead, {_b('tenor')} AS maturity, round(peak, 2) AS peak_pfe, round(epe, 2) AS epe, {_d('cva')} AS cva FROM adjust""",
+        f"""SELECT entity_id, rating, {_c('ead')} AS ead, {_b('tenor')} AS maturity, {_d('CAST(CAST(peak AS DECIMAL(24,6)) AS DECIMAL(24,2))')} AS peak_pfe, {_d('CAST(CAST(epe AS DECIMAL(24,6)) AS DECIMAL(24,2))')} AS epe, {_d('cva')} AS cva FROM adjust""",
     )
     q["total_cva"] = _sql(CURVE, f"SELECT {_d('SUM(cva)')} AS total_cva FROM adjust")
     parts = ", ".join(f"{_d(c)} AS {c}" for c in ("cva", "dva", "fva", "mva", "kva"))

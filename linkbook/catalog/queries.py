@@ -54,6 +54,13 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def fixed(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles at four places, half up, after dropping binary noise at eight."""
+    return df.withColumns(
+        {c: F.col(c).cast("decimal(28,8)").cast("decimal(24,4)") for c in columns}
+    )
+
+
 # --- parameters derived from the data ---------------------------------------
 
 
@@ -503,7 +510,7 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "counterparty_ecl": lambda s, b: rounded(ifrs9.counterparty_ecl(b), "coverage"),
     "staging_summary": lambda s, b: ifrs9.staging_summary(b),
     "total_ecl": lambda s, b: ifrs9.total_ecl(b),
-    "exposure_profiles": lambda s, b: rounded(xva.exposure_profiles(b), "ee", "pfe", places=2),
+    "exposure_profiles": lambda s, b: fixed(xva.exposure_profiles(b), "ee", "pfe"),
     "counterparty_xva": lambda s, b: xva.counterparty_xva(b),
     "total_cva": lambda s, b: xva.total_cva(b),
     "xva_breakdown": lambda s, b: xva.xva_breakdown(b),

@@ -31,7 +31,7 @@ def counterparty_ecl(book: Book, lgd: Decimal = P.LGD) -> DataFrame:
         .withColumn("pd", pd_for("rating"))
         .withColumn("stage", stage_for("rating"))
         .withColumn("ecl_12m", (F.col("ead") * F.col("pd") * F.lit(lgd)).cast(CENTS))
-        .withColumn("ecl_lifetime", F.round(lifetime, 2).cast(CENTS))
+        .withColumn("ecl_lifetime", lifetime.cast("decimal(24,6)").cast(CENTS))
         .withColumn("impaired", (F.col("ead") * F.lit(lgd)).cast(CENTS))
         .select(
             "entity_id",

@@ -16,11 +16,14 @@ LGD = float(P.LGD)
 
 
 def _cents(value: Column) -> Column:
-    return F.round(value, 2).cast(CENTS)
+    """Cents, half up; the step over six places drops binary noise before the tie."""
+    return value.cast("decimal(24,6)").cast(CENTS)
 
 
 def _base(book: Book) -> tuple[DataFrame, Column, Column]:
-    return credit_base(book), F.col("ead").cast("double"), F.col("tenor")
+    # The exact column keeps a name no output alias can shadow inside a lambda.
+    base = credit_base(book).withColumnRenamed("ead", "net")
+    return base, F.col("net").cast("double"), F.col("tenor")
 
 
 def exposure_profiles(book: Book) -> DataFrame:
@@ -37,7 +40,7 @@ def counterparty_xva(book: Book) -> DataFrame:
     return base.select(
         "entity_id",
         rating_label("rating").alias("rating"),
-        F.col("ead").cast(CENTS).alias("ead"),
+        F.col("net").cast(CENTS).alias("ead"),
         tenor.alias("maturity"),
         _cents(F.array_max(F.transform(points, lambda p: p["pfe"]))).alias("peak_pfe"),
         _cents(epe).alias("epe"),
