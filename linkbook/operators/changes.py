@@ -11,8 +11,15 @@ from pyspark.sql import types as T
 
 from linkbook.book import Book
 from linkbook.operators.limits import limit_breaches
-from linkbook.operators.validation import accepted_rows, check_records, record_id
-from linkbook.operators.validation import GUARANTEED_AMOUNT, LIMIT_AMOUNT, PRINCIPAL
+from linkbook.operators.validation import (
+    GUARANTEED_AMOUNT,
+    LIMIT_AMOUNT,
+    PRINCIPAL,
+    accepted_rows,
+    blank_records,
+    keyed_records,
+    record_id,
+)
 from linkbook.operators.wrong_way import structural_wwr
 from linkbook.schema import COLUMNS, DEFAULT_MATURITY, DEFAULT_STATUS, KEY, TABLES
 
@@ -76,10 +83,11 @@ def apply_creates(
             for t in TABLES
         ],
     ).distinct()
-    checked = check_records(candidates, strict)
-    report = checked.join(focus, ["table", "record_id"], "left_semi")
-    blank = checked.filter(F.col("record_id") == "(blank)")
-    report = report.unionByName(blank)
+    report = (
+        keyed_records(candidates, strict)
+        .join(focus, ["table", "record_id"], "left_semi")
+        .unionByName(blank_records(proposed))
+    )
     good = accepted_rows(proposed, report)
     tables = {}
     for t in proposals:

@@ -290,17 +290,18 @@ def snapshots(book: Book, shocks: Sequence[Shock] = SCENARIOS) -> DataFrame:
     )
 
 
-def against_base(rows: DataFrame, columns: Sequence[str], base_key: str = "base") -> DataFrame:
-    """Each scenario next to the base: ``c`` and ``c_base`` for the given columns."""
+def against_base(
+    rows: DataFrame, columns: Sequence[str], keys: Sequence[str], base_key: str = "base"
+) -> DataFrame:
+    """Each scenario of ``keys`` next to the base: ``c`` and ``c_base`` for the given columns.
+
+    The base row is repeated under every key, so the join is on the scenario.
+    """
+    others = F.array(*[F.lit(k) for k in keys if k != base_key])
     base = rows.filter(F.col("scenario") == base_key).select(
-        F.col("scenario").alias("against"), *[F.col(c).alias(f"{c}_base") for c in columns]
-    )
-    return (
-        rows.filter(F.col("scenario") != base_key)
-        .withColumn("against", F.lit(base_key))
-        .join(base, "against")
-        .drop("against")
+        F.explode(others).alias("scenario"), *[F.col(c).alias(f"{c}_base") for c in columns]
     )
+    return rows.join(base, "scenario")
 
 
 def compare(book: Book, shocks: Sequence[Shock] = SCENARIOS) -> DataFrame:
@@ -315,7 +316,7 @@ def compare(book: Book, shocks: Sequence[Shock] = SCENARIOS) -> DataFrame:
         "watchlist_red",
         "watchlist_amber",
     )
-    return against_base(snapshots(book, shocks), columns)
+    return against_base(snapshots(book, shocks), columns, [s.key for s in shocks])
 
 
 def expected_loss_deltas(book: Book, shocks: Sequence[Shock] = SCENARIOS) -> DataFrame:

@@ -212,8 +212,8 @@ def _reduce(rows: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def check_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
-    """``table, record_id, accepted, reasons`` of every record in the candidate tables.
+def keyed_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
+    """``table, record_id, accepted, reasons`` of every record that has a key.
 
     References are looked up among all candidates, rejected ones included.
     ``strict`` adds two documented rules: a non-blank sector and an existing entity
@@ -228,22 +228,34 @@ def check_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFram
         ("collateral", *_collateral(raw, entity_ids, loan_ids)),
         ("limits", *_limits(raw, entity_ids, strict)),
     ]
-    parts = [_reduce(rows, table, rules) for table, rows, rules in checked]
-    blanks = [
-        raw[t]
-        .filter(record_id(t) == "")
-        .select(
-            F.lit(t).alias("table"),
-            F.lit(BLANK_ID).alias("record_id"),
-            F.array(F.lit(MISSING_ID)).alias("reasons"),
-        )
-        for t in TABLES
-    ]
-    return reduce(DataFrame.unionByName, parts + blanks).select(
-        "table", "record_id", (F.size("reasons") == 0).alias("accepted"), "reasons"
+    return reduce(
+        DataFrame.unionByName, [_reduce(rows, table, rules) for table, rows, rules in checked]
+    ).select("table", "record_id", (F.size("reasons") == 0).alias("accepted"), "reasons")
+
+
+def blank_records(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """One rejected record per row without a key."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            raw[t]
+            .filter(record_id(t) == "")
+            .select(
+                F.lit(t).alias("table"),
+                F.lit(BLANK_ID).alias("record_id"),
+                F.lit(False).alias("accepted"),
+                F.array(F.lit(MISSING_ID)).alias("reasons"),
+            )
+            for t in TABLES
+        ],
     )
 
 
+def check_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
+    """Every record of the candidate tables with its verdict and reasons."""
+    return keyed_records(raw, strict).unionByName(blank_records(raw))
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     """One row: ``accepted, rejected, total``."""
     return report.agg(
