@@ -538,6 +538,10 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     ),
     # contagion and wrong-way risk
     "default_cascade": lambda s, b: rounded(contagion.cascade(b), "amplification"),
+    "solvent_guaranteed_loans": lambda s, b: contagion.solvent_guaranteed_loans(
+        b,
+        ownership.ultimate_parents(b).select(F.col("ubo").alias("seed"), "entity_id"),
+    ),
     "default_cascade_multiround": lambda s, b: rounded(
         contagion.cascade_multiround(b), "total_loss", "firesale_haircut", places=2
     ),

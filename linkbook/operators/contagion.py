@@ -174,6 +174,7 @@ def cascade_multiround(
         "seeds",
     )
     initial = fresh.groupBy("seed").agg(F.count("*").alias("initial"))
+    # The defaulted set is the union of each round's staged additions; none is rewritten.
     defaulted = fresh
     # Per seed: collateral dumped so far, haircut of its last round, rounds run, still moving.
     status = seeds.select(
@@ -240,7 +241,7 @@ def cascade_multiround(
         if fresh.isEmpty():
             break
         carried = owing
-        defaulted = stage(defaulted.unionByName(fresh), "defaulted")
+        defaulted = defaulted.unionByName(fresh)
         moving = fresh.select("seed", F.lit(True).alias("again")).distinct()
         status = (
             status.drop("moving")
