@@ -132,25 +132,17 @@ def _guarantee_arm(
 
 
 def _touches(placed: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
-    """Per (key, head): ``in_*`` borrowed inside the head's group, ``home_*`` by the head itself.
-
-    Summing ``home_*`` over a key's heads gives the key's total, each loan once.
-    """
+    """``in_*`` per (key, head): the key's loans borrowed inside the head's group."""
     return (
-        placed.select(key, F.posexplode("path").alias("hop", "head"), *measures)
+        placed.select(key, F.explode("path").alias("head"), *measures)
         .groupBy(key, "head")
-        .agg(
-            *[_money(m).alias(f"in_{m}") for m in measures],
-            *[_money(F.when(F.col("hop") == 0, F.col(m))).alias(f"home_{m}") for m in measures],
-        )
+        .agg(*[_money(m).alias(f"in_{m}") for m in measures])
     )
 
 
-def _totals(touches: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
-    return touches.groupBy(key).agg(
-        *[_money(f"home_{m}").alias(f"all_{m}") for m in measures],
-        F.count("*").alias("heads"),
-    )
+def _totals(placed: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
+    """``all_*`` per key, each loan once."""
+    return placed.groupBy(key).agg(*[_money(m).alias(f"all_{m}") for m in measures])
 
 
 def shared_pairs(collateral: DataFrame) -> DataFrame:
@@ -212,12 +204,11 @@ def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFr
     """
     links, packages = _shared_links(book, status_mode, measures)
     touch = _touches(links, "item", measures)
-    totals = _totals(touch, "item", measures)
-    amounts = touch.join(totals, "item").select(
+    amounts = touch.join(_totals(links, "item", measures), "item").select(
         "head", *[(F.col(f"all_{m}") - F.col(f"in_{m}")).cast(SUM_MONEY).alias(m) for m in measures]
     )
     if packages is not None:
-        amounts = amounts.unionByName(_package_surplus(links, packages, touch, totals, measures))
+        amounts = amounts.unionByName(_package_surplus(links, packages, touch, measures))
     return amounts.select(
         "head",
         *_zeros("own_", measures),
@@ -231,7 +222,6 @@ def _package_surplus(
     links: DataFrame,
     packages: DataFrame,
     touch: DataFrame,
-    totals: DataFrame,
     measures: Sequence[str],
 ) -> DataFrame:
     packed = packages.join(
@@ -241,13 +231,14 @@ def _package_surplus(
         "loan_id",
     )
     inside = _touches(packed, "package", measures)
-    package_totals = _totals(inside, "package", measures).drop("heads")
+    package_totals = _totals(packed, "package", measures)
 
+    reach = touch.groupBy("item").agg(F.count("*").alias("heads"))
     sized = (
         packages.join(links.select("loan_id", "item"), "loan_id")
         .select("package", "item")
         .distinct()
-        .join(totals.select("item", "heads"), "item")
+        .join(reach, "item")
     )
     largest = sized.groupBy("package").agg(
         F.max_by("item", F.struct("heads", "item")).alias("largest")
