@@ -470,12 +470,12 @@ asked AS (
   SELECT 2 * loan_id AS change_id,
     CASE WHEN loan_id % 75 = 0 THEN 'no such ' ELSE '' END || CAST(loan_id AS VARCHAR) AS subject_id,
     CASE WHEN loan_id % 125 = 0 THEN 'lender' ELSE 'principalAmount' END AS field,
-    CASE WHEN loan_id % 175 = 0 THEN -1 ELSE CAST(floor(amount * 2) AS BIGINT) END AS new_amount,
-    'group_risk' AS role FROM loans WHERE loan_id % 25 = 0
+    CASE WHEN loan_id % 175 = 0 THEN -1 ELSE CAST(floor(amount * CAST(1.1 AS DECIMAL(2,1))) AS BIGINT) END AS new_amount,
+    'group_risk' AS role FROM loans
   UNION ALL
   SELECT 2 * limit_id + 1, CASE WHEN limit_id % 27 = 0 THEN '99999999999' ELSE CAST(limit_id AS VARCHAR) END,
     'limitAmount', CAST(floor(cap / 2) AS BIGINT),
-    CASE WHEN limit_id % 6 = 0 THEN 'relationship_manager' ELSE 'group_risk' END FROM limits WHERE limit_id % 3 = 0),
+    CASE WHEN limit_id % 6 = 0 THEN 'relationship_manager' ELSE 'group_risk' END FROM limits),
 gated AS (SELECT *, NOT (field = 'limitAmount' AND role <> 'group_risk') AS allowed FROM asked),
 judged AS (
   SELECT change_id, subject_id, field, new_amount,
@@ -496,13 +496,13 @@ new_limits AS (
     AND j.subject_id = CAST(x.limit_id AS VARCHAR))"""
 OFF = """
 wanted AS (
-  SELECT CAST(loan_id AS VARCHAR) AS subject_id, 'loan' AS kind FROM loans WHERE loan_id % 40 = 0
+  SELECT CAST(loan_id AS VARCHAR) AS subject_id, 'loan' AS kind FROM loans WHERE maturity <= 3
   UNION ALL
   SELECT CASE WHEN guarantee_id % 180 = 0 THEN 'bad id ' ELSE '' END || CAST(guarantee_id AS VARCHAR), 'guaranty'
-    FROM guarantees WHERE guarantee_id % 60 = 0
+    FROM guarantees WHERE amount > 250000
   UNION ALL
   SELECT CAST(CASE WHEN entity_id % 150 = 0 THEN entity_id + 1000000000 ELSE entity_id END AS VARCHAR), 'entity'
-    FROM entities WHERE entity_id >= 0 AND entity_id % 50 = 0),
+    FROM entities WHERE entity_id >= 0),
 in_use AS (
   SELECT CAST(borrower AS VARCHAR) AS id FROM active UNION SELECT CAST(lender AS VARCHAR) FROM active
   UNION SELECT CAST(guarantor AS VARCHAR) FROM guarantees),
@@ -517,10 +517,10 @@ off AS (
 CREATES = """
 p_loans AS (
   SELECT loan_id + 1000000000 AS id, CASE WHEN loan_id % 150 = 0 THEN -7 ELSE borrower END AS borrower,
-    CASE WHEN loan_id % 250 = 0 THEN 0 ELSE amount END AS amount FROM loans WHERE loan_id % 50 = 0),
+    CASE WHEN loan_id % 250 = 0 THEN 0 ELSE amount END AS amount FROM loans),
 p_given AS (
   SELECT loan_id + 2000000000 AS id, borrower + CASE WHEN loan_id % 300 = 0 THEN 0 ELSE 1 END AS guarantor,
-    loan_id + 1000000000 AS loan FROM loans WHERE loan_id % 100 = 0),
+    loan_id + 1000000000 AS loan FROM loans),
 created AS (
   SELECT 'loans' AS tab, id, concat_ws('; ',
     CASE WHEN borrower NOT IN (SELECT entity_id FROM entities) THEN 'A loan must reference an existing borrower legal entity.' END,
@@ -1133,13 +1133,13 @@ UNION ALL SELECT 'flag-wrong-way-risk', CAST(loan_id AS VARCHAR), 'accepted',
     )
     q["approval_outcomes"] = _sql(
         """
-pend AS (SELECT loan_id AS id, 'user' || (loan_id % 3) AS maker, CASE WHEN loan_id % 60 = 0 THEN 'approved' ELSE 'pending' END AS status FROM loans WHERE loan_id % 20 = 0),
+pend AS (SELECT loan_id AS id, 'user' || (loan_id % 3) AS maker, CASE WHEN loan_id % 60 = 0 THEN 'approved' ELSE 'pending' END AS status FROM active),
 dec AS (
   SELECT d.*, p.id AS pid, CASE WHEN p.id IS NULL OR p.status <> 'pending' THEN 'no such pending change'
     WHEN d.checker = p.maker THEN 'four-eyes: the checker must differ from the maker'
     WHEN d.role <> 'group_risk' THEN 'role ''' || d.role || ''' may not approve changes' END AS denial
   FROM (SELECT loan_id AS id, 'user' || (loan_id % 4) AS checker, CASE WHEN loan_id % 70 = 0 THEN 'relationship_manager' ELSE 'group_risk' END AS role,
-    CASE WHEN loan_id % 80 = 0 THEN 'reject' ELSE 'approve' END AS decision FROM loans WHERE loan_id % 10 = 0) d LEFT JOIN pend p ON p.id = d.id)""",
+    CASE WHEN loan_id % 80 = 0 THEN 'reject' ELSE 'approve' END AS decision FROM loans) d LEFT JOIN pend p ON p.id = d.id)""",
         """SELECT id, CASE WHEN pid IS NOT NULL THEN 'loan' END AS kind, CAST(id AS VARCHAR) AS subject_id, checker, decision, denial IS NULL AS accepted,
   COALESCE(denial, CASE decision WHEN 'reject' THEN 'rejected by checker' ELSE 'approved' END) AS reason FROM dec""",
     )

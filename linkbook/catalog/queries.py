@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from linkbook.operators import exposure, filters, ifrs9, limits, macro, mitigati
 from linkbook.operators import reverse_stress, scenarios, validation, wrong_way, xva
 from linkbook.operators.dashboard import dashboard
 from linkbook.operators.importing import import_dataset
-from linkbook.plans.staging import shared_dir
+from linkbook.plans.staging import scratch
 from linkbook.schema import COLUMNS
 from linkbook.sources import csv_folder, store, triples
 from linkbook.sources.orders_book import orders_book, staged
@@ -161,21 +160,21 @@ def faulty_source(book: Book) -> dict[str, DataFrame]:
 
 
 def amount_changes(book: Book) -> DataFrame:
-    """Principal doubled on some loans, limits halved on some names, and bad requests."""
+    """A new principal for every loan and a halved limit for every name, some requests faulty."""
     key = F.col("loan_id")
-    loans = book.loans.filter(key % 25 == 0).select(
+    loans = book.loans.select(
         (key * 2).alias("change_id"),
         F.when(key % 75 == 0, F.concat(F.lit("no such "), key.cast("string")))
         .otherwise(key.cast("string"))
         .alias("subject_id"),
         F.when(key % 125 == 0, "lender").otherwise("principalAmount").alias("field"),
         F.when(key % 175 == 0, "-1")
-        .otherwise(F.floor(F.col("exposure_amount") * 2).cast("string"))
+        .otherwise(F.floor(F.col("exposure_amount") * F.lit(1.1).cast("decimal(2,1)")).cast("string"))
         .alias("new_amount"),
         F.lit("group_risk").alias("role"),
     )
     key = F.col("limit_id")
-    caps = book.limits.filter(key % 3 == 0).select(
+    caps = book.limits.select(
         (key * 2 + 1).alias("change_id"),
         F.when(key % 27 == 0, F.lit("99999999999")).otherwise(key.cast("string")).alias("subject_id"),
         F.lit("limitAmount").alias("field"),
@@ -186,19 +185,20 @@ def amount_changes(book: Book) -> DataFrame:
 
 
 def deactivation_requests(book: Book) -> DataFrame:
+    """Short loans, large guarantees and every entity, some under a bad or unknown id."""
     key = F.col("loan_id")
-    loans = book.loans.filter(key % 40 == 0).select(
+    loans = book.loans.filter(F.col("maturity_years") <= 3).select(
         key.cast("string").alias("subject_id"), F.lit("loan").alias("kind")
     )
     key = F.col("guarantee_id")
-    given = book.guarantees.filter(key % 60 == 0).select(
+    given = book.guarantees.filter(F.col("amount") > 250_000).select(
         F.when(key % 180 == 0, F.concat(F.lit("bad id "), key.cast("string")))
         .otherwise(key.cast("string"))
         .alias("subject_id"),
         F.lit("guaranty").alias("kind"),
     )
     key = F.col("entity_id")
-    names = book.entities.filter((key >= 0) & (key % 50 == 0)).select(
+    names = book.entities.filter(key >= 0).select(
         F.when(key % 150 == 0, (key + 1_000_000_000).cast("string"))
         .otherwise(key.cast("string"))
         .alias("subject_id"),
@@ -208,9 +208,9 @@ def deactivation_requests(book: Book) -> DataFrame:
 
 
 def proposals(book: Book) -> dict[str, DataFrame]:
-    """New loans mirroring every fiftieth one, and guarantees over them."""
+    """A new loan mirroring every loan, and a guarantee over each."""
     key = F.col("loan_id")
-    loans = book.loans.filter(key % 50 == 0).select(
+    loans = book.loans.select(
         (key + 1_000_000_000).alias("loan_id"),
         "lender_entity_id",
         F.when(key % 150 == 0, F.lit(-7)).otherwise(F.col("borrower_entity_id")).alias("borrower_entity_id"),
@@ -219,7 +219,7 @@ def proposals(book: Book) -> dict[str, DataFrame]:
         F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("maturity_years"),
     )
-    given = book.loans.filter(key % 100 == 0).select(
+    given = book.loans.select(
         (key + 2_000_000_000).alias("guarantee_id"),
         (F.col("borrower_entity_id") + F.when(key % 300 == 0, 0).otherwise(1)).alias("guarantor_entity_id"),
         (key + 1_000_000_000).alias("beneficiary_loan_id"),
@@ -230,8 +230,9 @@ def proposals(book: Book) -> dict[str, DataFrame]:
 
 
 def pending_changes(book: Book) -> DataFrame:
+    """A pending deactivation of every active loan, some already approved."""
     key = F.col("loan_id")
-    return book.loans.filter(key % 20 == 0).select(
+    return book.active_loans.select(
         key.alias("id"),
         F.lit("loan").alias("kind"),
         key.cast("string").alias("subject_id"),
@@ -242,8 +243,9 @@ def pending_changes(book: Book) -> DataFrame:
 
 
 def decisions(book: Book) -> DataFrame:
+    """A decision on every loan, whether or not a change is pending for it."""
     key = F.col("loan_id")
-    return book.loans.filter(key % 10 == 0).select(
+    return book.loans.select(
         key.alias("id"),
         F.concat(F.lit("user"), (key % 4).cast("string")).alias("checker"),
         F.when(key % 70 == 0, "relationship_manager").otherwise("group_risk").alias("checker_role"),
@@ -305,7 +307,7 @@ def audit_lines(book: Book) -> DataFrame:
 
 
 def _csv_round_trip(spark: SparkSession, book: Book) -> DataFrame:
-    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    folder = scratch(spark, "csv")
     csv_folder.write_book(book, folder)
     back = csv_folder.read_book(spark, folder)
     return (
@@ -323,7 +325,7 @@ def _csv_round_trip(spark: SparkSession, book: Book) -> DataFrame:
 
 
 def _store_reload(spark: SparkSession, book: Book) -> DataFrame:
-    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    root = scratch(spark, "store")
     store.save(book, root, "calm")
     halved = book.with_tables(loans=book.active_loans)
     store.save(halved, root, "stressed")
@@ -370,7 +372,7 @@ def _triples(book: Book) -> DataFrame:
 
 
 def _guarded_import(spark: SparkSession, book: Book) -> DataFrame:
-    root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    root = scratch(spark, "import")
     report = import_dataset(spark, faulty_source(book), root, "mine", allow_partial=True)
     return store.load_counts(store.load(spark, root, "mine"))
 

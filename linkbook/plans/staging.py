@@ -29,11 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared folder and return a DataFrame reading it back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path under the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/linkbook-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` under the shared folder and return a DataFrame reading it back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
