@@ -19,6 +19,7 @@ from linkbook.operators.validation import (
     blank_records,
     keyed_records,
     record_id,
+    referenced_ids,
 )
 from linkbook.operators.wrong_way import structural_wwr
 from linkbook.schema import COLUMNS, DEFAULT_MATURITY, DEFAULT_STATUS, KEY, TABLES
@@ -72,19 +73,33 @@ def apply_creates(
     proposed["loans"] = proposed["loans"].withColumn(
         "status", F.coalesce("status", F.lit(DEFAULT_STATUS))
     )
+    # Only stored rows under a proposed key are checked again, and only referenced ids
+    # are looked up, so a small batch costs a scan of the keys and no shuffle of the book.
     candidates = {}
     for t in TABLES:
-        stored = _as_text(getattr(book, t), t)
-        candidates[t] = stored.unionByName(proposed[t]) if t in proposals else stored
+        candidates[t] = proposed[t]
+        if t in proposals:
+            keys = proposed[t].select(KEY[t]).distinct()
+            stored = _as_text(getattr(book, t), t).join(keys, KEY[t], "left_semi")
+            candidates[t] = stored.select(*COLUMNS[t]).unionByName(proposed[t])
+    entity_refs, loan_refs = referenced_ids(candidates)
+    entity_keys = _as_text(book.entities, "entities").unionByName(proposed["entities"])
+    loan_keys = _as_text(book.loans, "loans").unionByName(proposed["loans"])
+    known = {
+        "entities": entity_keys.select("entity_id").join(entity_refs, "entity_id", "left_semi"),
+        "loans": loan_keys.select("loan_id", "borrower_entity_id").join(
+            loan_refs, "loan_id", "left_semi"
+        ),
+    }
     focus = reduce(
         DataFrame.unionByName,
         [
             proposed[t].select(F.lit(t).alias("table"), record_id(t).alias("record_id"))
-            for t in TABLES
+            for t in proposals
         ],
     ).distinct()
     report = (
-        keyed_records(candidates, strict)
+        keyed_records(candidates, strict, known)
         .join(focus, ["table", "record_id"], "left_semi")
         .unionByName(blank_records(proposed))
     )
@@ -130,7 +145,9 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
             )
             for field, (table, _, _) in AMOUNT_FIELDS.items()
         ],
-    ).withColumn("found", F.lit(True))
+    )
+    # Keep only the asked ids before anything else: the batch is the small side.
+    found = _asked(ids, changes, "field").withColumn("found", F.lit(True))
     messages = F.create_map(*[F.lit(x) for f, v in AMOUNT_FIELDS.items() for x in (f, v[2])])
     amount = F.col("new_amount").cast("string")
     safe = (
@@ -140,7 +157,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
     )
     judged = (
         changes.withColumn("subject_id", F.col("subject_id").cast("string"))
-        .join(ids.distinct(), ["field", "subject_id"], "left")
+        .join(found, ["field", "subject_id"], "left")
         .withColumn(
             "reason",
             F.when(~safe, BAD_UPDATE)
@@ -172,7 +189,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
 
 
 def referenced_entities(book: Book) -> DataFrame:
-    """``entity_id`` of borrowers, lenders and guarantors of active records."""
+    """``entity_id`` of borrowers, lenders and guarantors of active records, repeats included."""
     loans = book.active_loans
     return reduce(
         DataFrame.unionByName,
@@ -181,7 +198,13 @@ def referenced_entities(book: Book) -> DataFrame:
             loans.select(F.col("lender_entity_id").alias("entity_id")),
             book.active_guarantees.select(F.col("guarantor_entity_id").alias("entity_id")),
         ],
-    ).distinct()
+    )
+
+
+def _asked(ids: DataFrame, batch: DataFrame, label: str) -> DataFrame:
+    """Distinct ``subject_id`` and ``label`` pairs of ``ids`` that the batch names."""
+    wanted = batch.select(F.col("subject_id").cast("string").alias("subject_id"), label).distinct()
+    return ids.join(wanted, ["subject_id", label], "left_semi").distinct()
 
 
 def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFrame]:
@@ -195,23 +218,22 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
         [
             getattr(book, table)
             .select(F.col(KEY[table]).cast("string").alias("subject_id"))
-            .distinct()
             .withColumn("kind", F.lit(kind))
             for kind, table in KINDS.items()
         ],
-    ).withColumn("found", F.lit(True))
-    in_use = referenced_entities(book).select(
-        F.col("entity_id").cast("string").alias("subject_id"),
-        F.lit("entity").alias("kind"),
-        F.lit(True).alias("in_use"),
     )
+    found = _asked(ids, requests, "kind").withColumn("found", F.lit(True))
+    references = referenced_entities(book).select(
+        F.col("entity_id").cast("string").alias("subject_id"), F.lit("entity").alias("kind")
+    )
+    in_use = _asked(references, requests, "kind").withColumn("in_use", F.lit(True))
     new_status = F.when(F.col("kind") == "loan", "closed").otherwise("inactive")
     done = F.concat(
         F.lit("status set to "), new_status, F.lit(" (excluded from metrics; history preserved)")
     )
     judged = (
         requests.withColumn("subject_id", F.col("subject_id").cast("string"))
-        .join(ids, ["subject_id", "kind"], "left")
+        .join(found, ["subject_id", "kind"], "left")
         .join(in_use, ["subject_id", "kind"], "left")
         .withColumn(
             "accepted",

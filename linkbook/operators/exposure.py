@@ -274,9 +274,12 @@ def _package_surplus(
 
 
 def connected_parts(
-    book: Book, measures: Sequence[str] = (PRINCIPAL,), status_mode: str = "full"
+    book: Book,
+    measures: Sequence[str] = (PRINCIPAL,),
+    status_mode: str = "full",
+    heads: DataFrame | None = None,
 ) -> DataFrame:
-    """Connected exposure of every head, per measure.
+    """Connected exposure of every head, per measure; of ``heads`` only, if given.
 
     Columns: ``head``, ``guarantees_given`` and, for each measure ``m``, ``own_m``
     (loans to the head itself), ``direct_m`` (to its group) and ``shared_m``.
@@ -287,6 +290,8 @@ def connected_parts(
         .unionByName(_guarantee_arm(guarantees, loans, book, measures, status_mode == "raw"))
         .unionByName(_shared_arm(book, status_mode, measures))
     )
+    if heads is not None:
+        arms = arms.join(heads.select("head").distinct(), "head", "left_semi")
     return arms.groupBy("head").agg(
         _money("guarantees_given").alias("guarantees_given"),
         *[_money(f"{p}_{m}").alias(f"{p}_{m}") for m in measures for p in ("own", "direct", "shared")],
@@ -300,9 +305,11 @@ def connected_total(measure: str = PRINCIPAL) -> Column:
     ).cast(SUM_MONEY)
 
 
-def connected_exposure(book: Book, status_mode: str = "full") -> DataFrame:
+def connected_exposure(
+    book: Book, status_mode: str = "full", heads: DataFrame | None = None
+) -> DataFrame:
     """``head, direct_head_only, direct, guarantees_given, shared_collateral, connected``."""
-    return connected_parts(book, (PRINCIPAL,), status_mode).select(
+    return connected_parts(book, (PRINCIPAL,), status_mode, heads).select(
         "head",
         F.col(f"own_{PRINCIPAL}").alias("direct_head_only"),
         F.col(f"direct_{PRINCIPAL}").alias("direct"),
@@ -330,7 +337,7 @@ def exposure_to_groups(book: Book, heads: DataFrame) -> DataFrame:
     return (
         heads.select("head")
         .distinct()
-        .join(connected_exposure(book).select("head", "connected"), "head", "left")
+        .join(connected_exposure(book, heads=heads).select("head", "connected"), "head", "left")
         .select("head", F.coalesce("connected", F.lit(0)).cast(SUM_MONEY).alias("connected"))
     )
 
@@ -344,7 +351,7 @@ def headline(book: Book, heads: DataFrame | None = None, status_mode: str = "ful
     )
     zero = F.lit(0).cast(SUM_MONEY)
     return (
-        asked.join(connected_exposure(book, status_mode), "head", "left")
+        asked.join(connected_exposure(book, status_mode, heads), "head", "left")
         .join(group_limits, "head", "left")
         .select(
             "head",

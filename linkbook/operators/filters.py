@@ -53,3 +53,18 @@ def without(df: DataFrame, excluded: DataFrame, on: str | list[str]) -> DataFram
 def wwr_flagged(df: DataFrame, flags: DataFrame, column: str = "entity_id") -> DataFrame:
     """Rows whose name borrows under a wrong-way-risk flag."""
     return df.join(flags.select(F.col("borrower").alias(column)).distinct(), column, "left_semi")
+
+
+def amplifying(cascades: DataFrame) -> DataFrame:
+    """Cascades whose contagion adds to the direct loss."""
+    return cascades.filter(F.col("contagion_loss") > 0)
+
+
+def second_order(runs: DataFrame) -> DataFrame:
+    """Multi-round runs that default entities beyond the seed's own group."""
+    return runs.filter(F.col("second_order") > 0)
+
+
+def macro_hit(impacts: DataFrame) -> DataFrame:
+    """Sectors a macro scenario downgrades."""
+    return impacts.filter(F.col("notches") > 0)

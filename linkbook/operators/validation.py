@@ -212,15 +212,21 @@ def _reduce(rows: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def keyed_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
+def keyed_records(
+    raw: Mapping[str, DataFrame],
+    strict: bool = True,
+    known: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
     """``table, record_id, accepted, reasons`` of every record that has a key.
 
-    References are looked up among all candidates, rejected ones included.
+    References are looked up among all candidates, rejected ones included, or in
+    ``known`` (entities and loans) when the candidates are only part of the data.
     ``strict`` adds two documented rules: a non-blank sector and an existing entity
     behind every limit.
     """
-    entity_ids = raw["entities"].filter(record_id("entities") != "")
-    loan_ids = raw["loans"].filter(record_id("loans") != "")
+    known = known or raw
+    entity_ids = known["entities"].filter(record_id("entities") != "")
+    loan_ids = known["loans"].filter(record_id("loans") != "")
     checked = [
         ("entities", *_entities(raw, strict)),
         ("loans", *_loans(raw, entity_ids)),
@@ -233,6 +239,26 @@ def keyed_records(raw: Mapping[str, DataFrame], strict: bool = True) -> DataFram
     ).select("table", "record_id", (F.size("reasons") == 0).alias("accepted"), "reasons")
 
 
+def referenced_ids(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``entity_id`` and ``loan_id`` the candidate rows point at."""
+
+    def ids(name: str, cells: Sequence[tuple[str, str]]) -> DataFrame:
+        return reduce(
+            DataFrame.unionByName, [raw[t].select(_text(c).alias(name)) for t, c in cells]
+        ).distinct()
+
+    entities = [
+        ("loans", "borrower_entity_id"),
+        ("loans", "lender_entity_id"),
+        ("guarantees", "guarantor_entity_id"),
+        ("collateral", "pledged_by_entity_id"),
+        ("collateral", "issuer_entity_id"),
+        ("limits", "entity_id"),
+    ]
+    loans = [("guarantees", "beneficiary_loan_id"), ("collateral", "securing_loan_id")]
+    return ids("entity_id", entities), ids("loan_id", loans)
+
+
 def blank_records(raw: Mapping[str, DataFrame]) -> DataFrame:
     """One rejected record per row without a key."""
     return reduce(
