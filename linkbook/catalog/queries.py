@@ -16,7 +16,7 @@ from linkbook.operators import exposure, filters, ifrs9, limits, macro, mitigati
 from linkbook.operators import reverse_stress, scenarios, validation, wrong_way, xva
 from linkbook.operators.dashboard import dashboard
 from linkbook.operators.importing import import_dataset
-from linkbook.plans.staging import scratch
+from linkbook.plans.staging import scratch, stage
 from linkbook.schema import COLUMNS
 from linkbook.sources import csv_folder, store, triples
 from linkbook.sources.orders_book import orders_book, staged
@@ -410,7 +410,7 @@ def _updated_book(book: Book) -> Book:
 
 def _reverse_stress(book: Book) -> DataFrame:
     """Targets at several multiples of every base metric, from the grid itself."""
-    grid = reverse_stress.severity_grid(book)
+    grid = stage(reverse_stress.severity_grid(book), "grid")
     base = grid.filter(F.col("family") == "base").select("metric")
     targets = base.select(
         "metric",

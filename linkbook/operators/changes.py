@@ -1,4 +1,8 @@
-"""Guarded batch changes: creates, amount updates, soft deletes, approvals and flags."""
+"""Guarded batch changes: creates, amount updates, soft deletes, approvals and flags.
+
+A batch is judged once and its verdicts are staged; the new tables and the outcome
+both read them.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,7 @@ from linkbook.operators.validation import (
     referenced_ids,
 )
 from linkbook.operators.wrong_way import structural_wwr
+from linkbook.plans.staging import stage
 from linkbook.schema import COLUMNS, DEFAULT_MATURITY, DEFAULT_STATUS, KEY, TABLES
 
 SAFE_ID = r"^[A-Za-z0-9_\-]+$"
@@ -98,10 +103,11 @@ def apply_creates(
             for t in proposals
         ],
     ).distinct()
-    report = (
+    report = stage(
         keyed_records(candidates, strict, known)
         .join(focus, ["table", "record_id"], "left_semi")
-        .unionByName(blank_records(proposed))
+        .unionByName(blank_records(proposed)),
+        "report",
     )
     good = accepted_rows(proposed, report)
     tables = {}
@@ -167,6 +173,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
         )
         .withColumn("accepted", F.col("reason") == "updated")
     )
+    judged = stage(judged, "judged")
     tables = {}
     for field, (table, column, _) in AMOUNT_FIELDS.items():
         stored = getattr(book, table)
@@ -174,7 +181,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
         latest = (
             judged.filter((F.col("field") == field) & F.col("accepted"))
             .groupBy(F.col("subject_id").try_cast(stored.schema[KEY[table]].dataType).alias(KEY[table]))
-            .agg(F.max_by(amount, "change_id").try_cast(kind).alias("_new"))
+            .agg(F.max_by(F.col("new_amount").cast("string"), "change_id").try_cast(kind).alias("_new"))
         )
         tables[table] = (
             stored.join(latest, KEY[table], "left")
@@ -249,6 +256,7 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
             .otherwise(done),
         )
     )
+    judged = stage(judged, "judged")
     tables = {}
     for kind, table in KINDS.items():
         stored = getattr(book, table)
