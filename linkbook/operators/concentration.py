@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from linkbook import params as P
 from linkbook.book import Book
 from linkbook.operators.exposure import PRINCIPAL, attributed_vector, direct_vector
+from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
 
 def _vectors(book: Book) -> DataFrame:
-    """Both exposure vectors, one under the other: ``kind, name, exposure``."""
-    direct = direct_vector(book).select(
-        F.lit("direct").alias("kind"), "name", F.col(PRINCIPAL).alias("exposure")
-    )
-    connected = attributed_vector(book).select(
-        F.lit("connected").alias("kind"), F.col("owner").alias("name"), "exposure"
+    """Both exposure vectors, ``kind, name, exposure``: computed once per book and re-read."""
+    if "_vectors" not in book.__dict__:
+        direct = direct_vector(book).select(
+            F.lit("direct").alias("kind"), "name", F.col(PRINCIPAL).alias("exposure")
+        )
+        connected = attributed_vector(book).select(
+            F.lit("connected").alias("kind"), F.col("owner").alias("name"), "exposure"
+        )
+        book.__dict__["_vectors"] = stage(direct.unionByName(connected), "vectors")
+    return book.__dict__["_vectors"]
+
+
+def _owners(book: Book) -> DataFrame:
+    """The attributed vector, ``owner, exposure``."""
+    return (
+        _vectors(book)
+        .filter(F.col("kind") == "connected")
+        .select(F.col("name").alias("owner"), "exposure")
     )
-    return direct.unionByName(connected)
 
 
 def hhi(vector: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,7 +106,7 @@ def dimension_shares(book: Book, attribute: str, default: str) -> DataFrame:
     attributes = book.entities.select(F.col("entity_id").alias("owner"), attribute)
     total = book.active_loans.agg(F.sum(PRINCIPAL).cast("double").alias("total")).scalar()
     return (
-        attributed_vector(book)
+        _owners(book)
         .join(attributes, "owner", "left")
         .withColumn("bucket", F.coalesce(F.nullif(attribute, F.lit("")), F.lit(default)))
         .groupBy("bucket")

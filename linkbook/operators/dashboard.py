@@ -11,12 +11,14 @@ from linkbook.operators.access import scope_rows
 from linkbook.operators.exposure import attributed_view
 from linkbook.operators.limits import watchlist
 from linkbook.operators.wrong_way import structural_wwr
+from linkbook.plans.staging import stage
 
 
 def dashboard(book: Book, visible: DataFrame | None = None) -> dict[str, DataFrame]:
     """Named DataFrames over one book; ownership and shared links are walked once."""
     flags = structural_wwr(book)
     if visible is not None:
+        visible = stage(visible.select("head").distinct(), "visible")
         flags = scope_rows(
             flags.withColumn("entity_id", F.col("borrower")), book, visible, ("entity_id",)
         ).drop("entity_id")

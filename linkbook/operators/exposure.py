@@ -332,19 +332,26 @@ def connected_vector(book: Book, status_mode: str = "full") -> DataFrame:
     )
 
 
+def _asked(heads: DataFrame, column: str) -> DataFrame:
+    """The distinct parameters, staged: several arms read them, and they may cost a query."""
+    return stage(heads.select(column).distinct(), "asked")
+
+
 def exposure_to_groups(book: Book, heads: DataFrame) -> DataFrame:
     """``head, connected`` for the heads asked for, counting active records only."""
+    asked = _asked(heads, "head")
     return (
-        heads.select("head")
-        .distinct()
-        .join(connected_exposure(book, heads=heads).select("head", "connected"), "head", "left")
+        asked.join(connected_exposure(book, heads=asked).select("head", "connected"), "head", "left")
         .select("head", F.coalesce("connected", F.lit(0)).cast(SUM_MONEY).alias("connected"))
     )
 
 
 def headline(book: Book, heads: DataFrame | None = None, status_mode: str = "full") -> DataFrame:
     """Direct against connected exposure and the group limit, per head (strict breach)."""
-    asked = (top_level_names(book) if heads is None else heads).select("head").distinct()
+    if heads is None:
+        asked = top_level_names(book).select("head").distinct()
+    else:
+        asked = heads = _asked(heads, "head")
     limits = book.limits if status_mode == "raw" else book.active_limits
     group_limits = limits.groupBy(F.col("entity_id").alias("head")).agg(
         _money("single_name_limit").alias("group_limit")
@@ -385,12 +392,13 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
     all heads come from :func:`connected_exposure`.
     """
     loans, guarantees, collateral = _facts(book, status_mode)
-    asked = heads.select("head").distinct()
-    members = (
+    asked = _asked(heads, "head")
+    members = stage(
         book.ownership.select("entity_id", F.explode("path").alias("head"))
         .join(asked, "head", "left_semi")
         .unionByName(asked.select(F.col("head").alias("entity_id"), "head"))
-        .distinct()
+        .distinct(),
+        "members",
     )
     loan = loans.select("loan_id", F.col("borrower_entity_id").alias("counterparty"), PRINCIPAL)
     member_loans = loan.join(members.withColumnRenamed("entity_id", "counterparty"), "counterparty")
@@ -446,7 +454,7 @@ def nbfi_cascade(book: Book, nbfis: DataFrame) -> DataFrame:
     Own and collateral-sharing loans must be active; guarantees count whatever
     their status.
     """
-    asked = nbfis.select("nbfi").distinct()
+    asked = _asked(nbfis, "nbfi")
     loan = book.active_loans.select("loan_id", "borrower_entity_id", PRINCIPAL)
     own_all = book.loans.select("loan_id", F.col("borrower_entity_id").alias("nbfi")).join(
         asked, "nbfi", "left_semi"

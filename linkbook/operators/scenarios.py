@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkbook.book import Book
@@ -26,6 +26,7 @@ from linkbook.operators.exposure import (
 )
 from linkbook.operators.limits import eligible_capital, exact_band, ratio
 from linkbook.operators.mitigation import ead, positions
+from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
 ONE = Decimal(1)
@@ -238,8 +239,9 @@ def rating_shares_by_scenario(book: Book, shocks: Sequence[Shock]) -> DataFrame:
         .groupBy("scenario", "bucket")
         .agg(F.sum("exposure").cast(SUM_MONEY).alias("exposure"))
     )
-    totals = rows.groupBy("scenario").agg(F.sum("exposure").alias("total"))
-    return rows.join(totals, "scenario").select(
+    # One row per scenario and grade is left, so the window partitions are tiny.
+    total = F.sum("exposure").over(Window.partitionBy("scenario"))
+    return rows.withColumn("total", total).select(
         "scenario", "bucket", "exposure", ratio(F.col("exposure"), F.col("total")).alias("share")
     )
 
@@ -295,8 +297,10 @@ def against_base(
 ) -> DataFrame:
     """Each scenario of ``keys`` next to the base: ``c`` and ``c_base`` for the given columns.
 
-    The base row is repeated under every key, so the join is on the scenario.
+    The base row is repeated under every key, so the join is on the scenario. The
+    rows (one per scenario) are staged, as both sides read them.
     """
+    rows = stage(rows, "scenarios")
     others = F.array(*[F.lit(k) for k in keys if k != base_key])
     base = rows.filter(F.col("scenario") == base_key).select(
         F.explode(others).alias("scenario"), *[F.col(c).alias(f"{c}_base") for c in columns]
