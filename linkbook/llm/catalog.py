@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkbook.llm import decontamination, jaccard_join, mixing, quality, toxicity
+from linkbook.llm import decontamination, jaccard_join, mixing, quality, substring_dedup, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
     "op4_decontamination": decontamination,
+    "op6_substring_dedup": substring_dedup,
     "op7_toxicity": toxicity,
     "op8_jaccard_join": jaccard_join,
     "op9_quality": quality,
