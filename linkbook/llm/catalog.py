@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkbook.llm import decontamination, jaccard_join, line_dedup, mixing, quality, substring_dedup, toxicity
+from linkbook.llm import decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
     "op3_line_dedup": line_dedup,
     "op4_decontamination": decontamination,
+    "op5_lm_scoring": lm_scoring,
     "op6_substring_dedup": substring_dedup,
     "op7_toxicity": toxicity,
     "op8_jaccard_join": jaccard_join,
