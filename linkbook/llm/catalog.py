@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkbook.llm import decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
+from linkbook.llm import chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
+    "op2_chat_format": chat_format,
     "op3_line_dedup": line_dedup,
     "op4_decontamination": decontamination,
     "op5_lm_scoring": lm_scoring,
