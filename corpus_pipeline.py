@@ -1,11 +1,34 @@
-"""A corpus pipeline of five operators over ``documents``."""
+"""A corpus pipeline of five operators over ``documents``.
+
+Each stage takes the rows that the one before kept and returns the columns of ``documents``; the
+last one, the mix, adds the words taken of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linkbook.llm.decontamination import without_contaminated
+from linkbook.llm.jaccard_join import one_per_class
+from linkbook.llm.line_dedup import without_duplicate_lines
 from linkbook.llm.mixing import mixed_documents
+from linkbook.llm.toxicity import without_toxic
+from linkbook.plans.staging import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, trained on the labelled rows of ``docs``, accepts."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand elsewhere; those left without words go."""
+    return without_duplicate_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_per_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +42,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", decontaminate),
     ("mixing", mix),
 ]
+# Training a classifier and grouping near copies are not SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; each reads what the one before wrote."""
-    from linkbook.plans.staging import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkbook.llm import chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
+from linkbook.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
@@ -18,6 +18,7 @@ _MODULES = {
     "op7_toxicity": toxicity,
     "op8_jaccard_join": jaccard_join,
     "op9_quality": quality,
+    "op10_license_scan": license_scan,
 }
 
 
