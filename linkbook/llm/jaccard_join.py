@@ -1,11 +1,11 @@
 """N-gram Jaccard join: MinHash bands find candidates, full shingle sets verify them.
 
-Copies of a text are one row from the start. In a band's bucket every text is compared with the
-bucket's first one; only texts that fail this are compared with the whole bucket, so a bucket of
-copies is not expanded into pairs, and no similar pair of a bucket is missed: two texts that
-are not compared are both verified against the same first text. Connected groups are the
-classes. The links of a text are then counted inside its class, block by block, without
-emitting pairs.
+Copies of a text are one row from the start. In a band's bucket every text is compared with one
+head, another one in each band. Texts that this connects need no further comparison; two texts
+of a bucket that are still apart are compared, unless the sizes of their sets rule it out. So a
+bucket of near copies is not expanded into pairs, and no similar pair of a bucket is missed.
+Connected groups are the classes. The links of a text are then counted inside its class, block
+by block, without emitting pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkbook.llm.common import components, text_key, with_row_ids
@@ -26,7 +26,7 @@ from linkbook.plans.staging import stage
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-MAX_HASHES = 160
+MAX_HASHES = 320
 # Shingles of one block when the links of a class are counted; classes with more are cut into blocks.
 BLOCK_SHINGLES = 400_000
 
@@ -51,7 +51,7 @@ def _row_shingles(hashes: np.ndarray, runs: np.ndarray, a: int, b: int, n: int)
 
 
 def _signatures(shingle: int, bands: int, rows: int):
-    """Arrow function: (doc_id, key, text) -> (doc_id, key, bands); no bands for a text without words."""
+    """Arrow function: (doc_id, key, text) -> (doc_id, key, size, bands); no bands for a text without words."""
     mixers = np.random.default_rng(8).integers(0, 2**63, bands * rows, dtype=np.int64).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +60,10 @@ def _signatures(shingle: int, bands: int, rows: int):
                 hashes, first = word_hashes(content, offsets, lower=True)
                 runs = sequences(hashes, shingle)
                 out: list[np.ndarray | None] = []
+                sizes = []
                 for i in range(to - at):
                     own = _row_shingles(hashes, runs, first[i], first[i + 1], shingle)
+                    sizes.append(len(own))
                     if not len(own):
                         out.append(None)
                         continue
@@ -75,8 +77,11 @@ def _signatures(shingle: int, bands: int, rows: int):
                         band = scramble(band * np.uint64(31) + table[:, r])
                     out.append(band.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at), batch.column("key").slice(at, to - at), pa.array(out, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "bands"],
+                    [
+                        batch.column("doc_id").slice(at, to - at), batch.column("key").slice(at, to - at),
+                        pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "key", "size", "bands"],
                 )
 
     return run
@@ -98,13 +103,18 @@ def _sets(shingle: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a``, ``b`` with whether their sets are similar. Sizes that rule it out are not looked up."""
+def _sizes_allow(a: str, b: str, threshold: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets are similar."""
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b"
     )
     same = F.size(F.array_intersect("ga", "gb")).cast("double")
-    return joined.select("a", "b", (same >= F.lit(threshold) * (F.size("ga") + F.size("gb") - same) - 1e-9).alias("similar"))
+    return joined.where(same >= F.lit(threshold) * (F.size("ga") + F.size("gb") - same) - 1e-9).select("a", "b")
 
 
 def _count_links(threshold: float):
@@ -151,33 +161,45 @@ def classes(
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     signed = stage(
-        keyed.mapInArrow(_signatures(shingle, bands, band_rows), f"doc_id {id_type}, key binary, bands array<bigint>"), "join-bands"
+        keyed.mapInArrow(_signatures(shingle, bands, band_rows), f"doc_id {id_type}, key binary, size bigint, bands array<bigint>"), "join-bands"
     )
     texts = stage(
-        signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
+        signed.groupBy("key").agg(
+            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        ),
         "join-texts",
     )
-    entries = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    heads = entries.groupBy("band", "hash").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bucketed = stage(entries.join(heads, ["band", "hash"]).where("key != head"), "join-buckets")
-    stars = bucketed.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    wanted = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
-    candidates = keyed.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    entries = texts.select("key", "size", F.posexplode("bands").alias("band", "hash"))
+    order = F.struct(F.xxhash64("band", "key"), "key", "size")
+    heads = entries.groupBy("band", "hash").agg(F.min(order).alias("h"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("band", "hash", F.col("h.key").alias("head"), F.col("h.size").alias("head_size"))
+    bucketed = stage(entries.join(heads, ["band", "hash"]), "join-buckets")
+    stars = bucketed.where((F.col("key") != F.col("head")) & _sizes_allow("size", "head_size", threshold)).select(
+        F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")
+    ).distinct()
+    shared = bucketed.select("key").distinct()
+    candidates = keyed.select("key", "text").join(shared, "key", "left_semi").dropDuplicates(["key"])
     sets = stage(candidates.mapInArrow(_sets(shingle), "key binary, grams array<bigint>"), "join-sets")
-    judged = stage(_verified(stars, sets, threshold), "join-stars")
-    # Texts unlike their bucket's head: compared with all others of the bucket.
-    astray = judged.where("not similar").select(F.col("a").alias("head"), F.col("b").alias("key"))
-    lone = bucketed.join(astray, ["head", "key"], "left_semi").select("band", "hash", F.col("key").alias("lone"))
+    alike = stage(_similar(stars, sets, threshold), "join-stars")
+    # What the heads have connected needs no comparison. In each bucket the rest is compared.
+    joined = stage(components(alike, "join-groups"), "join-groups").withColumnRenamed("group", "part")
+    member = bucketed.join(joined, bucketed["key"] == joined["node"], "left").withColumn("part", F.coalesce("part", "key")).drop("node")
+    split = member.groupBy("band", "hash").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", "hash")
+    apart = stage(member.join(split, ["band", "hash"], "left_semi"), "join-apart")
+    core = apart.where("key = head").select("band", "hash", F.col("part").alias("core"))
+    apart = apart.join(core, ["band", "hash"])
+    lone = apart.where("part != core").select("band", "hash", "core", *[F.col(c).alias(f"lone_{c}") for c in ("key", "size", "part")])
+    others = apart.select("band", "hash", "key", "size", "part")
     pairs = (
-        lone.join(bucketed.select("band", "hash", F.col("key").alias("other")), ["band", "hash"])
-        .where("lone != other")
-        .select(F.least("lone", "other").alias("a"), F.greatest("lone", "other").alias("b"))
-        .distinct()
+        lone.join(others, ["band", "hash"])
+        .where((F.col("lone_part") != F.col("part")) & ((F.col("part") == F.col("core")) | (F.col("lone_key") < F.col("key"))))
+        .where(_sizes_allow("size", "lone_size", threshold))
+        .select(F.least("lone_key", "key").alias("a"), F.greatest("lone_key", "key").alias("b")).distinct()
     )
-    more = _verified(pairs, sets, threshold)
-    links = stage(judged.union(more).where("similar").select("a", "b").distinct(), "join-links")
+    more = stage(_similar(pairs, sets, threshold), "join-more")
+    links = alike.union(more)
     groups = components(links, "join-groups")
-    grouped = texts.drop("bands").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    grouped = texts.drop("bands", "size").join(groups.withColumnRenamed("node", "key"), "key", "left")
     grouped = grouped.withColumn("group", F.coalesce("group", "key"))
     rows = signed.select("doc_id", "key", F.col("bands").isNotNull().alias("has_words"))
     return rows, stage(grouped, "join-classes"), sets
