@@ -29,10 +29,12 @@ LEVEL = 5
 # dictionaries hold ends every window; it costs both the same.
 WINDOW = 1
 PAD = b"@0q7Zk#9vX!2mW~5jQ^8rT&1hL%4dS*6"
-# Labelled documents whose features calibrate the thresholds, at most, chosen by hash.
+# Labelled documents whose features calibrate the thresholds, about so many at most, chosen by hash.
 CALIBRATION_ROWS = 40_000
 # Byte savings that count a window as a hit, as features.
 SAVINGS = (1, 2, 3, 4)
+# Labelled ids are broadcast up to this size; a row takes about so many bytes of a task's memory.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 MEMO_WINDOWS = 200_000
 N_FEATURES = len(SAVINGS) + 3
 PUNCTUATION = ".,;:!?\"()"
@@ -147,26 +149,35 @@ def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float,
     return (float(w[0] - slopes @ mean), *slopes.tolist())
 
 
+def _lookup(rows: DataFrame) -> DataFrame:
+    """Labelled ids to join: broadcast if they fit ``BROADCAST_BYTES``, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() * ROW_BYTES <= BROADCAST_BYTES else rows
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries from one half of the labelled rows that are not held out, thresholds from the other.
 
-    Word counts cover the whole half, each distinct text once; the calibration takes at most
-    ``CALIBRATION_ROWS`` rows by hash. Without rows of both labels the score is the share of
+    Word counts cover the whole half, each distinct text once; the calibration takes about
+    ``CALIBRATION_ROWS`` rows at most, by hash. Without rows of both labels the score is the share of
     toxic rows, 0 without rows. Null labels are not used; of several labels of an id the largest holds.
     """
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", F.col("text").alias("text")).where(~held_out(F.col("doc_id")))
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
-    learnt = stage(rows.join(marks, "doc_id").select("doc_id", "text", "label", half.alias("half")), "toxic-rows")
+    marks = stage(marks.withColumn("half", half), "toxic-labels")
+    rows = docs.select("doc_id", F.col("text").alias("text"))
+    keyed = rows.join(_lookup(marks.where("half = 0")), "doc_id").select("doc_id", "label", text_key(F.col("text")).alias("key"))
+    single = stage(keyed.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label"), "toxic-texts")
     plain = F.translate(F.coalesce("text", F.lit("")), UPPER + PUNCTUATION, LOWER + " " * len(PUNCTUATION))
-    single = learnt.where("half = 0").select("label", text_key(F.col("text")).alias("key"), F.array_distinct(words(plain)).alias("w"))
+    each = rows.join(_lookup(single.dropDuplicates(["doc_id"])), "doc_id").select("label", F.explode(F.array_distinct(words(plain))).alias("word"))
     counts = stage(
-        single.dropDuplicates(["label", "key"]).select("label", F.explode("w").alias("word")).where("length(word) < 100")
-        .groupBy("label", "word").agg(F.count("*").alias("n")),
-        "toxic-words",
+        each.where("length(word) < 100").groupBy("label", "word").agg(F.count("*").alias("n")), "toxic-words"
     )
     draft = Model(_dictionary(counts, 1, TOXIC_BYTES), _dictionary(counts, 0, ORDINARY_BYTES), ())
-    sample = learnt.where("half = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    other = marks.where("half = 1")
+    share = min(1.0, CALIBRATION_ROWS / max(1, other.count()))
+    spread = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = rows.join(_lookup(stage(other.where(spread), "toxic-sample")), "doc_id")
     measured = sample.select("label", "text").mapInArrow(_feature_batches(draft), "label int, features array<double>").collect()
     y = np.array([r["label"] for r in measured], float)
     if len(set(y)) < 2:
