@@ -1,0 +1,237 @@
+"""Operators without a statement, against plain Python over small tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from linkbook.llm import common, jaccard_join, license_scan, line_dedup, lm_scoring, quality, substring_dedup, toxicity
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def _lower(text):
+    return re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    out = [make(rng.randint(3, 160)) for _ in range(150)]
+    base = make(200)
+    for _ in range(40):  # a family of near copies, some of them more than a few words apart
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        out.append(copy)
+    passage = make(70)  # shared by texts that are otherwise unlike
+    out += [make(40) + passage + make(60) for _ in range(25)]
+    out += [list(out[3]), list(out[3]), [w.upper() for w in out[5]], [], ["a"], ["a"], ["a", "b"]]
+    rng.shuffle(out)
+    return {i: "\n".join(" ".join(t[k : k + 12]) for k in range(0, len(t), 12)) for i, t in enumerate(out)}
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def _shingles(text):
+    words = _lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_join(docs, texts):
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    links, group = Counter(), {i: i for i in texts}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            same = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same) - 1e-9:
+                links.update((a, b))
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    rows = jaccard_join.join(docs).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in rows} == {i: (links[i], root(i)) for i in texts}
+    sizes = Counter(root(i) for i in texts)
+    assert all(r["class_size"] == sizes[r["class_id"]] for r in rows)
+    kept = {r["doc_id"] for r in jaccard_join.one_per_class(docs).collect()}
+    assert kept == set(sizes)
+
+
+def test_join_counts_links_across_blocks(docs, monkeypatch):
+    whole = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1500)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.join(docs).collect()} == whole
+
+
+def test_bands_reach_the_recall():
+    for threshold in (0.5, 0.8, 0.95):
+        bands, rows = jaccard_join.bands_for(threshold, 0.999, 320)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.999 and bands * rows <= 320
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    expected = {}
+    for start in sorted(near):
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            if x not in expected:
+                expected[x] = start
+                stack += near[x]
+    found = common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    loops = {a for a in near if near[a] == {a}}
+    assert {r["node"]: r["group"] for r in found} == {k: v for k, v in expected.items() if k not in loops}
+    assert common.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_windows(docs, texts):
+    words = {i: t.encode().split() for i, t in texts.items()}
+    first = {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][p : p + 50]), i)
+    for r in substring_dedup.dedup(docs).collect():
+        own, gone = words[r["doc_id"]], set()
+        for p in range(len(own) - 49):
+            if first[tuple(own[p : p + 50])] < r["doc_id"]:
+                gone.update(range(p, p + 50))
+        kept = b" ".join(w for k, w in enumerate(own) if k not in gone)
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(own), len(gone), hashlib.sha256(kept).hexdigest())
+    levels = substring_dedup.levels()
+    assert levels[-1] == 50 and all(b <= 2 * a for a, b in zip(levels, levels[1:], strict=False))
+
+
+def test_language_model(docs, texts):
+    tokens = lambda t: [*_lower(t).split(), None]
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    one, two, three = Counter(), Counter(), Counter()
+    for i in learnt:
+        one.update(tokens(texts[i]))
+    n, z = sum(one.values()), sum(one.values()) + 0.1 * (len(one) + 1)
+    least = max(2, 1e-6 * n)
+    numbered = {w for w, c in one.items() if c >= least} | {"<s>"}
+    for i in learnt:
+        s = ["<s>", *tokens(texts[i])]
+        two.update(x for x in zip(s, s[1:], strict=False) if numbered.issuperset(x))
+        three.update(x for x in zip(s, s[1:], s[2:], strict=False) if numbered.issuperset(x))
+    two, three = ({k: c for k, c in x.items() if c >= least} for x in (two, three))
+    history = {**one, "<s>": len(learnt)}
+    p1 = lambda w: (one.get(w, 0) + 0.1) / z
+    kept, below = defaultdict(float), defaultdict(float)
+    for (a, b), c in two.items():
+        kept[a] += (c - 0.75) / history[a]
+        below[a] += p1(b)
+    back = lambda h: max(1 - kept[h], 1e-12) / max(1 - below[h], 1e-12) if h in kept else 1
+    p2 = lambda a, b: (two[a, b] - 0.75) / history[a] if (a, b) in two else back(a) * p1(b)
+    for (a, b, w), c in three.items():
+        kept[a, b] += (c - 0.75) / two[a, b]
+        below[a, b] += p2(b, w)
+    p3 = lambda a, b, w: (three[a, b, w] - 0.75) / two[a, b] if (a, b, w) in three else back((a, b)) * p2(b, w)
+    for a in ["<s>", *list(one)[:5]]:  # a history's probabilities, with one unknown word, sum to 1
+        assert math.isclose(sum(p2(a, w) for w in [*one, "unknown"]), 1, rel_tol=1e-9)
+    few = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.score(docs, table_words=300).collect()}
+    for r in lm_scoring.score(docs).collect():
+        assert few[r["doc_id"]] == (r["n_known"], round(r["base_score"], 6))
+        s = ["<s>", *tokens(texts[r["doc_id"]])]
+        score = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*s[i - 2 : i + 1])) for i in range(2, len(s)))
+        base = sum(math.log10(p1(w)) for w in s[1:])
+        assert (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(s) - 1, n, sum(w in one for w in s[1:]))
+        assert math.isclose(r["score"], score, rel_tol=1e-9) and math.isclose(r["base_score"], base, rel_tol=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+
+
+def test_frequent_grams_survive_small_chunks(docs, monkeypatch):
+    """Many small chunks lose no n-gram: the same scores at a share that prunes."""
+    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, share=4e-4).collect()}
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 2500)
+    cut = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, share=4e-4).collect()}
+    assert all(math.isclose(whole[i], cut[i], rel_tol=1e-12) for i in whole)
+
+
+def test_quality_counts_and_outliers(spark, docs, texts):
+    rng = random.Random(3)
+    junk = {1000 + i: " ".join(w + "$$$" for w in rng.choices(texts[1].split() + ["odd", "word"], k=90)) for i in range(6)}
+    junk[1100] = "same words again " * 30
+    both = {**texts, **junk}
+    rows = quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in both.items()], docs.schema)).collect()
+    for r in rows:
+        t = both[r["doc_id"]]
+        w = t.split()
+        runs = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {i + k for i in range(len(w) - 2) for k in range(3) if runs[tuple(w[i : i + 3])] > 1}
+        lines = [x for x in t.split("\n") if x.split()]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
+        assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(hit))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+        assert r["kept"] == (not r["base_failed"] and r["doc_id"] < 1000)
+
+
+def test_chi_square():
+    assert math.isclose(quality._chi2_cdf(3.0, 2), 1 - math.exp(-1.5), rel_tol=1e-12)
+    assert math.isclose(quality._chi2_cdf(quality._chi2_quantile(0.75, 5), 5), 0.75, rel_tol=1e-9)
+
+
+def test_lines(docs, texts, spark):
+    seen, first, removed = set(), {}, defaultdict(list)
+    for i in sorted(texts):
+        for p, line in enumerate(texts[i].split("\n")):
+            key = " ".join(line.lower().split())
+            if key and key in seen:
+                removed[i].append(p)
+            elif key:
+                seen.add(key)
+                first[i, p] = key
+    rows = {r["doc_id"]: r for r in line_dedup.duplicate_lines(docs).collect()}
+    near = Counter()
+    for i, r in rows.items():
+        assert set(removed[i]) <= set(r["removed"])  # all exact repeats go
+        near["extra"] += len(set(r["removed"]) - set(removed[i]))
+        assert r["n_lines"] == sum(bool(x.split()) for x in texts[i].split("\n")) and r["n_removed"] == len(r["removed"])
+    line = " ".join(f"distinctive{i} wording{i}" for i in range(30))
+    planted = [(1, f"{line}\nfirst"), (2, f"second\n{line[:-1]}"), (3, line.replace("wording7", "wordjng7")), (4, line.upper() + "\n \nlast"), (5, line)]
+    out = line_dedup.without_duplicate_lines(spark.createDataFrame(planted, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [(1, f"{line}\nfirst"), (2, "second"), (4, " \nlast")]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.classify(docs, labels).collect()
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+    held = [(marks[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in marks]
+    assert sum(a == b for a, b in held) / len(held) > 0.9
+    assert sum(a == 1 and b == 0 for b, a in held) <= 0.05 * len(held)
+
+
+def test_licenses(spark):
+    lines = {
+        "Released under the MIT License.": "MIT",
+        "this work is licensed under the GNU General Public License, version 3": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Licensed under CC BY-NC 4.0. All rights reserved.": "CC-BY-NC-4.0,all-rights-reserved",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under the Apache License, Version 3.0.": "",
+        "My driving license was renewed.": "",
+        "word " * 300 + "Licensed under the Apache License, Version 2.0. " + "word " * 300: "Apache-2.0",
+    }
+    docs = spark.createDataFrame([(i, f"text before\n{t}\ntext after") for i, t in enumerate(lines)], "doc_id long, text string")
+    assert [r["licenses"] for r in license_scan.scan(docs).orderBy("doc_id").collect()] == list(lines.values())
