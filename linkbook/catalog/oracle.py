@@ -669,42 +669,33 @@ all_rows AS (
     UNION ALL SELECT p, pi, s, o, 2 + 4 + length('http://www.w3.org/2001/XMLSchema#decimal') FROM number_rows), t_ns)"""
 
 
-def _rounds(rounds: int = 12) -> str:
-    """The multi-round cascade unrolled: every round re-derives the whole state of all seeds."""
-    out = [
-        """
+_ROUNDS = """
 d0 AS MATERIALIZED (SELECT ubo AS seed, entity_id FROM ubo WHERE ubo IN (SELECT head FROM tops)),
-pledge AS MATERIALIZED (SELECT pledged AS entity_id, CAST(SUM(COALESCE(value, 0)) AS DOUBLE) AS value FROM items GROUP BY pledged),
-owed AS MATERIALIZED (SELECT l.borrower, g.guarantor, SUM(g.amount) AS amount FROM guarantees g JOIN loans l ON l.loan_id = g.loan_id GROUP BY 1, 2),
+pledge AS MATERIALIZED (SELECT pledged AS entity_id, CAST(SUM(COALESCE(value, 0)) AS DECIMAL(30,2)) AS value FROM items GROUP BY pledged),
+owed AS MATERIALIZED (SELECT l.borrower, g.guarantor, CAST(SUM(g.amount) AS DECIMAL(30,2)) AS amount FROM guarantees g JOIN loans l ON l.loan_id = g.loan_id GROUP BY 1, 2),
 takedown AS MATERIALIZED (SELECT ubo AS guarantor, entity_id AS member FROM ubo UNION SELECT entity_id, entity_id FROM entities),
-nets AS MATERIALIZED (SELECT entity_id, CAST(ead AS DOUBLE) AS net FROM net)"""
-    ]
-    for r in range(1, rounds + 1):
-        p = r - 1
-        out.append(
-            f"""
-cut{r} AS MATERIALIZED (
-  SELECT s.head AS seed, LEAST(0.5, 0.5 * COALESCE(SUM(k.value), 0) / (SELECT SUM(value) FROM pledge)) AS cut
-  FROM tops s JOIN d{p} d ON d.seed = s.head LEFT JOIN pledge k ON k.entity_id = d.entity_id GROUP BY s.head),
-new{r} AS MATERIALIZED (
-  SELECT o.seed, o.guarantor FROM (
-    SELECT d.seed, w.guarantor, CAST(SUM(w.amount) AS DOUBLE) AS amount FROM d{p} d JOIN owed w ON w.borrower = d.entity_id
-    WHERE NOT EXISTS (SELECT 1 FROM d{p} x WHERE x.seed = d.seed AND x.entity_id = w.guarantor) GROUP BY d.seed, w.guarantor) o
-  JOIN cut{r} c ON c.seed = o.seed LEFT JOIN nets n ON n.entity_id = o.guarantor
-  WHERE o.amount > CAST(0.3 AS DOUBLE) * (1 - c.cut) * COALESCE(n.net, 0)),
-d{r} AS MATERIALIZED (
-  SELECT seed, entity_id FROM d{p} UNION SELECT n.seed, t.member FROM new{r} n JOIN takedown t ON t.guarantor = n.guarantor)"""
-        )
-    lasts = " UNION ALL ".join(f"SELECT DISTINCT seed, {r} AS r FROM new{r}" for r in range(1, rounds + 1))
-    out.append(
-        f"""
-last_round AS (SELECT seed, MAX(r) AS last FROM ({lasts}) GROUP BY seed),
+nets AS MATERIALIZED (SELECT entity_id, CAST(ead AS DECIMAL(22,4)) AS net FROM net),
+st(seed, r, cut, grew, members) AS (
+  SELECT seed, 0, CAST(0 AS DOUBLE), true, list(entity_id) FROM d0 GROUP BY seed
+  UNION ALL
+  (WITH m AS (SELECT seed, unnest(members) AS e FROM st WHERE grew),
+  c AS (SELECT m.seed, LEAST(0.5, CAST(0.5 AS DOUBLE) * CAST(COALESCE(SUM(k.value), 0) AS DOUBLE) / (SELECT CAST(SUM(value) AS DOUBLE) FROM pledge)) AS cut
+    FROM m LEFT JOIN pledge k ON k.entity_id = m.e GROUP BY m.seed),
+  o AS (SELECT m.seed, w.guarantor, SUM(w.amount) AS amount FROM m JOIN owed w ON w.borrower = m.e GROUP BY 1, 2),
+  f AS (SELECT o.seed, o.guarantor FROM o JOIN c ON c.seed = o.seed LEFT JOIN nets n ON n.entity_id = o.guarantor
+    WHERE o.amount > CAST(round(CAST(0.3 AS DOUBLE) * (1 - c.cut), 12) AS DECIMAL(13,12)) * COALESCE(n.net, 0)),
+  a AS (SELECT DISTINCT f.seed, t.member FROM f JOIN takedown t ON t.guarantor = f.guarantor
+    LEFT JOIN m g ON g.seed = f.seed AND g.e = f.guarantor LEFT JOIN m x ON x.seed = f.seed AND x.e = t.member
+    WHERE g.e IS NULL AND x.e IS NULL),
+  n AS (SELECT seed, list(member) AS more FROM a GROUP BY seed)
+  SELECT s.seed, s.r + 1, c.cut, n.more IS NOT NULL, list_concat(s.members, COALESCE(n.more, []))
+  FROM st s JOIN c ON c.seed = s.seed LEFT JOIN n ON n.seed = s.seed WHERE s.grew)),
+fin AS MATERIALIZED (SELECT seed, MAX(r) AS r, arg_max(cut, r) AS cut, arg_max(members, r) AS members FROM st GROUP BY seed),
+dl AS MATERIALIZED (SELECT seed, unnest(members) AS entity_id FROM fin),
 losses AS (
-  SELECT d.seed, SUM(l.amount) AS amount FROM d{rounds} d JOIN active l ON l.borrower = d.entity_id
+  SELECT d.seed, SUM(l.amount) AS amount FROM dl d JOIN active l ON l.borrower = d.entity_id
   WHERE NOT EXISTS (SELECT 1 FROM guarantees g WHERE g.loan_id = l.loan_id
-    AND NOT EXISTS (SELECT 1 FROM d{rounds} x WHERE x.seed = d.seed AND x.entity_id = g.guarantor)) GROUP BY d.seed)"""
-    )
-    return ",".join(out)
+    AND NOT EXISTS (SELECT 1 FROM dl x WHERE x.seed = d.seed AND x.entity_id = g.guarantor)) GROUP BY d.seed)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -1057,12 +1048,12 @@ loss AS (
 JOIN ubo bu ON bu.entity_id = l.borrower JOIN ubo gu ON gu.entity_id = g.guarantor WHERE gu.ubo <> bu.ubo""",
     )
     q["default_cascade_multiround"] = _sql(
-        DEDICATED + "," + _net("net") + "," + _rounds(),
-        f"""SELECT s.head AS seed, {_b('LEAST(12, 1 + COALESCE(r.last, 0))')} AS rounds, {_b('d.n')} AS defaulted, {_b('d.n - i.n')} AS second_order,
-  round(LEAST(1.0, CAST(0.45 AS DOUBLE) + c.cut) * {_d('COALESCE(x.amount, 0)')}, 2) AS total_loss, round(round(c.cut, 3), 2) AS firesale_haircut
-FROM tops s JOIN (SELECT seed, COUNT(*) AS n FROM d12 GROUP BY seed) d ON d.seed = s.head
-JOIN (SELECT seed, COUNT(*) AS n FROM d0 GROUP BY seed) i ON i.seed = s.head JOIN cut12 c ON c.seed = s.head
-LEFT JOIN last_round r ON r.seed = s.head LEFT JOIN losses x ON x.seed = s.head""",
+        DEDICATED + "," + _net("net") + "," + _ROUNDS,
+        f"""SELECT s.head AS seed, {_b('d.r')} AS rounds, {_b('len(d.members)')} AS defaulted, {_b('len(d.members) - i.n')} AS second_order,
+  round(LEAST(1.0, CAST(0.45 AS DOUBLE) + d.cut) * {_d('COALESCE(x.amount, 0)')}, 2) AS total_loss, round(round(d.cut, 3), 2) AS firesale_haircut,
+  true AS converged
+FROM tops s JOIN fin d ON d.seed = s.head JOIN (SELECT seed, COUNT(*) AS n FROM d0 GROUP BY seed) i ON i.seed = s.head
+LEFT JOIN losses x ON x.seed = s.head""",
     )
     q["structural_wrong_way_risk"] = _sql(
         WWR,

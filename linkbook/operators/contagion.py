@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
 LOSS = "decimal(34,4)"
+NET = "decimal(22,4)"
 
 
 def _edges(book: Book) -> DataFrame:
@@ -128,7 +130,7 @@ def cascade_multiround(
     book: Book,
     buffer_fraction: float = P.BUFFER_FRACTION,
     firesale_sensitivity: float = P.FIRESALE_SENSITIVITY,
-    max_rounds: int = P.MAX_ROUNDS,
+    max_rounds: int | None = None,
     lgd: Decimal = P.LGD,
     contagion_group: str = "ubo",
 ) -> DataFrame:
@@ -136,8 +138,11 @@ def cascade_multiround(
 
     Each round only last round's new defaults add guarantee obligations; the
     obligations carried by solvent guarantors are kept and re-tested against the
-    buffer as the fire-sale haircut grows. A seed leaves the loop when a round
-    brings it nothing new. Every round is a staged table.
+    buffer as the fire-sale haircut grows. A seed leaves every table of the loop
+    when a round brings it nothing new; the defaulted set only grows, so the loop
+    ends by itself. With ``max_rounds``, seeds still moving then have
+    ``converged`` false. Amounts, buffers and pledges are decimals, and the share of
+    the net exposure that absorbs losses is one with twelve places.
 
     ``contagion_group="ubo"``: a failing guarantor below the top of its group takes
     down only itself; ``"closure"`` takes down everything it owns.
@@ -148,19 +153,17 @@ def cascade_multiround(
     buffers = stage(
         guarantors.join(net_exposure(book).select("entity_id", "net"), "entity_id", "left").select(
             F.col("entity_id").alias("guarantor"),
-            F.coalesce("net", F.lit(0)).cast("double").alias("net"),
+            F.coalesce("net", F.lit(0)).cast(NET).alias("net"),
         ),
         "buffers",
     )
     pledges = (
         book.items.filter(F.col("status") == "active")
         .groupBy(F.col("pledged_by_entity_id").alias("entity_id"))
-        .agg(F.sum(F.coalesce("collateral_value", F.lit(0))).cast("double").alias("value"))
+        .agg(F.sum(F.coalesce("collateral_value", F.lit(0))).cast(SUM_MONEY).alias("value"))
     )
     pledges = stage(pledges, "pledges")
-    pledged_total = F.coalesce(
-        F.nullif(pledges.agg(F.sum("value")).scalar(), F.lit(0.0)), F.lit(1.0)
-    )
+    pledged = pledges.agg(F.sum("value")).first()[0] or 1
     takedown = group_members(book, contagion_group).join(
         guarantors.withColumnRenamed("entity_id", "head"), "head", "left_semi"
     )
@@ -174,40 +177,21 @@ def cascade_multiround(
         "seeds",
     )
     initial = fresh.groupBy("seed").agg(F.count("*").alias("initial"))
-    # The defaulted set is the union of each round's staged additions; none is rewritten.
-    defaulted = fresh
-    # Per seed: collateral dumped so far, haircut of its last round, rounds run, still moving.
-    status = seeds.select(
-        "seed",
-        F.lit(0.0).alias("dumped"),
-        F.lit(0.0).alias("haircut"),
-        F.lit(0).alias("rounds"),
-        F.lit(True).alias("moving"),
-    )
-    carried = None
-    for round_no in range(1, max_rounds + 1):
-        dumped = (
-            fresh.join(pledges, "entity_id")
-            .groupBy("seed")
-            .agg(F.sum("value").alias("dumped_now"))
-        )
-        status = (
-            status.join(dumped, "seed", "left")
-            .withColumn("dumped", F.col("dumped") + F.coalesce("dumped_now", F.lit(0.0)))
-            .withColumn(
-                "haircut",
-                F.when(
-                    F.col("moving"),
-                    F.least(
-                        F.lit(P.FIRESALE_CAP),
-                        F.lit(firesale_sensitivity) * F.col("dumped") / pledged_total,
-                    ),
-                ).otherwise(F.col("haircut")),
-            )
-            .withColumn("rounds", F.when(F.col("moving"), round_no).otherwise(F.col("rounds")))
-            .drop("dumped_now")
+    # Every seed's defaults are the union of the rounds' additions; ``members`` has the moving seeds' only.
+    defaulted, members = fresh, fresh
+    zero = F.lit(0).cast(SUM_MONEY)
+    moving = seeds.select("seed", zero.alias("dumped"))
+    carried, finished, round_no = None, [], 0
+    while True:
+        round_no += 1
+        dumped = fresh.join(pledges, "entity_id").groupBy("seed").agg(F.sum("value").alias("now"))
+        haircut = F.lit(firesale_sensitivity) * F.col("dumped").cast("double") / F.lit(float(pledged))
+        status = stage(
+            moving.join(dumped, "seed", "left")
+            .select("seed", (F.col("dumped") + F.coalesce("now", zero)).cast(SUM_MONEY).alias("dumped"))
+            .withColumn("haircut", F.least(F.lit(P.FIRESALE_CAP), haircut)),
+            "status",
         )
-        status = stage(status, "status")
         added = (
             fresh.withColumnRenamed("entity_id", "borrower")
             .join(owed, "borrower")
@@ -218,38 +202,41 @@ def cascade_multiround(
             owing.groupBy("seed", "guarantor")
             .agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
             .join(
-                defaulted.withColumnRenamed("entity_id", "guarantor"),
-                ["seed", "guarantor"],
-                "left_anti",
+                members.withColumnRenamed("entity_id", "guarantor"), ["seed", "guarantor"], "left_anti"
             ),
             "owing",
         )
-        limit = F.lit(buffer_fraction) * (1 - F.col("haircut")) * F.col("net")
+        share = F.round(F.lit(buffer_fraction) * (1 - F.col("haircut")), 12).cast("decimal(13,12)")
         failing = (
-            owing.join(status.filter("moving").select("seed", "haircut"), "seed")
+            owing.join(status.select("seed", "haircut"), "seed")
             .join(buffers, "guarantor")
-            .filter(F.col("amount").cast("double") > limit)
+            .filter(F.col("amount") > share * F.col("net"))
             .select("seed", "guarantor")
         )
         fresh = stage(
             failing.join(takedown, "guarantor")
             .select("seed", F.col("member").alias("entity_id"))
             .distinct()
-            .join(defaulted, ["seed", "entity_id"], "left_anti"),
+            .join(members, ["seed", "entity_id"], "left_anti"),
             "fresh",
         )
+        grown = fresh.select("seed").distinct()
+        rounds = F.lit(round_no).alias("rounds")
+        finished.append(
+            status.join(grown, "seed", "left_anti").select("seed", "haircut", rounds, F.lit(True).alias("converged"))
+        )
         if fresh.isEmpty():
             break
-        carried = owing
         defaulted = defaulted.unionByName(fresh)
-        moving = fresh.select("seed", F.lit(True).alias("again")).distinct()
-        status = (
-            status.drop("moving")
-            .join(moving, "seed", "left")
-            .withColumn("moving", F.coalesce("again", F.lit(False)))
-            .drop("again")
-        )
-    return _cascade_losses(book, edges, defaulted, status, initial, lgd)
+        if round_no == max_rounds:
+            finished.append(
+                status.join(grown, "seed", "left_semi").select("seed", "haircut", rounds, F.lit(False).alias("converged"))
+            )
+            break
+        moving = status.join(grown, "seed", "left_semi").select("seed", "dumped")
+        carried = owing.join(grown, "seed", "left_semi")
+        members = stage(members.join(grown, "seed", "left_semi").unionByName(fresh), "members")
+    return _cascade_losses(book, edges, defaulted, reduce(DataFrame.unionByName, finished), initial, lgd)
 
 
 def _cascade_losses(
@@ -294,5 +281,6 @@ def _cascade_losses(
             (F.col("defaulted") - F.col("initial")).alias("second_order"),
             (effective * exposed).alias("total_loss"),
             F.round("haircut", 3).alias("firesale_haircut"),
+            "converged",
         )
     )

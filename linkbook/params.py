@@ -73,7 +73,6 @@ OWN_RATING = "AAA"
 BUFFER_FRACTION = 0.3
 FIRESALE_SENSITIVITY = 0.5
 FIRESALE_CAP = 0.5
-MAX_ROUNDS = 12
 
 # Macro model (notches per sector at full factor stress; scenario intensities).
 SECTOR_SENSITIVITY = {

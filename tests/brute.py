@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from decimal import Decimal
 
 
 class Brute:
@@ -85,12 +86,12 @@ class Brute:
         lost = {n for _, by, n, _ in self.guarantees if by in d and n in active and active[n][0] not in d}
         return direct, sum(0.45 * active[n][1] for n in lost)
 
-    def multiround(self, head, cap=12):
+    def multiround(self, head, cap=None):
         d = self.group(head)
         first = len(d)
         total = sum(v[2] or 0 for v in self.attrs.values()) or 1
         rounds, haircut = 0, 0.0
-        while rounds < cap:
+        while cap is None or rounds < cap:
             rounds += 1
             dumped = sum(v[2] or 0 for v in self.attrs.values() if v[0] in d)
             haircut = min(0.5, 0.5 * dumped / total)
@@ -100,7 +101,7 @@ class Brute:
                     owed[by] += a
             new = set()
             for e, a in owed.items():
-                if a > 0.3 * (1 - haircut) * self.net(e):
+                if Decimal(a) > round(Decimal(0.3 * (1 - haircut)), 12) * Decimal(str(self.net(e))):
                     new |= self.group(e)
             if new <= d:
                 break

@@ -1,5 +1,7 @@
 """Set-based operators against one-name-at-a-time definitions on random books."""
 
+from decimal import Decimal
+
 import pytest
 from books import entity, guarantee, item, loan, make_book, random_rows
 from brute import Brute
@@ -120,3 +122,31 @@ def test_netting(spark, loans, items, expected):
         collateral=[item(i, n, value=v, haircut=h) for i, n, v, h in items],
     )
     assert {r.entity_id: r.net for r in mitigation.net_exposure(book).collect()}["A"] == expected
+
+
+def test_multiround_at_the_buffer(spark):
+    """An obligation of exactly 30 % of the net exposure does not default the guarantor."""
+    for net, owed, falls in (("3.00", "0.90", False), ("3.30", "0.99", False), ("3.00", "0.91", True)):
+        book = make_book(
+            spark,
+            entities=[entity("S"), entity("G")],
+            loans=[loan("L1", "S", 10), loan("L2", "G", Decimal(net))],
+            guarantees=[guarantee("G1", "G", "L1", Decimal(owed))],
+        )
+        rows = {r.seed: r for r in contagion.cascade_multiround(book).collect()}
+        assert (rows["S"].defaulted == 2) == falls and rows["S"].converged
+
+
+def test_multiround_chain_needs_no_cap(spark):
+    """A chain of guarantors falls one per round, far beyond a dozen rounds."""
+    n = 20
+    book = make_book(
+        spark,
+        entities=[entity(f"E{i}") for i in range(n)],
+        loans=[loan(f"L{i}", f"E{i}", 10) for i in range(n)],
+        guarantees=[guarantee(f"G{i}", f"E{i + 1}", f"L{i}", 10) for i in range(n - 1)],
+    )
+    whole = {r.seed: r for r in contagion.cascade_multiround(book).collect()}
+    assert (whole["E0"].defaulted, whole["E0"].rounds, whole["E0"].converged) == (n, n, True)
+    cut = {r.seed: r for r in contagion.cascade_multiround(book, max_rounds=3).collect()}
+    assert (cut["E0"].defaulted, cut["E0"].converged) == (4, False) and cut[f"E{n - 1}"].converged
