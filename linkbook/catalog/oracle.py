@@ -126,8 +126,7 @@ watch AS (
       ELSE 'green' END AS band
   FROM limits x LEFT JOIN conn c ON c.head = x.entity_id JOIN entities e ON e.entity_id = x.entity_id),
 top_watch AS (
-  SELECT entity_id AS head FROM watch ORDER BY CAST(connected AS DOUBLE) / CAST(cap AS DOUBLE) DESC,
-    entity_id LIMIT 10)"""
+  SELECT entity_id AS head FROM watch WHERE band = 'red')"""
 )
 OWNERS = """
 reroute AS (
@@ -581,7 +580,7 @@ nb_rows AS (
   SELECT DISTINCT b.nbfi, '3. shared collateral', l.borrower, l.amount, CAST(p1.item AS VARCHAR), l.loan_id
   FROM nb b JOIN loans l1 ON l1.borrower = b.nbfi JOIN pairs p1 ON p1.loan_id = l1.loan_id
   JOIN pairs p2 ON p2.item = p1.item JOIN active l ON l.loan_id = p2.loan_id WHERE l.borrower <> b.nbfi),
-top_nb AS (SELECT nbfi FROM nb_rows GROUP BY nbfi ORDER BY SUM(amount) DESC, nbfi LIMIT 10)"""
+top_nb AS (SELECT DISTINCT nbfi FROM nb_rows)"""
 
 WWR = """
 wwr AS (
@@ -717,6 +716,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT c.*, 'calm' AS dataset FROM ({counts}) c UNION ALL SELECT \"table\", CASE WHEN \"table\" = 'loans' THEN "
         f"(SELECT {_b('COUNT(*)')} FROM active) ELSE rows END, 'stressed' FROM ({counts}) d",
     )
+    q["guarded_import_strict"] = _sql("", f"SELECT *, true AS clean_loaded, false AS faulty_loaded FROM ({counts})")
     q["collateral_items"] = _sql(
         "",
         f"""SELECT item AS collateral_id, 'Item ' || item AS collateral_type, pledged AS pledged_by_entity_id,
@@ -782,15 +782,15 @@ UNION ALL SELECT head, 0, 0, 0, 0, 0 FROM (
     q["headline"] = _headline(CONNECTED)
     q["headline_active_loans"] = _headline(CONNECTED)
     q["headline_any_status"] = _headline(_connected("conn", "loans", inside_too=True))
-    q["breakdown_top_names"] = _sql(WATCH, _breakdown("top_watch"))
-    q["exposure_to_top_groups"] = _sql(
-        WATCH, f"SELECT t.head, {_d('COALESCE(c.connected, 0)')} AS connected FROM top_watch t LEFT JOIN conn c ON c.head = t.head"
+    q["breakdown_breaching_names"] = _sql(WATCH, _breakdown("top_watch"))
+    q["exposure_to_groups"] = _sql(
+        WATCH, f"SELECT t.head, {_d('COALESCE(c.connected, 0)')} AS connected FROM tops t LEFT JOIN conn c ON c.head = t.head"
     )
     q["nbfi_cascade_totals"] = _sql(
         NBFI,
         f"SELECT nbfi, contribution_type, {_d('SUM(amount)')} AS amount, {_b('COUNT(*)')} AS paths FROM nb_rows GROUP BY nbfi, contribution_type",
     )
-    q["nbfi_cascade_top_names"] = _sql(
+    q["nbfi_cascade"] = _sql(
         NBFI,
         f"""SELECT DISTINCT r.nbfi, r.contribution_type, r.counterparty, {_d('r.amount')} AS amount, r.via, e.entity_name AS counterparty_name
 FROM nb_rows r JOIN top_nb t ON t.nbfi = r.nbfi JOIN entities e ON e.entity_id = r.counterparty""",
@@ -1018,7 +1018,7 @@ found AS (
     arg_min(g.value, g.severity) FILTER (WHERE g.value >= o.target) AS hit, MAX(CASE WHEN g.severity = 6 THEN g.value END) AS worst
   FROM goals o JOIN grid g ON g.metric = o.metric AND g.family = o.family GROUP BY o.metric, o.family, o.target, o.base)""",
         f"""SELECT metric, family, round(target, 2) AS target, round(base, 2) AS base_value, {_b('severity')} AS severity,
-  round(COALESCE(hit, worst), 2) AS achieved, severity IS NOT NULL AS feasible,
+  round(COALESCE(hit, worst), 2) AS achieved, severity IS NOT NULL AS feasible, {_b('6')} AS searched_to,
   CASE WHEN severity IS NULL THEN 'not reachable within the search cap' WHEN family = 'exposure' THEN '+' || (severity * 10) || '% exposure uplift'
     WHEN severity = 1 THEN 'broad downgrade −1 notch' ELSE 'broad downgrade −' || severity || ' notches' END AS shock_label FROM found""",
     )
@@ -1099,6 +1099,7 @@ after_given AS (SELECT amount FROM guarantees UNION ALL SELECT 1000 FROM created
         CHANGES, "SELECT change_id, subject_id, field, reason = 'updated' AS accepted, reason FROM judged"
     )
     q["amount_update_totals"] = _sql(CHANGES, _totals_sql("new_active", "guarantees", "new_limits"))
+    q["saved_changes"] = q["amount_update_totals"]
     q["deactivation_outcomes"] = _sql(
         OFF, "SELECT subject_id, kind, reason LIKE 'status set%' AS accepted, reason FROM off"
     )

@@ -63,19 +63,13 @@ def fixed(df: DataFrame, *columns: str) -> DataFrame:
 # --- parameters derived from the data ---------------------------------------
 
 
-def top_watchlist_heads(book: Book, k: int = 10) -> DataFrame:
-    """The ``k`` highest utilisations: the names a reader drills into."""
-    watch = limits.watchlist(book).select("entity_id", "utilisation")
-    return (
-        watch.orderBy(F.desc("utilisation"), F.asc("entity_id"))
-        .limit(k)
-        .select(F.col("entity_id").alias("head"))
-    )
+def breaching_heads(book: Book) -> DataFrame:
+    """Every name at or over its limit: the ones a reader drills into."""
+    return limits.limit_breaches(book).select(F.col("entity_id").alias("head"))
 
 
-def top_nbfis(book: Book, k: int = 10) -> DataFrame:
-    totals = exposure.nbfi_cascade_totals(book).groupBy("nbfi").agg(F.sum("amount").alias("a"))
-    return totals.orderBy(F.desc("a"), F.asc("nbfi")).limit(k).select("nbfi")
+def nbfis(book: Book) -> DataFrame:
+    return book.entities.filter(F.col("counterparty_type") == "nbfi").select(F.col("entity_id").alias("nbfi"))
 
 
 def rollover_deals(book: Book) -> DataFrame:
@@ -337,6 +331,25 @@ def _store_reload(spark: SparkSession, book: Book) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _saved_changes(spark: SparkSession, book: Book) -> DataFrame:
+    """Amount updates, saved to the dataset they were read from."""
+    root = scratch(spark, "store")
+    store.save(book, root, "calm")
+    store.save(_updated_book(store.load(spark, root, "calm")), root, "calm")
+    return _changed_totals(book, store.load(spark, root, "calm"))
+
+
+def _strict_import(spark: SparkSession, book: Book) -> DataFrame:
+    """Clean input is loaded; faulty input afterwards leaves the store as it was."""
+    root = scratch(spark, "import")
+    folder = scratch(spark, "csv")
+    csv_folder.write_book(book, folder)
+    clean = import_dataset(spark, csv_folder.read_source(spark, folder), root, "mine")
+    faulty = import_dataset(spark, faulty_source(book), root, "mine")
+    counts = store.load_counts(store.load(spark, root, "mine"))
+    return counts.withColumns({"clean_loaded": F.lit(clean.loaded), "faulty_loaded": F.lit(faulty.loaded)})
+
+
 def _mapped_orders(spark: SparkSession, directory: str) -> DataFrame:
     mapping = csv_folder.TableMapping(
         "orders",
@@ -427,8 +440,8 @@ def _downgrades(book: Book) -> DataFrame:
 
 
 def _scoped_dashboard(book: Book) -> dict[str, DataFrame]:
-    """The dashboard of a manager whose portfolio is the ten most used limits' groups."""
-    return dashboard(book, top_watchlist_heads(book))
+    """The dashboard of a manager whose portfolio is the groups at or over their limits."""
+    return dashboard(book, breaching_heads(book))
 
 
 def _filtered_el(book: Book) -> DataFrame:
@@ -451,6 +464,7 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "book_load_counts": lambda s, b: store.load_counts(b),
     "csv_round_trip": _csv_round_trip,
     "store_reload": _store_reload,
+    "saved_changes": _saved_changes,
     "collateral_items": lambda s, b: b.items,
     "triples_by_predicate": lambda s, b: _triples(b),
     # filters
@@ -470,10 +484,10 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "headline": lambda s, b: exposure.headline(b),
     "headline_any_status": lambda s, b: exposure.headline(b, status_mode="raw"),
     "headline_active_loans": lambda s, b: exposure.headline(b, status_mode="loans"),
-    "breakdown_top_names": lambda s, b: exposure.breakdown(b, top_watchlist_heads(b)),
-    "exposure_to_top_groups": lambda s, b: exposure.exposure_to_groups(b, top_watchlist_heads(b)),
+    "breakdown_breaching_names": lambda s, b: exposure.breakdown(b, breaching_heads(b)),
+    "exposure_to_groups": lambda s, b: exposure.exposure_to_groups(b, exposure.top_level_names(b)),
     "nbfi_cascade_totals": lambda s, b: exposure.nbfi_cascade_totals(b),
-    "nbfi_cascade_top_names": lambda s, b: exposure.nbfi_cascade(b, top_nbfis(b)),
+    "nbfi_cascade": lambda s, b: exposure.nbfi_cascade(b, nbfis(b)),
     "risk_owners": lambda s, b: exposure.risk_owners(b),
     "attributed_exposure": lambda s, b: exposure.attributed_view(b),
     "top_counterparties": lambda s, b: exposure.top_counterparties(b),
@@ -556,6 +570,7 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     ),
     "duplicate_keys": lambda s, b: validation.duplicate_keys(faulty_source(b)),
     "guarded_import": _guarded_import,
+    "guarded_import_strict": _strict_import,
     "create_outcomes": lambda s, b: _creates(b),
     "created_totals": lambda s, b: _changed_totals(b, changes.apply_creates(b, proposals(b))[0]),
     "amount_update_outcomes": lambda s, b: _amount_updates(b),

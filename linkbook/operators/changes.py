@@ -168,6 +168,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
             "reason",
             F.when(~safe, BAD_UPDATE)
             .when(F.col("found").isNull(), NOT_FOUND)
+            .when(amount.try_cast("decimal(20,2)").isNull(), BAD_UPDATE)
             .when(amount.try_cast("decimal(20,2)") <= 0, F.try_element_at(messages, F.col("field")))
             .otherwise("updated"),
         )

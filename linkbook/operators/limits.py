@@ -107,10 +107,11 @@ def ubo_aggregation(book: Book, counterparties: DataFrame | None = None) -> Data
 
 
 def first_limits(book: Book) -> DataFrame:
-    """One limit per entity, the lowest ``limit_id``."""
-    return book.active_limits.groupBy("entity_id").agg(
+    """One limit per entity, the lowest ``limit_id``; a zero limit is none, for it never breaches."""
+    first = book.active_limits.groupBy("entity_id").agg(
         F.min_by("single_name_limit", "limit_id").alias("limit_amount")
     )
+    return first.filter(F.col("limit_amount") > 0)
 
 
 def subsidiary_breach_check(book: Book) -> DataFrame:
@@ -143,10 +144,13 @@ def subsidiary_breach_check(book: Book) -> DataFrame:
 
 def breaching_subsidiaries(book: Book) -> DataFrame:
     """``head, entity_id``: the subsidiaries counted above, one row each."""
+    own = book.ownership.select("entity_id", F.col("ubo").alias("head")).filter("entity_id != head")
+    connected = connected_exposure(book).select(F.col("head").alias("entity_id"), "connected")
     return (
-        ubo_aggregation(book)
-        .filter(~F.col("is_ubo") & (F.col("connected") >= F.col("limit_amount")))
-        .select(F.col("ubo").alias("head"), "entity_id", "connected", "limit_amount")
+        own.join(first_limits(book), "entity_id")
+        .join(connected, "entity_id")
+        .filter(F.col("connected") >= F.col("limit_amount"))
+        .select("head", "entity_id", "connected", "limit_amount")
     )
 
 

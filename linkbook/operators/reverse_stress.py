@@ -62,12 +62,12 @@ def severity_grid(book: Book, max_severity: int = MAX_SEVERITY) -> DataFrame:
     )
 
 
-def min_shock(grid: DataFrame, targets: DataFrame, max_severity: int = MAX_SEVERITY) -> DataFrame:
+def min_shock(grid: DataFrame, targets: DataFrame) -> DataFrame:
     """Answer every target (``metric, target`` and optionally ``family``, ``multiple``).
 
     ``multiple`` sets the target as a multiple of the base value. Severity 0 is
     never tried, so a target already met answers 1; out of reach gives a null
-    severity and the value at the cap.
+    severity and the value at the grid's last one, ``searched_to``.
     """
     asked = targets
     for column, kind in (("family", "string"), ("target", "double"), ("multiple", "double")):
@@ -90,7 +90,8 @@ def min_shock(grid: DataFrame, targets: DataFrame, max_severity: int = MAX_SEVER
         .agg(
             F.min(F.when(reached, F.col("severity"))).alias("severity"),
             F.min_by("value", F.when(reached, F.col("severity"))).alias("at_severity"),
-            F.max(F.when(F.col("severity") == max_severity, F.col("value"))).alias("worst"),
+            F.max_by("value", "severity").alias("worst"),
+            F.max("severity").alias("searched_to"),
         )
     )
     n = F.col("severity")
@@ -108,5 +109,6 @@ def min_shock(grid: DataFrame, targets: DataFrame, max_severity: int = MAX_SEVER
         "severity",
         F.coalesce("at_severity", "worst").alias("achieved"),
         n.isNotNull().alias("feasible"),
+        "searched_to",
         label.alias("shock_label"),
     )

@@ -18,6 +18,7 @@ from linkbook.schema import COUNTERPARTY_TYPES, KEY, LOAN_STATUSES, TABLES
 
 # Messages shown for broken rules.
 MISSING_ID = "missing id"
+UNFIT = "amounts are stored in whole cents with at most 18 digits before the point"
 BLANK_ID = "(blank)"
 TYPE = "counterpartyType must be one of bank/corporate/nbfi/government."
 SECTOR = "Every legal entity needs a sector."
@@ -65,6 +66,13 @@ def _not_positive(name: str) -> Column:
     return ~F.coalesce(_number(name) > 0, F.lit(False))
 
 
+def _unfit(name: str) -> Column:
+    """A number that the stored amount would lose or alter: too long, or finer than a cent."""
+    stored = F.when(_is_decimal(name), F.col(name).try_cast("decimal(20,2)"))
+    exact = F.coalesce(_number(name) == stored.cast("decimal(38,10)"), F.lit(False))
+    return _is_decimal(name) & ~exact
+
+
 def _same_number(name: str) -> Column:
     """Text to compare: the number where it is one, so 5 and 5.00 agree."""
     return F.coalesce(_number(name).cast("string"), _text(name))
@@ -107,6 +115,7 @@ def _loans(raw: Mapping[str, DataFrame], entity_ids: DataFrame) -> tuple[DataFra
         Rule(BORROWER, _missing("_b_known"), F.col("_b")),
         Rule(LENDER, _missing("_l_known"), F.col("_l")),
         Rule(PRINCIPAL, _not_positive("exposure_amount"), _same_number("exposure_amount")),
+        Rule(UNFIT, ~_not_positive("exposure_amount") & _unfit("exposure_amount")),
         Rule(STATUS, ~_text("status").isin(*LOAN_STATUSES), _text("status")),
     ]
 
@@ -131,6 +140,7 @@ def _guarantees(
         Rule(GUARANTOR, _missing("_g_known"), F.col("_g")),
         Rule(GUARANTEED_LOAN, _missing("_loan_known"), F.col("_loan")),
         Rule(GUARANTEED_AMOUNT, _not_positive("amount"), _same_number("amount")),
+        Rule(UNFIT, ~_not_positive("amount") & _unfit("amount")),
         Rule(TWO_PARTIES, F.col("_self").isNotNull()),
     ]
 
@@ -160,6 +170,7 @@ def _collateral(
             valued & _not_positive("collateral_value"),
             F.when(valued, _same_number("collateral_value")),
         ),
+        Rule(UNFIT, valued & ~_not_positive("collateral_value") & _unfit("collateral_value")),
         Rule(
             HAIRCUT,
             valued & ~F.coalesce(percent.between(0, 100), F.lit(False)),
@@ -172,7 +183,8 @@ def _limits(
     raw: Mapping[str, DataFrame], entity_ids: DataFrame, strict: bool
 ) -> tuple[DataFrame, list[Rule]]:
     rules = [
-        Rule(LIMIT_AMOUNT, _not_positive("single_name_limit"), _same_number("single_name_limit"))
+        Rule(LIMIT_AMOUNT, _not_positive("single_name_limit"), _same_number("single_name_limit")),
+        Rule(UNFIT, ~_not_positive("single_name_limit") & _unfit("single_name_limit")),
     ]
     rows = raw["limits"]
     if strict:

@@ -122,7 +122,7 @@ def read_source(
         df = _read(spark, path, multi_line)
         if rules is None:
             missing = [c for c in REQUIRED[table] if c not in df.columns]
-            if missing and not df.isEmpty():
+            if missing:
                 raise SourceError(f"{file}: missing required column(s): {missing}")
         out[table] = map_table(df, table, rules or TableMapping(file))
     return out

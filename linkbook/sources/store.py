@@ -1,4 +1,9 @@
-"""Parquet store of named datasets: ``{root}/{table}/dataset={name}``."""
+"""Parquet store of named datasets: ``{root}/dataset={name}/version={n}/{table}``.
+
+A version is written whole and then published by its marker, one small file. Readers take the
+newest published version, so a dataset can be read, changed and saved to its own name, and a
+save that fails leaves the version before as it was.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ from linkbook.schema import TABLES
 
 DEFAULT_DATASET = "calm"
 DATASET_VARIABLE = "LINKBOOK_DATASET"
+PUBLISHED = "_PUBLISHED"
 
 
 def dataset_name(flag: str | None = None) -> str:
@@ -20,20 +26,50 @@ def dataset_name(flag: str | None = None) -> str:
     return flag or os.environ.get(DATASET_VARIABLE, DEFAULT_DATASET)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, bool]:
+    """Version -> whether it is published."""
+    path, files = _files(spark, folder)
+    if not files.exists(path):
+        return {}
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    marker = lambda n: _files(spark, f"{folder}/version={n}/{PUBLISHED}")[0]
+    return {n: files.exists(marker(n)) for n in numbers}
+
+
 def save(book: Book, root: str, dataset: str) -> None:
-    """Replace one dataset, other datasets untouched; repeating it gives the same store.
+    """Replace one dataset, other datasets untouched; repeating it gives the same content.
 
-    Writing to the dataset's own folder also replaces a table that became empty,
-    which a dynamic partition overwrite would leave behind.
+    The version before stays for those who are reading it; older ones are deleted.
     """
+    spark = book.loans.sparkSession
+    folder = f"{root}/dataset={dataset}"
+    versions = _versions(spark, folder)
+    new = max(versions, default=0) + 1
     for table, df in book.tables().items():
-        df.write.mode("overwrite").parquet(f"{root}/{table}/dataset={dataset}")
+        df.write.parquet(f"{folder}/version={new}/{table}")
+    marker, files = _files(spark, f"{folder}/version={new}/{PUBLISHED}")
+    files.create(marker, False).close()
+    before = max((n for n, done in versions.items() if done), default=0)
+    for n in versions:
+        if n < before:
+            files.delete(_files(spark, f"{folder}/version={n}")[0], True)
 
 
 def load(spark: SparkSession, root: str, dataset: str | None = None) -> Book:
-    """One dataset; only its folder is listed and read."""
+    """The newest published version of one dataset; only its folder is listed and read."""
     name = dataset_name(dataset)
-    return Book(**{t: spark.read.parquet(f"{root}/{t}/dataset={name}") for t in TABLES})
+    folder = f"{root}/dataset={name}"
+    published = [n for n, done in _versions(spark, folder).items() if done]
+    if not published:
+        raise FileNotFoundError(f"no published version of dataset {name} in {root}")
+    return Book(**{t: spark.read.parquet(f"{folder}/version={max(published)}/{t}") for t in TABLES})
 
 
 def load_counts(book: Book) -> DataFrame:

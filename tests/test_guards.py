@@ -253,3 +253,36 @@ def test_filters(stress):
         filters.bind(watch, "nbfi", ["x"])
     with pytest.raises(KeyError):
         filters.apply_filters(watch, {"nope": 1})
+
+
+def test_amounts_that_would_be_lost_or_altered(spark, tmp_path):
+    amounts = {"L1": "1" + "0" * 22, "L2": "0.001", "L3": "5.00", "L4": "7.1"}
+    raw = raw_tables(spark, entities=[entity("B", kind="bank"), entity("S")], loans=[loan(i, "S", a, lender="B") for i, a in amounts.items()])
+    report = import_dataset(spark, raw, str(tmp_path), "mine", allow_partial=True)
+    assert reasons(report.records) == {("loans", "L1"): [validation.UNFIT], ("loans", "L2"): [validation.UNFIT]}
+    loaded = {r.loan_id: str(r.exposure_amount) for r in store.load(spark, str(tmp_path), "mine").loans.collect()}
+    assert loaded == {"L3": "5.00", "L4": "7.10"}
+
+
+def test_an_amount_too_long_is_refused(spark, stress):
+    asked = spark.createDataFrame([(1, "LN-1001", "principal", "9" * 25)], "change_id int, subject_id string, field string, new_amount string")
+    field = next(f for f, v in changes.AMOUNT_FIELDS.items() if v[0] == "loans")
+    loan_id = stress.loans.first().loan_id
+    asked = asked.withColumns({"field": F.lit(field), "subject_id": F.lit(loan_id)})
+    book, outcome = changes.apply_amounts(stress, asked)
+    assert [(r.accepted, r.reason) for r in outcome.collect()] == [(False, changes.BAD_UPDATE)]
+    assert book.loans.exceptAll(stress.loans).isEmpty()
+
+
+def test_one_limit_rule_for_subsidiaries(spark):
+    """Two limits on a subsidiary count once, by the lowest id; a zero limit never breaches."""
+    book = make_book(
+        spark,
+        entities=[entity("H"), entity("S", "H"), entity("Z", "H")],
+        loans=[loan("L", "S", 100), loan("M", "Z", 100)],
+        limits=[("X1", "S", "50", "SGD"), ("X2", "S", "60", "SGD"), ("X3", "Z", "0", "SGD"), ("X0", "H", "0", "SGD")],
+    )
+    (row,) = limits.subsidiary_breach_check(book).collect()
+    listed = limits.breaching_subsidiaries(book).collect()
+    assert (row.subsidiary_breaches, row.ubo_breaches) == (1, False)
+    assert [(r["head"], r.entity_id) for r in listed] == [("H", "S")]

@@ -21,7 +21,7 @@ def plan_of(df):
 
 
 # These write tables while they are built, which the other tests cover.
-EAGER = {"csv_round_trip", "store_reload", "guarded_import", "default_cascade_multiround"}
+EAGER = {"csv_round_trip", "store_reload", "saved_changes", "guarded_import", "guarded_import_strict", "default_cascade_multiround"}
 
 
 @pytest.mark.parametrize("name", sorted(set(BOOK_QUERIES) - EAGER))

@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from linkbook.catalog import oracle
+from linkbook.catalog import queries as catalog
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, STATEMENTS = catalog.queries(), oracle.oracle_sql()
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="needs the order tables")
 
 
@@ -47,6 +49,7 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):

@@ -2,6 +2,7 @@
 
 import pytest
 from books import entity, item, loan, make_book, raw_tables, stressed_rows
+from pyspark.sql import functions as F
 
 from linkbook.functions.text import local_name
 from linkbook.sources import csv_folder as C
@@ -123,3 +124,29 @@ def test_local_name(spark):
 def test_raw_tables_are_text(spark):
     raw = raw_tables(spark, **stressed_rows())
     assert {f.dataType.simpleString() for f in raw["loans"].schema.fields} == {"string"}
+
+
+def test_a_dataset_survives_its_own_update(spark, stressed, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    store.save(stressed, root, "calm")
+    for left in (20, 10):  # read, change, save to the same name, twice
+        book = store.load(spark, root, "calm")
+        store.save(book.with_tables(loans=book.loans.orderBy("loan_id").limit(left)), root, "calm")
+        assert store.load(spark, root, "calm").loans.count() == left
+    assert len(list((tmp_path / "store" / "dataset=calm").iterdir())) == 2  # the version before stays readable
+
+    broken = stressed.with_tables(limits=stressed.limits.withColumn("limit_id", F.raise_error(F.lit("disk full"))))
+    with pytest.raises(Exception, match="disk full"):
+        store.save(broken, root, "calm")
+    assert store.load(spark, root, "calm").loans.count() == 10
+    store.save(stressed, root, "calm")
+    assert store.load(spark, root, "calm").loans.count() == 31
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, root, "none")
+
+
+def test_headers_are_checked_without_rows(spark, tmp_path):
+    (tmp_path / "entities.csv").write_text("wrong\n")
+    (tmp_path / "loans.csv").write_text("wrong\n")
+    with pytest.raises(C.SourceError, match="missing required"):
+        C.read_source(spark, str(tmp_path))
