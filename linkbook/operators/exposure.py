@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkbook.book import Book
@@ -158,10 +158,10 @@ def shared_pairs(collateral: DataFrame) -> DataFrame:
 
 def _shared_links(
     book: Book, status_mode: str, measures: Sequence[str]
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, bool]:
     """Loans behind shared items, written once per book: ``item, loan_id, path`` and the measures.
 
-    Also the loans' packages, or None when no loan has two shared items.
+    Also whether any loan has two shared items.
     """
     cache = book.__dict__.setdefault("_shared_links", {})
     key = (status_mode, tuple(measures))
@@ -172,43 +172,39 @@ def _shared_links(
         )
         placed = _with_path(secured, book, "borrower_entity_id", "path")
         links = stage(placed.select("item", "loan_id", "path", *measures), "links")
-        packages = _packages(links)
-        cache[key] = (links, None if packages.isEmpty() else packages)
+        several = not links.groupBy("loan_id").count().filter("count > 1").isEmpty()
+        cache[key] = (links, several)
     return cache[key]
 
 
-def _packages(links: DataFrame) -> DataFrame:
-    # Two independent 64-bit sums and a count name the item set (a 128-bit fingerprint),
-    # so a loan with very many items never collects them into one row.
-    return (
-        links.groupBy("loan_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64(F.lit(1), "item").cast("decimal(38,0)")).alias("a"),
-            F.sum(F.xxhash64(F.lit(2), "item").cast("decimal(38,0)")).alias("b"),
-        )
-        .filter(F.col("n") > 1)
-        .select("loan_id", F.concat_ws(":", "n", "a", "b").alias("package"))
-    )
-
-
 def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFrame:
     """Outside loans that share an item with a group loan, each loan once per head.
 
-    First order: item total minus the group's own part, over the items it touches.
-    A loan with several shared items is then counted once per touched item, so the
-    surplus is taken back per *package* (loans with the same set of items): for a
-    package with ``k`` touched items, ``k - 1`` times its outside part. Only heads
-    met through a package's smaller items can be touched twice, so its largest
-    item is never expanded.
+    A loan's items are ordered by how many heads touch them, the widest first. A head
+    meets the loan at the first of them that it touches. First items: their loans'
+    total minus the group's own part. Later ones: see :func:`_later_meetings`.
     """
-    links, packages = _shared_links(book, status_mode, measures)
+    links, several = _shared_links(book, status_mode, measures)
     touch = _touches(links, "item", measures)
-    amounts = touch.join(_totals(links, "item", measures), "item").select(
-        "head", *[(F.col(f"all_{m}") - F.col(f"in_{m}")).cast(SUM_MONEY).alias(m) for m in measures]
+    first = links
+    if several:
+        placed = _by_reach(links, touch)
+        first = placed.filter("place = 1")
+    own = _touches(first, "item", measures) if several else touch
+    amounts = (
+        touch.select("item", "head")
+        .join(_totals(first, "item", measures), "item")
+        .join(own, ["item", "head"], "left")
+        .select(
+            "head",
+            *[
+                (F.col(f"all_{m}") - F.coalesce(f"in_{m}", F.lit(0))).cast(SUM_MONEY).alias(m)
+                for m in measures
+            ],
+        )
     )
-    if packages is not None:
-        amounts = amounts.unionByName(_package_surplus(links, packages, touch, measures))
+    if several:
+        amounts = amounts.unionByName(_later_meetings(placed, touch, measures))
     return amounts.select(
         "head",
         *_zeros("own_", measures),
@@ -218,58 +214,51 @@ def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFr
     )
 
 
-def _package_surplus(
-    links: DataFrame,
-    packages: DataFrame,
-    touch: DataFrame,
-    measures: Sequence[str],
-) -> DataFrame:
-    packed = packages.join(
-        links.groupBy("loan_id").agg(
-            F.first("path").alias("path"), *[F.first(m).alias(m) for m in measures]
-        ),
-        "loan_id",
-    )
-    inside = _touches(packed, "package", measures)
-    package_totals = _totals(packed, "package", measures)
+def _by_reach(links: DataFrame, touch: DataFrame) -> DataFrame:
+    """``links`` with each item's place in its loan's order, and a name of the items up to it.
 
+    Two running 64-bit sums and the place name that set of items (a 128-bit
+    fingerprint); loans with the same first items share it.
+    """
     reach = touch.groupBy("item").agg(F.count("*").alias("heads"))
-    sized = (
-        packages.join(links.select("loan_id", "item"), "loan_id")
-        .select("package", "item")
+    order = Window.partitionBy("loan_id").orderBy(F.desc("heads"), "item")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda n: F.sum(F.xxhash64(F.lit(n), "item").cast("decimal(38,0)")).over(running)
+    placed = links.join(reach, "item").withColumn("place", F.row_number().over(order))
+    return placed.withColumn("prefix", F.concat_ws(":", "place", part(1), part(2))).drop("heads")
+
+
+def _later_meetings(placed: DataFrame, touch: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Loans that a head meets at their second or a later item: ``head`` and the measures.
+
+    Loans with the same items up to there are one row, so a pair of wide items is
+    expanded once and not once per set of items. Such a head has no loan of its own
+    among them: it would touch their first item.
+    """
+    nodes = placed.filter("place > 1").groupBy("prefix", "item", "place").agg(
+        F.min("loan_id").alias("one_loan"), *[F.sum(m).alias(m) for m in measures]
+    )
+    met = nodes.join(touch.select("item", "head"), "item")
+    before = (
+        nodes.select("prefix", "place", "one_loan")
+        .join(
+            placed.select(
+                F.col("loan_id").alias("one_loan"), F.col("item").alias("earlier"), F.col("place").alias("at")
+            ),
+            "one_loan",
+        )
+        .filter("at < place")
+        .select("prefix", "earlier")
+    )
+    already = (
+        met.select("prefix", "head")
+        .join(before, "prefix")
+        .join(touch.select(F.col("item").alias("earlier"), "head"), ["earlier", "head"], "left_semi")
+        .select("prefix", "head")
         .distinct()
-        .join(reach, "item")
-    )
-    largest = sized.groupBy("package").agg(
-        F.max_by("item", F.struct("heads", "item")).alias("largest")
-    )
-    smaller = sized.join(largest, "package").filter(F.col("item") != F.col("largest"))
-    hits = (
-        smaller.join(touch.select("item", "head"), "item")
-        .groupBy("package", "largest", "head")
-        .agg(F.count("*").alias("hits"))
-    )
-    also_largest = touch.select(
-        F.col("item").alias("largest"), "head", F.lit(1).alias("in_largest")
     )
-    return (
-        hits.join(also_largest, ["largest", "head"], "left")
-        .withColumn("extra", F.col("hits") + F.coalesce("in_largest", F.lit(0)) - 1)
-        .filter(F.col("extra") > 0)
-        .join(package_totals, "package")
-        .join(inside, ["package", "head"], "left")
-        .select(
-            "head",
-            *[
-                (
-                    -F.col("extra").cast("decimal(8,0)")
-                    * (F.col(f"all_{m}") - F.coalesce(f"in_{m}", F.lit(0)))
-                )
-                .cast(SUM_MONEY)
-                .alias(m)
-                for m in measures
-            ],
-        )
+    return met.join(already, ["prefix", "head"], "left_anti").select(
+        "head", *[F.col(m).cast(SUM_MONEY).alias(m) for m in measures]
     )
 
 

@@ -150,3 +150,23 @@ def test_multiround_chain_needs_no_cap(spark):
     assert (whole["E0"].defaulted, whole["E0"].rounds, whole["E0"].converged) == (n, n, True)
     cut = {r.seed: r for r in contagion.cascade_multiround(book, max_rounds=3).collect()}
     assert (cut["E0"].defaulted, cut["E0"].converged) == (4, False) and cut[f"E{n - 1}"].converged
+
+
+def test_wide_items_in_many_packages_stay_linear(spark):
+    """Two items over every loan and a small third one: rows met later grow with the loans, not their square."""
+    counts = []
+    for n in (40, 80):
+        rows = {
+            "entities": [entity("L", kind="bank")] + [entity(f"E{i}") for i in range(n)],
+            "loans": [loan(f"N{i}", f"E{i}", 10) for i in range(n)],
+            "collateral": [item(x, f"N{i}") for i in range(n) for x in ("A", "B", f"S{i // 2}")],
+        }
+        book = make_book(spark, **rows)
+        got = exposure.connected_exposure(book)
+        assert {r.shared_collateral for r in got.collect()} == {10 * (n - 1)}
+        links, several = exposure._shared_links(book, "full", (exposure.PRINCIPAL,))
+        touch = exposure._touches(links, "item", (exposure.PRINCIPAL,))
+        nodes = exposure._by_reach(links, touch).filter("place > 1").select("prefix", "item").distinct()
+        counts.append(nodes.join(touch.select("item", "head"), "item").count())
+        assert several
+    assert counts[1] <= 2.1 * counts[0]
