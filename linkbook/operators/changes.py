@@ -197,7 +197,7 @@ def apply_amounts(book: Book, changes: DataFrame) -> tuple[Book, DataFrame]:
 
 
 def referenced_entities(book: Book) -> DataFrame:
-    """``entity_id`` of borrowers, lenders and guarantors of active records, repeats included."""
+    """``entity_id`` of borrowers, lenders and guarantors of active records, each once."""
     loans = book.active_loans
     return reduce(
         DataFrame.unionByName,
@@ -206,7 +206,7 @@ def referenced_entities(book: Book) -> DataFrame:
             loans.select(F.col("lender_entity_id").alias("entity_id")),
             book.active_guarantees.select(F.col("guarantor_entity_id").alias("entity_id")),
         ],
-    )
+    ).distinct()
 
 
 def _asked(ids: DataFrame, batch: DataFrame, label: str) -> DataFrame:

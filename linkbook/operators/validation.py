@@ -82,12 +82,19 @@ def record_id(table: str) -> Column:
     return F.trim(_text(KEY[table]))
 
 
-def _flag(ids: DataFrame, id_column: str, key: str, flag: str) -> DataFrame:
-    return ids.select(_text(id_column).alias(key), F.lit(True).alias(flag)).distinct()
+def _look_up(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """``rows`` with ``{column}_unknown`` where the text in ``column`` is no id.
+
+    Distinct values are looked up first, so a value that most rows share travels once;
+    what is joined back is the unknown ones, few in a sound source.
+    """
+    known = ids.select(_text(id_column).alias(column))
+    unknown = rows.select(column).distinct().join(known, column, "left_anti")
+    return rows.join(unknown.withColumn(f"{column}_unknown", F.lit(True)), column, "left")
 
 
-def _missing(flag: str) -> Column:
-    return F.col(flag).isNull()
+def _missing(column: str) -> Column:
+    return F.col(f"{column}_unknown").isNotNull()
 
 
 def _entities(raw: Mapping[str, DataFrame], strict: bool) -> tuple[DataFrame, list[Rule]]:
@@ -104,16 +111,14 @@ def _entities(raw: Mapping[str, DataFrame], strict: bool) -> tuple[DataFrame, li
 
 
 def _loans(raw: Mapping[str, DataFrame], entity_ids: DataFrame) -> tuple[DataFrame, list[Rule]]:
-    rows = (
-        raw["loans"]
-        .withColumn("_b", _text("borrower_entity_id"))
-        .withColumn("_l", _text("lender_entity_id"))
-        .join(_flag(entity_ids, "entity_id", "_b", "_b_known"), "_b", "left")
-        .join(_flag(entity_ids, "entity_id", "_l", "_l_known"), "_l", "left")
+    rows = raw["loans"].withColumns(
+        {"_b": _text("borrower_entity_id"), "_l": _text("lender_entity_id")}
     )
+    for column in ("_b", "_l"):
+        rows = _look_up(rows, column, entity_ids, "entity_id")
     return rows, [
-        Rule(BORROWER, _missing("_b_known"), F.col("_b")),
-        Rule(LENDER, _missing("_l_known"), F.col("_l")),
+        Rule(BORROWER, _missing("_b"), F.col("_b")),
+        Rule(LENDER, _missing("_l"), F.col("_l")),
         Rule(PRINCIPAL, _not_positive("exposure_amount"), _same_number("exposure_amount")),
         Rule(UNFIT, ~_not_positive("exposure_amount") & _unfit("exposure_amount")),
         Rule(STATUS, ~_text("status").isin(*LOAN_STATUSES), _text("status")),
@@ -132,13 +137,12 @@ def _guarantees(
         raw["guarantees"]
         .withColumn("_g", _text("guarantor_entity_id"))
         .withColumn("_loan", _text("beneficiary_loan_id"))
-        .join(_flag(entity_ids, "entity_id", "_g", "_g_known"), "_g", "left")
-        .join(_flag(loan_ids, "loan_id", "_loan", "_loan_known"), "_loan", "left")
         .join(borrowers, ["_loan", "_g"], "left")
     )
+    rows = _look_up(_look_up(rows, "_g", entity_ids, "entity_id"), "_loan", loan_ids, "loan_id")
     return rows, [
-        Rule(GUARANTOR, _missing("_g_known"), F.col("_g")),
-        Rule(GUARANTEED_LOAN, _missing("_loan_known"), F.col("_loan")),
+        Rule(GUARANTOR, _missing("_g"), F.col("_g")),
+        Rule(GUARANTEED_LOAN, _missing("_loan"), F.col("_loan")),
         Rule(GUARANTEED_AMOUNT, _not_positive("amount"), _same_number("amount")),
         Rule(UNFIT, ~_not_positive("amount") & _unfit("amount")),
         Rule(TWO_PARTIES, F.col("_self").isNotNull()),
@@ -153,18 +157,17 @@ def _collateral(
         .withColumn("_p", _text("pledged_by_entity_id"))
         .withColumn("_i", _text("issuer_entity_id"))
         .withColumn("_loan", _text("securing_loan_id"))
-        .join(_flag(entity_ids, "entity_id", "_p", "_p_known"), "_p", "left")
-        .join(_flag(entity_ids, "entity_id", "_i", "_i_known"), "_i", "left")
-        .join(_flag(loan_ids, "loan_id", "_loan", "_loan_known"), "_loan", "left")
     )
+    for column, ids, id_column in (("_p", entity_ids, "entity_id"), ("_i", entity_ids, "entity_id"), ("_loan", loan_ids, "loan_id")):
+        rows = _look_up(rows, column, ids, id_column)
     valued = _text("collateral_value") != ""
     percent = F.when(_text("haircut_pct") == "", F.lit(0)).when(
         _text("haircut_pct").rlike(r"^[+-]?\d+$"), F.col("haircut_pct").try_cast("int")
     )
     return rows, [
-        Rule(PLEDGER, _missing("_p_known")),
-        Rule(SECURED_LOAN, _missing("_loan_known")),
-        Rule(ISSUER, (F.col("_i") != "") & _missing("_i_known")),
+        Rule(PLEDGER, _missing("_p")),
+        Rule(SECURED_LOAN, _missing("_loan")),
+        Rule(ISSUER, (F.col("_i") != "") & _missing("_i")),
         Rule(
             VALUE,
             valued & _not_positive("collateral_value"),
@@ -188,10 +191,8 @@ def _limits(
     ]
     rows = raw["limits"]
     if strict:
-        rows = rows.withColumn("_e", _text("entity_id")).join(
-            _flag(entity_ids, "entity_id", "_e", "_e_known"), "_e", "left"
-        )
-        rules.append(Rule(LIMIT_ENTITY, _missing("_e_known")))
+        rows = _look_up(rows.withColumn("_e", _text("entity_id")), "_e", entity_ids, "entity_id")
+        rules.append(Rule(LIMIT_ENTITY, _missing("_e")))
     return rows, rules
 
 
