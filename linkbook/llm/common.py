@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from linkbook.plans.staging import stage
 
 # Words end at ASCII white space; the pattern is a fixed value of the contracts.
-SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
-    blank = F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE))
-    return F.filter(F.split(blank, " "), lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def n_words(text: Column) -> Column:
