@@ -1069,6 +1069,10 @@ WHERE w.grp <> w.issuer_ubo AND (be.sector = ie.sector OR be.country = ie.countr
 
     # validation, changes, audit
     q["import_report"] = _sql(FAULTY, 'SELECT tab AS "table", record_id, accepted, reasons FROM report')
+    q["import_totals"] = (
+        f"SELECT {_b('COUNT(*) FILTER (WHERE accepted)')} AS accepted, {_b('COUNT(*) FILTER (WHERE NOT accepted)')} AS rejected, "
+        f"{_b('COUNT(*)')} AS total FROM ({q['import_report']})"
+    )
     q["import_rejections"] = _sql(
         FAULTY,
         f"""SELECT tab AS "table", reason, {_b('COUNT(*)')} AS records FROM hits GROUP BY tab, reason
@@ -1149,6 +1153,15 @@ UNION ALL SELECT a.loan_id, 'prev_hash does not chain' FROM active a WHERE a.loa
 FROM entities e, LATERAL (SELECT unnest([4 * e.entity_id, e.entity_id + 1]) AS head) p
 WHERE e.entity_id >= 0 AND e.entity_id % 10 NOT IN (0, 9) AND p.head IN (SELECT head FROM tops)
 UNION ALL SELECT 'P' || entity_id, NULL, TRUE FROM entities WHERE entity_id >= 0 AND entity_id % 10 = 0""",
+    )
+    for frame, whole in (("hhi", "hhi"), ("cr10", "cr10"), ("sectors", "sector_shares"), ("countries", "country_shares"), ("ratings", "rating_shares")):
+        q[f"dashboard_{frame}"] = q[whole]
+    q["group_view_contributions"] = q["breakdown_breaching_names"]
+    q["amplifying_cascades"] = f"SELECT seed, contagion_loss FROM ({q['default_cascade']}) WHERE contagion_loss > 0"
+    q["watchlist_of_nbfis"] = _sql(
+        WATCH,
+        f"""SELECT w.entity_id, {_d('w.connected')} AS connected, w.band FROM watch w JOIN entities e ON e.entity_id = w.entity_id
+WHERE e.counterparty_type = 'nbfi'""",
     )
     q["scoped_watchlist"] = _sql(
         WATCH,

@@ -485,6 +485,11 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "headline_any_status": lambda s, b: exposure.headline(b, status_mode="raw"),
     "headline_active_loans": lambda s, b: exposure.headline(b, status_mode="loans"),
     "breakdown_breaching_names": lambda s, b: exposure.breakdown(b, breaching_heads(b)),
+    "group_view_contributions": lambda s, b: exposure.group_view(b, breaching_heads(b))["contributions"],
+    "amplifying_cascades": lambda s, b: filters.amplifying(contagion.cascade(b)).select("seed", "contagion_loss"),
+    "watchlist_of_nbfis": lambda s, b: filters.bind(
+        limits.watchlist(b), "entity_id", nbfis(b).withColumnRenamed("nbfi", "entity_id")
+    ).select("entity_id", "connected", "band"),
     "exposure_to_groups": lambda s, b: exposure.exposure_to_groups(b, exposure.top_level_names(b)),
     "nbfi_cascade_totals": lambda s, b: exposure.nbfi_cascade_totals(b),
     "nbfi_cascade": lambda s, b: exposure.nbfi_cascade(b, nbfis(b)),
@@ -564,6 +569,7 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "structural_wrong_way_risk": lambda s, b: wrong_way.structural_wwr(b),
     "general_wrong_way_risk": lambda s, b: wrong_way.general_wwr(b),
     # validation, changes, audit
+    "import_totals": lambda s, b: validation.report_totals(validation.check_records(faulty_source(b))),
     "import_report": lambda s, b: validation.check_records(faulty_source(b)),
     "import_rejections": lambda s, b: validation.rejections_by_reason(
         validation.check_records(faulty_source(b))
@@ -585,6 +591,11 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "audit_chain_problems": lambda s, b: audit.chain_problems(audit_lines(b)),
     # access
     "group_grants": lambda s, b: access.grants(managers(b), access.candidate_groups(b)),
+    "dashboard_hhi": lambda s, b: rounded(_scoped_dashboard(b)["hhi"], "direct_hhi", "connected_hhi", places=8),
+    "dashboard_cr10": lambda s, b: rounded(_scoped_dashboard(b)["cr10"], "direct_cr", "connected_cr"),
+    "dashboard_sectors": lambda s, b: rounded(_scoped_dashboard(b)["sectors"], "share"),
+    "dashboard_countries": lambda s, b: rounded(_scoped_dashboard(b)["countries"], "share"),
+    "dashboard_ratings": lambda s, b: rounded(_scoped_dashboard(b)["ratings"], "share"),
     "scoped_watchlist": lambda s, b: rounded(_scoped_dashboard(b)["watchlist"], "utilisation"),
     "scoped_exposures": lambda s, b: _scoped_dashboard(b)["exposures"],
     "limit_edit_gate": lambda s, b: access.gate_limit_edits(amount_changes(b)).select(
