@@ -95,10 +95,10 @@ def components(links: DataFrame, label: str) -> DataFrame:
         large = tidy(
             near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # A node has few smaller neighbours left: the heads it was linked to.
+        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         small = tidy(
-            large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b")))
+            low.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         )
         edges = stage(small, label)
         state = edges.agg(

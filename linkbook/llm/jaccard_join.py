@@ -1,7 +1,7 @@
 """N-gram Jaccard join: MinHash bands find candidates, full shingle sets verify them.
 
 Copies of a text are one row from the start. In a band's bucket every text is compared with one
-head, chosen by one of a few orders. Texts that this connects need no further comparison; two texts
+head, another one in each band. Texts that this connects need no further comparison; two texts
 of a bucket that are still apart are compared, unless the sizes of their sets rule it out. So a
 bucket of near copies is not expanded into pairs, and no similar pair of a bucket is missed.
 Connected groups are the classes. The links of a text are then counted inside its class, block
@@ -27,8 +27,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 320
-# Orders that choose the head of a bucket, so that near copies meet few different heads.
-HEADS = 4
 # Shingles of one block when the links of a class are counted; classes with more are cut into blocks.
 BLOCK_SHINGLES = 400_000
 
@@ -172,7 +170,7 @@ def classes(
         "join-texts",
     )
     entries = texts.select("key", "size", F.posexplode("bands").alias("band", "hash"))
-    order = F.struct(F.xxhash64(F.col("band") % HEADS, "key"), "key", "size")
+    order = F.struct(F.xxhash64("band", "key"), "key", "size")
     heads = entries.groupBy("band", "hash").agg(F.min(order).alias("h"), F.count("*").alias("n")).where("n > 1")
     heads = heads.select("band", "hash", F.col("h.key").alias("head"), F.col("h.size").alias("head_size"))
     bucketed = stage(entries.join(heads, ["band", "hash"]), "join-buckets")
@@ -199,7 +197,7 @@ def classes(
         .select(F.least("lone_key", "key").alias("a"), F.greatest("lone_key", "key").alias("b")).distinct()
     )
     more = stage(_similar(pairs, sets, threshold), "join-more")
-    links = alike.union(more)
+    links = joined.select(F.col("node").alias("a"), F.col("part").alias("b")).union(more)
     groups = components(links, "join-groups")
     grouped = texts.drop("bands", "size").join(groups.withColumnRenamed("node", "key"), "key", "left")
     grouped = grouped.withColumn("group", F.coalesce("group", "key"))
