@@ -100,16 +100,15 @@ def _feature_batches(model: Model):
     return run
 
 
-def _scored(model: Model, name: str):
-    """Arrow function that appends the score of the column ``text``."""
+def _scored(model: Model, at: int):
+    """Arrow function that appends the score of the column in place ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         savings = _Savings(model)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             rows = np.array([_features(t, savings) for t in _texts(batch.column(at))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.score(rows), pa.float64())], [*batch.schema.names, name]
+                [*batch.columns, pa.array(model.score(rows), pa.float64())], [*batch.schema.names, "score"]
             )
 
     return run
@@ -189,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """``docs`` with the score of ``text`` in a new column ``name``; a null text counts as empty."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_scored(model, name), schema)
+    # Plain names on the way, for names with dots cannot be handed to Python.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(_scored(model, docs.columns.index("text")), schema).toDF(*docs.columns, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
