@@ -235,3 +235,27 @@ def test_licenses(spark):
     }
     docs = spark.createDataFrame([(i, f"text before\n{t}\ntext after") for i, t in enumerate(lines)], "doc_id long, text string")
     assert [r["licenses"] for r in license_scan.scan(docs).orderBy("doc_id").collect()] == list(lines.values())
+
+
+def test_licenses_in_prose_and_over_lines(spark, texts):
+    """Notices inside sentences and wrapped over lines, against a search of every wording word by word."""
+    rng = random.Random(8)
+    prose = [w for i in sorted(texts) for w in texts[i].split()]
+    wordings = [(n, t) for kind in (license_scan.TEMPLATES, license_scan.OPENINGS) for n, ts in kind.items() for t in ts]
+    spell = lambda t: [w.lower().strip("#.,;:()") for w in t.split() if w.strip("#.,;:()")]
+    rows, expected = [], []
+    for k, (_, wording) in enumerate(wordings * 3):
+        words = rng.choices(prose, k=rng.choice([0, 6, 25, 90])) + wording.split() + rng.choices(prose, k=rng.choice([0, 6, 25, 90]))
+        gaps = [("\n# " if k % 2 else "\n") if rng.random() < 0.2 else " " for _ in words]
+        text = "".join(w + g for w, g in zip(words, gaps, strict=True))
+        found = {n for n, t in wordings if f" {' '.join(spell(t))} " in f" {' '.join(spell(text))} "}
+        assert found
+        if "BSD" in found:
+            found = (found - {"BSD"}) | ({"BSD-2-Clause"} if "BSD-3-Clause" not in found else set())
+        rows.append((k, text))
+        expected.append(",".join(sorted(found)))
+    long = "Licensed under the Apache License, Version 2.0 (the License); you may never use this file except in compliance with the License."
+    rows += [(1000, " ".join(prose[:30]) + " " + long.replace(" ", "\n * ")), (1001, "All rights\nreserved."), (1002, "All wrongs\nreserved. Rights reserved.")]
+    expected += ["Apache-2.0", "all-rights-reserved", ""]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in out] == expected
