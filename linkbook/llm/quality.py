@@ -22,7 +22,7 @@ MAX_REPEAT_PERCENT = 50
 # Share of a group that the estimate rests on, and the chance that a document of a normal group is rejected.
 CORE = 0.75
 ALPHA = 1e-8
-# A group of fewer judged documents has no estimate: its documents are kept.
+# A group of fewer judged documents is judged by the estimate of its language, or of all documents.
 MIN_ROWS = 50
 # Statistic -> deviation that is never held against a document (added to the variance).
 FLOORS = {"log_words": 0.3, "word_length": 0.03, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.15}
@@ -162,8 +162,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     buckets) and estimates anew, until no determinant falls any further.
     """
     core_factor = CORE / _chi2_cdf(_chi2_quantile(CORE, P), P + 2)
-    whole = _moments(rows, "grp").where(F.col("n") >= MIN_ROWS)
-    starts = whole.withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
+    starts = _moments(rows, "grp").withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
     away = {f"m{i}": F.when(F.col("start") == 1, F.col(f"m{i}")).otherwise(F.lit(0.0)) for i in range(P)}
     apart = {
         f"c{i}{j}": F.when(F.col("start") > 0, F.col(f"c{i}{j}")).otherwise(F.lit(1.0 if i == j else 0.0)) for i, j in _L
@@ -185,32 +184,52 @@ def estimates(rows: DataFrame) -> DataFrame:
     return current.join(least, ["grp", "start"], "left_semi")
 
 
+def _pools(judged: DataFrame) -> DataFrame:
+    """``own``, ``grp``, ``pools``: each group's estimate, and all estimates that its documents are part of.
+
+    A group of ``MIN_ROWS`` judged documents has its own estimate, another one that of its language
+    if that has so many, else that of all documents. Pools hold their large groups too.
+    """
+    of_lang = Window.partitionBy("tongue")
+    sizes = judged.groupBy("tongue", "own").agg(F.count("*").alias("n")).withColumn("in_lang", F.sum("n").over(of_lang))
+    level = F.when(F.col("n") >= MIN_ROWS, 0).when(F.col("in_lang") >= MIN_ROWS, 1).otherwise(2)
+    placed = stage(sizes.withColumn("level", level).withColumn("lang_pool", F.max((F.col("level") == 1).cast("int")).over(of_lang)), "quality-pools")
+    all_pool = placed.where("level = 2").limit(1).count() > 0
+    keys = [F.concat(F.lit(f"{i}"), *k) for i, k in enumerate([[F.col("own")], [F.col("tongue")], []])]
+    used = [F.col("level") == 0, F.col("lang_pool") == 1, F.lit(all_pool)]
+    pools = F.filter(F.array(*[F.when(u, k) for u, k in zip(used, keys, strict=True)]), lambda x: x.isNotNull())
+    return placed.select("own", F.get(F.array(*keys), F.col("level")).alias("grp"), pools.alias("pools"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: the columns of :func:`statistics`, ``distance`` and ``kept``.
 
     Documents that fail the base rules are neither part of the estimates nor kept. A null
     language or source is a group of its own. A group with fewer than ``MIN_ROWS`` judged
-    documents has no estimate: its documents are kept and their distance is null. Repeated rows
-    count as often as they stand. An empty table gives no rows.
+    documents is judged by a pooled estimate (:func:`_pools`); a distance is null only where a group's
+    documents all fail the base rules. Repeated rows count as often as they stand. An empty table
+    gives no rows.
     """
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     base = stage(
-        statistics(docs).withColumn("grp", F.concat_ws("\x01", part("lang"), part("source"))).withColumns(_transformed()),
+        statistics(docs).withColumns({"tongue": part("lang"), "own": F.concat_ws("\x01", part("lang"), part("source"))}).withColumns(_transformed()),
         "quality",
     )
     judged = base.where("not base_failed")
-    medians = stage(_medians(judged, list(FLOORS)), "quality-medians")
+    pools = _pools(judged)
+    members = judged.join(pools.select("own", F.explode("pools").alias("grp")), "own")
+    medians = stage(_medians(members, list(FLOORS)), "quality-medians")
     spread = {k: F.lit(v) for k, v in FLOORS.items()}
     spread["word_length"] = F.sqrt(F.lit(FLOORS["word_length"] ** 2) + F.lit(WORD_LENGTH_CV**2) / F.greatest("n_words", F.lit(1)))
     z = {f"z{i}": (F.col(k) - F.col(f"med_{k}")) / spread[k] for i, k in enumerate(FLOORS)}
     scaled = lambda df: df.join(medians, "grp").withColumns(z)
-    fitted = stage(scaled(judged).select("grp", *z), "quality-z")
+    fitted = stage(scaled(members).select("grp", *z), "quality-z")
     found = estimates(fitted).drop("start", "logdet")
-    placed = base.join(medians, "grp", "left").withColumns(z).join(found, "grp", "left")
+    placed = base.join(pools.select("own", "grp"), "own", "left").join(medians, "grp", "left").withColumns(z).join(found, "grp", "left")
     far = F.col("d2") > _chi2_quantile(1 - ALPHA, P)
     return _distance(placed).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.sqrt("d2").alias("distance"),
+        F.round(F.sqrt("d2"), 6).alias("distance"),  # sums of doubles differ in their last digits
         (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
     )
 

@@ -185,6 +185,19 @@ def test_quality_counts_and_outliers(spark, docs, texts):
         assert r["kept"] == (not r["base_failed"] and r["doc_id"] < 1000)
 
 
+def test_quality_judges_small_groups(spark, texts):
+    """Groups under MIN_ROWS are judged by their language, languages under it by all documents."""
+    rng = random.Random(4)
+    words = texts[1].split() + ["odd", "word", "more"]
+    make = lambda mark: " ".join(w + mark for w in rng.choices(words, k=90))
+    rows = [(i, make(""), "en", f"s{i % 3}" if i < 60 else "big") for i in range(130)] + [(i, make(""), "fr", None) for i in range(200, 210)]
+    junk = [(1000 + i, make("$$$"), "en", f"s{i}") for i in range(3)] + [(1010, make("$$$"), "fr", None), (1011, make("$$$"), None, "lone")]
+    out = quality.judge(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")).collect()
+    judged = [r for r in out if not r["base_failed"]]
+    assert len(judged) > 100 and all(r["distance"] is not None for r in judged)
+    assert all(r["kept"] == (r["doc_id"] < 1000) for r in judged) and {r["doc_id"] for r in judged} >= {j[0] for j in junk}
+
+
 def test_chi_square():
     assert math.isclose(quality._chi2_cdf(3.0, 2), 1 - math.exp(-1.5), rel_tol=1e-12)
     assert math.isclose(quality._chi2_cdf(quality._chi2_quantile(0.75, 5), 5), 0.75, rel_tol=1e-9)
