@@ -21,11 +21,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Share of a group that the estimate rests on, and the chance that a document of a normal group is rejected.
 CORE = 0.75
-ALPHA = 1e-8
+ALPHA = 1e-3
 # A group of fewer judged documents is judged by the estimate of its language, or of all documents.
 MIN_ROWS = 50
-# Statistic -> deviation that is never held against a document (added to the variance).
-FLOORS = {"log_words": 0.3, "word_length": 0.03, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.15}
+# Statistic -> rounding noise, the deviation that half a count makes (added to the variance): half a symbol in
+# 100 words, half a duplicate line, half a repeated window in 300 words (asin of the root of its share).
+FLOORS = {"log_words": 0.01, "word_length": 0.01, "symbols": 0.4, "dup_lines": 0.4, "repeats": 0.1}
 # Relative deviation of one word's length; a text of n words has its mean within this / sqrt(n).
 WORD_LENGTH_CV = 0.6
 GRID = 1000  # steps per unit of the histograms that give medians

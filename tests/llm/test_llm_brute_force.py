@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from linkbook.llm import common, jaccard_join, license_scan, line_dedup, lm_scoring, quality, substring_dedup, toxicity
@@ -198,6 +199,55 @@ def test_quality_judges_small_groups(spark, texts):
     assert all(r["kept"] == (r["doc_id"] < 1000) for r in judged) and {r["doc_id"] for r in judged} >= {j[0] for j in junk}
 
 
+def _mcd_distances(z, core, factor, rng):
+    """Distances by the least determinant of concentration steps from many random starts; the identity is added."""
+    best = None
+    for _ in range(100):
+        chosen = rng.choice(len(z), 8, replace=False)
+        for _ in range(50):
+            c = factor * np.cov(z[chosen].T, bias=True) + np.eye(z.shape[1])
+            y = z - z[chosen].mean(axis=0)
+            d2 = np.einsum("ij,jk,ik->i", y, np.linalg.inv(c), y)
+            nearest = np.argsort(d2, kind="stable")[: math.ceil(core * len(z))]
+            if set(nearest) == set(chosen):
+                break
+            chosen = nearest
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], np.sqrt(d2)
+    return best[1]
+
+
+def test_quality_graded_faults(spark):
+    """Single faults of 10, 20 and 40 %, against a brute-force estimate of the same statistics."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    rows = [(i, " ".join(text(rng.randint(150, 250)))) for i in range(150)]
+    for k, share in enumerate((0.1, 0.2, 0.4)):
+        run = text(round(100 * share))
+        rows.append((1000 + k, " ".join(run + text(200 - 2 * len(run)) + run)))
+        rows.append((1010 + k, " ".join(w + ("#" if i < 200 * share else "") for i, w in enumerate(text(200)))))
+        lines = [" ".join(text(5)) for _ in range(40)]
+        rows.append((1020 + k, "\n".join(lines + [" ".join(text(1))] * round(40 * share))))
+    judged = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    n = np.array([judged[i]["n_words"] for i, _ in rows], float)
+    column = lambda c: np.array([judged[i][c] for i, _ in rows], float)
+    stats = {
+        "log_words": np.log1p(n), "word_length": np.log(column("word_chars") / n), "symbols": np.log1p(100 * column("n_symbols") / n),
+        "dup_lines": np.log1p(column("n_dup_lines")), "repeats": np.arcsin(np.sqrt(column("n_repeat_words") / n)),
+    }
+    spread = {k: np.full(len(n), v) for k, v in quality.FLOORS.items()}
+    spread["word_length"] = np.sqrt(quality.FLOORS["word_length"] ** 2 + quality.WORD_LENGTH_CV**2 / n)
+    z = np.column_stack([(v - np.median(v)) / spread[k] for k, v in stats.items()])
+    factor = quality.CORE / quality._chi2_cdf(quality._chi2_quantile(quality.CORE, 5), 7)
+    distances = dict(zip([i for i, _ in rows], _mcd_distances(z, quality.CORE, factor, np.random.default_rng(1)), strict=True))
+    limit = math.sqrt(quality._chi2_quantile(0.999, 5))
+    clear = {i for i, d in distances.items() if abs(d - limit) > 0.1 * limit}
+    assert all(judged[i]["kept"] == (distances[i] <= limit) for i in clear) and len(clear) > 140
+    assert not any(judged[i]["kept"] for i in (1001, 1002, 1010, 1011, 1012, 1021, 1022))
+    assert sum(judged[i]["kept"] for i in range(150)) >= 147
+
+
 def test_chi_square():
     assert math.isclose(quality._chi2_cdf(3.0, 2), 1 - math.exp(-1.5), rel_tol=1e-12)
     assert math.isclose(quality._chi2_cdf(quality._chi2_quantile(0.75, 5), 5), 0.75, rel_tol=1e-9)
