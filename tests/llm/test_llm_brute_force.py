@@ -322,3 +322,15 @@ def test_licenses_in_prose_and_over_lines(spark, texts):
     expected += ["Apache-2.0", "all-rights-reserved", ""]
     out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in out] == expected
+
+
+def test_long_lines_may_differ_by_a_tenth(spark):
+    """A long line without its last twentieth is alike, without its last fifth it is not."""
+    line = " ".join(f"distinctive{i % 50:02d}" for i in range(857))
+    assert len(line) > 11_900
+    rows = [(1, line), (2, line[: -700 + 14 * 7]), (3, line[: int(0.8 * len(line))])]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == 0 and out[2] == 1
+    pair = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = spark.createDataFrame(rows, "id long, norm string")
+    assert [tuple(r) for r in line_dedup._alike(pair, texts).collect()] == [(1, 2)]
