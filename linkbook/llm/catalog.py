@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkbook.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing, quality, substring_dedup, toxicity
+from linkbook.llm import chat_format, decontamination, jaccard_join, license_scan, line_dedup, lm_scoring, mixing
+from linkbook.llm import prefix_trie, quality, secret_scan, structure_repair, substring_dedup, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
@@ -19,6 +20,9 @@ _MODULES = {
     "op8_jaccard_join": jaccard_join,
     "op9_quality": quality,
     "op10_license_scan": license_scan,
+    "op11_structure_repair": structure_repair,
+    "op12_prefix_trie": prefix_trie,
+    "op13_secret_scan": secret_scan,
 }
 
 

@@ -164,12 +164,23 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     return digests(windows(table.unionByName(extra)))
 
 
-SQL = r"""
+SQL = rf"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text))
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)),
+placed AS (SELECT *, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {TURN_TOKENS}) OVER (PARTITION BY conv_id ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, role = '{SYSTEM_ROLE}' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS sys,
+  length('### :' || role || chr(10) || text || chr(10) || '</turn>' || chr(10)) + length(role) - length(regexp_replace(role, '[\\<#:\n]', '', 'g'))
+    + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{{3,}}'), lambda r: length(r) - 2)), 0) AS n FROM c),
+w AS (SELECT *, before // {STRIDE} AS w FROM placed),
+later AS (SELECT DISTINCT conv_id, w FROM w WHERE w > 0),
+shown AS (SELECT conv_id, n FROM w
+  UNION ALL SELECT w.conv_id, n FROM w JOIN later l ON l.conv_id = w.conv_id AND w.sys
+  UNION ALL SELECT w.conv_id, n FROM w JOIN later l ON l.conv_id = w.conv_id AND l.w = w.w + 1 AND NOT w.sys AND w.before >= l.w * {STRIDE} - {HISTORY})
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM c GROUP BY conv_id
+  coalesce(sum(length(text)) FILTER (role = '{TARGET_ROLE}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = '{TARGET_ROLE}'), '')) AS loss_sha256,
+  any_value(f)::BIGINT AS formatted_chars
+FROM c JOIN (SELECT conv_id, sum(n) AS f FROM shown GROUP BY conv_id) USING (conv_id) GROUP BY conv_id
 """

@@ -21,6 +21,8 @@ def test_same_rows(spark, name):
     cursor = con.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     theirs = cursor.fetchall()
-    ours = [tuple(r) for r in catalog.queries()[name](spark, str(FOLDER)).select(*columns).collect()]
+    rows = catalog.queries()[name](spark, str(FOLDER))
+    assert sorted(rows.columns) == sorted(columns)
+    ours = [tuple(r) for r in rows.select(*columns).collect()]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert ours and sorted(ours, key=key) == sorted(theirs, key=key)
