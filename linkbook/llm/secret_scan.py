@@ -206,8 +206,8 @@ class _TooLarge(Exception):
     pass
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """Decompressed bytes; None if they are not what their first bytes say."""
+def _unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """Decompressed bytes and how many bytes they were; None if they are not what their first bytes say."""
     if data[:2] == b"\x1f\x8b":
         machine = zlib.decompressobj(31)
     elif data[:1] == b"x":
@@ -222,15 +222,18 @@ def _unpacked(data: bytes) -> bytes | None:
         if machine is None:
             with zstandard.ZstdDecompressor().stream_reader(data) as reader:
                 out = reader.read(LAYER_BYTES + 1)
+            if len(out) <= LAYER_BYTES:
+                machine = zstandard.ZstdDecompressor().decompressobj()
+                machine.decompress(data)
         else:
             out = machine.decompress(data, LAYER_BYTES + 1)
-            if not machine.eof and len(out) <= LAYER_BYTES:
-                return None
+        if len(out) <= LAYER_BYTES and not machine.eof:
+            return None
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, ValueError, EOFError):
         return None
     if len(out) > LAYER_BYTES:
         raise _TooLarge
-    return out
+    return out, len(data) - len(machine.unused_data)
 
 
 def _plausible(first: str) -> bool:
@@ -252,16 +255,17 @@ def _compressed_layers(layer: Layer, left: list[str]) -> Iterator[Layer]:
             continue
         stretch = BYTES.match(layer.text, start)
         try:
-            data = _unpacked(stretch[0].encode("latin-1"))
+            unpacked = _unpacked(stretch[0].encode("latin-1"))
         except _TooLarge:
             left.append(layer.path)
             continue
-        if data:
+        if unpacked:
+            data, used = unpacked
             read = _as_text(data)
             text = read[0] if read else data.decode("latin-1")
             if read or COMPRESSED.match(text):
-                yield Layer(text, f"{layer.path}>compressed", layer, lambda a, b, span=stretch.span(): span)
-                at = stretch.end()
+                yield Layer(text, f"{layer.path}>compressed", layer, lambda a, b, span=(start, start + used): span)
+                at = start + used
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int, str]], int, int]:
