@@ -8,7 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkbook.operators.labels import Labels, labelled, listing, owners
 from linkbook.operators.ownership import ownership
+from linkbook.plans.staging import stage
 from linkbook.schema import TABLES
 
 ITEM_ATTRIBUTES = (
@@ -34,18 +36,43 @@ class Book:
     def with_tables(self, **tables: DataFrame) -> Book:
         """A new book with some tables replaced; ownership is kept if entities are."""
         new = replace(self, **tables)
-        if "entities" not in tables and "ownership" in self.__dict__:
-            new.__dict__["ownership"] = self.ownership
+        if "entities" not in tables:
+            new.share_ownership(self)
         return new
 
+    def share_ownership(self, other: Book) -> None:
+        """Take over what is known of the owners of a book with the same entities."""
+        for known in ("_paths", "labels", "ownership", "owner_pairs"):
+            if known in other.__dict__:
+                self.__dict__[known] = other.__dict__[known]
+
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
 
     @cached_property
-    def ownership(self) -> DataFrame:
-        """``entity_id, path, ubo, cyclic``: walked once per book, then re-read."""
+    def _paths(self) -> DataFrame | None:
         return ownership(self.entities)
 
+    @property
+    def deep(self) -> bool:
+        """Whether chains of owners are too long to hold paths."""
+        return self._paths is None
+
+    @cached_property
+    def ownership(self) -> DataFrame:
+        """``entity_id, path, ubo, cyclic``, without ``path`` if the book is deep: walked once per book, then re-read."""
+        return owners(self.labels) if self._paths is None else self._paths
+
+    @cached_property
+    def labels(self) -> Labels:
+        """Ranges of the groups, computed once per book."""
+        return labelled(self.entities)
+
+    @cached_property
+    def owner_pairs(self) -> DataFrame:
+        """``member, head, depth`` of a deep book, for results that list such pairs."""
+        return stage(listing(self.labels), "owner-pairs")
+
     @property
     def active_loans(self) -> DataFrame:
         return self.loans.filter(F.col("status") == "active")

@@ -273,8 +273,7 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
             .select(*stored.columns)
         )
     new = book.with_tables(**tables)
-    if "ownership" in book.__dict__:
-        new.__dict__["ownership"] = book.ownership  # a status change moves no owner
+    new.share_ownership(book)  # a status change moves no owner
     return new, judged.select("subject_id", "kind", "accepted", "reason")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkbook import params as P
@@ -13,7 +13,7 @@ from linkbook.book import Book
 from linkbook.operators.exposure import PRINCIPAL
 from linkbook.operators.mitigation import net_exposure
 from linkbook.operators.ownership import group_members, top_level_names
-from linkbook.plans.staging import stage
+from linkbook.plans.staging import Growing, stage
 from linkbook.schema import SUM_MONEY
 
 LOSS = "decimal(34,4)"
@@ -126,156 +126,191 @@ def cascade(book: Book, lgd: Decimal = P.LGD) -> DataFrame:
     )
 
 
-def cascade_multiround(
-    book: Book,
-    buffer_fraction: float = P.BUFFER_FRACTION,
-    firesale_sensitivity: float = P.FIRESALE_SENSITIVITY,
-    max_rounds: int | None = None,
-    lgd: Decimal = P.LGD,
-    contagion_group: str = "ubo",
-) -> DataFrame:
-    """Cascade with fire sales, iterated to a fixed point for all seeds together.
-
-    Each round only last round's new defaults add guarantee obligations; the
-    obligations carried by solvent guarantors are kept and re-tested against the
-    buffer as the fire-sale haircut grows. A seed leaves every table of the loop
-    when a round brings it nothing new; the defaulted set only grows, so the loop
-    ends by itself. With ``max_rounds``, seeds still moving then have
-    ``converged`` false. Amounts, buffers and pledges are decimals, and the share of
-    the net exposure that absorbs losses is one with twelve places.
+@dataclass(frozen=True)
+class _Units:
+    """What a cascade needs to know of the groups and entities that can fail as a whole.
 
-    ``contagion_group="ubo"``: a failing guarantor below the top of its group takes
-    down only itself; ``"closure"`` takes down everything it owns.
+    ``inside``: ``unit, member``; ``nested``: ``unit, inner``, a unit and one inside it;
+    ``facts``: ``unit, n, value, booked`` (entities, pledged collateral, active principal);
+    ``owed``: ``unit, guarantor, amount, net``, what the unit's borrowers make a guarantor outside it
+    pay, and its net exposure.
     """
-    edges = stage(_edges(book), "edges")
-    owed = edges.groupBy("borrower", "guarantor").agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
-    guarantors = edges.select(F.col("guarantor").alias("entity_id")).distinct()
-    buffers = stage(
-        guarantors.join(net_exposure(book).select("entity_id", "net"), "entity_id", "left").select(
-            F.col("entity_id").alias("guarantor"),
-            F.coalesce("net", F.lit(0)).cast(NET).alias("net"),
-        ),
-        "buffers",
-    )
+
+    inside: DataFrame
+    nested: DataFrame
+    facts: DataFrame
+    owed: DataFrame
+    pledged: float
+
+
+def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str) -> _Units:
+    """Facts of every possible unit: a guarantor with what it takes down, or a seed with its group."""
+    possible = edges.select(F.col("guarantor").alias("unit")).union(seeds.select(F.col("seed").alias("unit"))).distinct()
+    members = group_members(book, contagion_group).select(F.col("head").alias("unit"), "member")
+    inside = stage(members.join(possible, "unit", "left_semi"), "inside")
+    inner = possible.withColumnRenamed("unit", "inner")
+    nested = inside.withColumnRenamed("member", "inner").filter("unit <> inner").join(inner, "inner", "left_semi")
     pledges = (
         book.items.filter(F.col("status") == "active")
-        .groupBy(F.col("pledged_by_entity_id").alias("entity_id"))
+        .groupBy(F.col("pledged_by_entity_id").alias("member"))
         .agg(F.sum(F.coalesce("collateral_value", F.lit(0))).cast(SUM_MONEY).alias("value"))
     )
     pledges = stage(pledges, "pledges")
+    booked = book.active_loans.groupBy(F.col("borrower_entity_id").alias("member")).agg(
+        F.sum(PRINCIPAL).cast(SUM_MONEY).alias("booked")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(SUM_MONEY).alias(c)
+    facts = (
+        inside.join(pledges, "member", "left")
+        .join(booked, "member", "left")
+        .groupBy("unit")
+        .agg(F.count("*").alias("n"), total("value"), total("booked"))
+    )
+    by_borrower = edges.groupBy("borrower", "guarantor").agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
+    net = net_exposure(book).select(F.col("entity_id").alias("guarantor"), "net")
+    owed = (
+        inside.withColumnRenamed("member", "borrower")
+        .join(by_borrower, "borrower")
+        .groupBy("unit", "guarantor")
+        .agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
+        .join(inside.withColumnRenamed("member", "guarantor"), ["unit", "guarantor"], "left_anti")
+        .join(net, "guarantor", "left")
+        .select("unit", "guarantor", "amount", F.coalesce("net", F.lit(0)).cast(NET).alias("net"))
+    )
     pledged = pledges.agg(F.sum("value")).first()[0] or 1
-    takedown = group_members(book, contagion_group).join(
-        guarantors.withColumnRenamed("entity_id", "head"), "head", "left_semi"
+    return _Units(inside, stage(nested, "nested"), stage(facts, "facts"), stage(owed, "owed"), float(pledged))
+
+
+FAILED = "seed, unit, sign, n, value, booked, round".split(", ")
+
+
+def _haircut(dumped: Column, pledged: float, sensitivity: float) -> Column:
+    return F.least(F.lit(P.FIRESALE_CAP), F.lit(sensitivity) * dumped.cast("double") / F.lit(pledged))
+
+
+def _failed_totals(failed: DataFrame) -> DataFrame:
+    """Per seed: pledges dumped, and two sums that name the set of its failed units."""
+    name = lambda n: F.sum(F.col("sign") * F.xxhash64(F.lit(n), "unit").cast("decimal(20,0)")).alias(f"name{n}")
+    return failed.groupBy("seed").agg(
+        F.sum(F.col("sign") * F.col("value")).cast(SUM_MONEY).alias("dumped"), name(1), name(2)
     )
-    takedown = stage(takedown.select(F.col("head").alias("guarantor"), "member"), "takedown")
-
-    seeds = top_level_names(book).select(F.col("head").alias("seed"))
-    fresh = stage(
-        group_members(book, "ubo")
-        .select(F.col("head").alias("seed"), F.col("member").alias("entity_id"))
-        .join(seeds, "seed", "left_semi"),
-        "seeds",
+
+
+def _standing(failed: DataFrame) -> DataFrame:
+    """``seed, unit`` of the failed units that are not part of a larger one: together they are the seed's set."""
+    return failed.groupBy("seed", "unit").agg(F.sum("sign").alias("sign")).filter("sign > 0").select("seed", "unit")
+
+
+def cascade_state(
+    book: Book,
+    buffer_fraction: float = P.BUFFER_FRACTION,
+    firesale_sensitivity: float = P.FIRESALE_SENSITIVITY,
+    max_rounds: int | None = None,
+    contagion_group: str = "ubo",
+    edges: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, _Units]:
+    """The fixed point of all seeds: failed units, the seeds that share a run, and facts of the units.
+
+    ``failed`` has a row per seed and failed unit: a whole group, or one entity of a group that
+    stands. A unit that swallows earlier ones is followed by their rows with sign -1. ``shared`` is
+    ``seed, run, round``: from that round on the seed's set equals that of ``run``, whose rows go
+    on alone.
+    """
+    spark = book.loans.sparkSession
+    edges = stage(_edges(book), "edges") if edges is None else edges
+    seeds = stage(top_level_names(book).select(F.col("head").alias("seed")), "seeds")
+    units = _units(book, edges, seeds, contagion_group)
+    guarantors = edges.select(F.col("guarantor").alias("member")).distinct()
+    held = stage(
+        units.inside.join(guarantors, "member", "left_semi").select("unit", F.col("member").alias("guarantor")), "held"
     )
-    initial = fresh.groupBy("seed").agg(F.count("*").alias("initial"))
-    # Every seed's defaults are the union of the rounds' additions; ``members`` has the moving seeds' only.
-    defaulted, members = fresh, fresh
-    zero = F.lit(0).cast(SUM_MONEY)
-    moving = seeds.select("seed", zero.alias("dumped"))
-    carried, finished, round_no = None, [], 0
+    first = seeds.select("seed", F.col("seed").alias("unit"), F.lit(1).alias("sign")).join(units.facts, "unit")
+    failed = Growing(spark, "failed", first.withColumn("round", F.lit(0)).select(*FAILED))
+    shared = Growing(spark, "shared", seeds.select("seed", F.col("seed").alias("run"), F.lit(0).alias("round")).limit(0))
+    fresh, owing, round_no = failed.rows(), None, 0
     while True:
         round_no += 1
-        dumped = fresh.join(pledges, "entity_id").groupBy("seed").agg(F.sum("value").alias("now"))
-        haircut = F.lit(firesale_sensitivity) * F.col("dumped").cast("double") / F.lit(float(pledged))
-        status = stage(
-            moving.join(dumped, "seed", "left")
-            .select("seed", (F.col("dumped") + F.coalesce("now", zero)).cast(SUM_MONEY).alias("dumped"))
-            .withColumn("haircut", F.least(F.lit(P.FIRESALE_CAP), haircut)),
-            "status",
+        # Seeds of which the last round added something; those with equal sets go on as one run.
+        totals = _failed_totals(failed.rows().join(fresh.select("seed").distinct(), "seed", "left_semi"))
+        totals = stage(totals, "totals")
+        runs = totals.groupBy("name1", "name2").agg(F.min("seed").alias("run"))
+        placed = stage(totals.join(runs, ["name1", "name2"]).select("seed", "run", "dumped"), "runs")
+        shared.append(placed.filter("seed <> run").select("seed", "run", F.lit(round_no).alias("round")))
+        moving = placed.filter("seed = run").select("seed", "dumped")
+        added = fresh.join(units.owed, "unit").select(
+            "seed", "guarantor", (F.col("sign") * F.col("amount")).cast(SUM_MONEY).alias("amount"), "net"
         )
-        added = (
-            fresh.withColumnRenamed("entity_id", "borrower")
-            .join(owed, "borrower")
-            .select("seed", "guarantor", "amount")
+        both = added if owing is None else owing.unionByName(added)
+        both = both.join(moving.select("seed"), "seed", "left_semi").groupBy("seed", "guarantor").agg(
+            F.sum("amount").cast(SUM_MONEY).alias("amount"), F.first("net").alias("net")
         )
-        owing = added if carried is None else carried.unionByName(added)
-        owing = stage(
-            owing.groupBy("seed", "guarantor")
-            .agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
-            .join(
-                members.withColumnRenamed("entity_id", "guarantor"), ["seed", "guarantor"], "left_anti"
-            ),
-            "owing",
-        )
-        share = F.round(F.lit(buffer_fraction) * (1 - F.col("haircut")), 12).cast("decimal(13,12)")
+        standing = _standing(failed.rows())
+        fallen = both.select("seed", "guarantor").join(held, "guarantor").join(standing, ["seed", "unit"], "left_semi")
+        owing = stage(both.join(fallen.select("seed", "guarantor"), ["seed", "guarantor"], "left_anti"), "owing")
+        share = F.round(
+            F.lit(buffer_fraction) * (1 - _haircut(F.col("dumped"), units.pledged, firesale_sensitivity)), 12
+        ).cast("decimal(13,12)")
         failing = (
-            owing.join(status.select("seed", "haircut"), "seed")
-            .join(buffers, "guarantor")
+            owing.join(moving, "seed")
             .filter(F.col("amount") > share * F.col("net"))
-            .select("seed", "guarantor")
-        )
-        fresh = stage(
-            failing.join(takedown, "guarantor")
-            .select("seed", F.col("member").alias("entity_id"))
-            .distinct()
-            .join(members, ["seed", "entity_id"], "left_anti"),
-            "fresh",
+            .select("seed", F.col("guarantor").alias("unit"))
         )
-        grown = fresh.select("seed").distinct()
-        rounds = F.lit(round_no).alias("rounds")
-        finished.append(
-            status.join(grown, "seed", "left_anti").select("seed", "haircut", rounds, F.lit(True).alias("converged"))
+        # Units inside one that fails too are part of it; those that failed before are taken back.
+        swallowed = failing.join(units.nested, "unit").select("seed", F.col("inner").alias("unit"))
+        new = failing.join(swallowed, ["seed", "unit"], "left_anti").withColumn("sign", F.lit(1))
+        back = standing.join(swallowed.distinct(), ["seed", "unit"], "left_semi").withColumn("sign", F.lit(-1))
+        fresh = failed.append(
+            new.unionByName(back).join(units.facts, "unit").withColumn("round", F.lit(round_no)).select(*FAILED)
         )
-        if fresh.isEmpty():
-            break
-        defaulted = defaulted.unionByName(fresh)
-        if round_no == max_rounds:
-            finished.append(
-                status.join(grown, "seed", "left_semi").select("seed", "haircut", rounds, F.lit(False).alias("converged"))
-            )
-            break
-        moving = status.join(grown, "seed", "left_semi").select("seed", "dumped")
-        carried = owing.join(grown, "seed", "left_semi")
-        members = stage(members.join(grown, "seed", "left_semi").unionByName(fresh), "members")
-    return _cascade_losses(book, edges, defaulted, reduce(DataFrame.unionByName, finished), initial, lgd)
+        if fresh.isEmpty() or round_no == max_rounds:
+            return failed.rows(), shared.rows(), units
 
 
-def _cascade_losses(
+def cascade_multiround(
     book: Book,
-    edges: DataFrame,
-    defaulted: DataFrame,
-    status: DataFrame,
-    initial: DataFrame,
-    lgd: Decimal,
+    buffer_fraction: float = P.BUFFER_FRACTION,
+    firesale_sensitivity: float = P.FIRESALE_SENSITIVITY,
+    max_rounds: int | None = None,
+    lgd: Decimal = P.LGD,
+    contagion_group: str = "ubo",
 ) -> DataFrame:
-    """Loss on defaulted borrowers' active loans that no solvent guarantor covers."""
-    booked = book.active_loans.groupBy(F.col("borrower_entity_id").alias("entity_id")).agg(
-        F.sum(PRINCIPAL).cast(SUM_MONEY).alias("amount")
-    )
-    gross = defaulted.join(booked, "entity_id", "left").groupBy("seed").agg(
-        F.count("*").alias("defaulted"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast(SUM_MONEY).alias("gross"),
+    """Cascade with fire sales, iterated to a fixed point for all seeds together.
+
+    The state of a seed is the units that failed, a whole group or a single entity, and what the
+    guarantors that stand owe. A round adds the obligations of the last round's units only and
+    tests all that are owed against the buffer, as the fire-sale haircut grows. A seed leaves the
+    loop when a round brings it nothing new, or when its set equals another seed's. With
+    ``max_rounds``, seeds still moving then have ``converged`` false. Amounts, buffers and pledges
+    are decimals, and the share of the net exposure that absorbs losses is one with twelve places.
+
+    ``contagion_group="ubo"``: a failing guarantor below the top of its group takes
+    down only itself; ``"closure"`` takes down everything it owns.
+    """
+    edges = stage(_edges(book), "edges")
+    failed, shared, units = cascade_state(
+        book, buffer_fraction, firesale_sensitivity, max_rounds, contagion_group, edges
     )
-    live = edges.filter(F.col("status") == "active")
-    covered = (
-        live.select("loan_id", "borrower", "guarantor", PRINCIPAL)
-        .join(defaulted.withColumnRenamed("entity_id", "borrower"), "borrower")
-        .join(
-            defaulted.withColumnRenamed("entity_id", "guarantor"), ["seed", "guarantor"], "left_anti"
-        )
-        .groupBy("seed", "loan_id")
-        .agg(F.first(PRINCIPAL).alias("amount"))
-        .groupBy("seed")
-        .agg(F.sum("amount").cast(SUM_MONEY).alias("covered"))
+    cap = F.lit(max_rounds if max_rounds is not None else 1 << 30)
+    # With a cap, the last round's failures no longer count in the haircut.
+    before = F.when(F.col("round") < cap, F.col("sign") * F.col("value")).otherwise(F.lit(0).cast(SUM_MONEY))
+    status = failed.groupBy("seed").agg(
+        F.least(F.max("round") + 1, cap).alias("rounds"),
+        (F.max("round") < cap).alias("converged"),
+        F.sum(F.col("sign") * F.col("n")).alias("defaulted"),
+        F.sum(F.col("sign") * F.col("booked")).cast(SUM_MONEY).alias("gross"),
+        _haircut(F.sum(before).cast(SUM_MONEY), units.pledged, firesale_sensitivity).alias("haircut"),
     )
-    zero = F.lit(0).cast(SUM_MONEY)
+    initial = failed.filter("round = 0").select(F.col("seed").alias("asked"), F.col("n").alias("initial"))
+    runs = initial.join(_runs(shared), "asked", "left").select("asked", "initial", F.coalesce("run", "asked").alias("seed"))
+    standing = stage(_standing(failed), "standing")
+    covered = _covered(standing.join(runs.select("seed").distinct(), "seed", "left_semi"), units.inside, edges)
     effective = F.least(F.lit(1.0), F.lit(float(lgd)) + F.col("haircut"))
-    exposed = (F.col("gross") - F.coalesce("covered", zero)).cast("double")
+    exposed = (F.col("gross") - F.coalesce("covered", F.lit(0)).cast(SUM_MONEY)).cast("double")
     return (
-        status.join(gross, "seed")
-        .join(initial, "seed")
+        runs.join(status, "seed")
         .join(covered, "seed", "left")
         .select(
-            "seed",
+            F.col("asked").alias("seed"),
             "rounds",
             "defaulted",
             (F.col("defaulted") - F.col("initial")).alias("second_order"),
@@ -284,3 +319,39 @@ def _cascade_losses(
             "converged",
         )
     )
+
+
+def _runs(shared: DataFrame) -> DataFrame:
+    """``asked, run``: the run that a seed ended in, following runs that were shared later."""
+    links = stage(shared.select(F.col("seed").alias("asked"), "run"), "runs")
+    while True:
+        # A seed joins a run once, and that run has a smaller id: pointers double until none moves.
+        onward = links.select(F.col("asked").alias("run"), F.col("run").alias("next"))
+        moved = links.join(onward, "run", "left").select("asked", F.coalesce("next", "run").alias("run"), F.col("next").isNotNull().alias("moved"))
+        moved = stage(moved, "runs")
+        links = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return links
+
+
+def _covered(standing: DataFrame, inside: DataFrame, edges: DataFrame) -> DataFrame:
+    """``seed, covered``: active loans to defaulted borrowers that a guarantor outside the seed's set backs."""
+    live = edges.filter(F.col("status") == "active").select("loan_id", "borrower", "guarantor", PRINCIPAL)
+    by_unit = inside.withColumnRenamed("member", "borrower").join(live, "borrower")
+    by_unit = by_unit.join(inside.withColumnRenamed("member", "guarantor"), ["unit", "guarantor"], "left_anti")
+    backed = standing.join(by_unit, "unit").select("seed", "loan_id", "guarantor", PRINCIPAL)
+    holders = inside.select(F.col("unit").alias("holder"), F.col("member").alias("guarantor"))
+    gone = (
+        backed.select("seed", "guarantor")
+        .distinct()
+        .join(holders, "guarantor")
+        .join(standing.withColumnRenamed("unit", "holder"), ["seed", "holder"], "left_semi")
+        .select("seed", "guarantor")
+    )
+    return (
+        backed.join(gone, ["seed", "guarantor"], "left_anti")
+        .groupBy("seed", "loan_id")
+        .agg(F.first(PRINCIPAL).alias("amount"))
+        .groupBy("seed")
+        .agg(F.sum("amount").cast(SUM_MONEY).alias("covered"))
+    )

@@ -11,12 +11,15 @@ collateral rows even when one item secures a third of the book.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkbook.book import Book
-from linkbook.operators.ownership import top_level_names
+from linkbook.operators.labels import common_owners, group_sums
+from linkbook.operators.ownership import closure, top_level_names
+from linkbook.plans.prefix import totals_before
 from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
@@ -62,6 +65,17 @@ def _with_path(df: DataFrame, book: Book, id_column: str, path: str) -> DataFram
     )
 
 
+def _with_heads(df: DataFrame, book: Book, id_column: str) -> DataFrame:
+    """``df`` once for each owner of ``id_column``: ``head``, and ``hop``, 0 for itself; unknown entities own themselves."""
+    if not book.deep:
+        placed = _with_path(df, book, id_column, "_path")
+        return placed.select("*", F.posexplode("_path").alias("hop", "head")).drop("_path")
+    pairs = book.owner_pairs.select(F.col("member").alias(id_column), "head", F.col("depth").cast("int").alias("hop"))
+    return df.join(pairs, id_column, "left").withColumns(
+        {"head": F.coalesce("head", id_column), "hop": F.coalesce("hop", F.lit(0))}
+    )
+
+
 # --- direct -----------------------------------------------------------------
 
 
@@ -90,8 +104,7 @@ def _zeros(prefix: str, measures: Sequence[str]) -> list[Column]:
 
 def _direct_arm(loans: DataFrame, book: Book, measures: Sequence[str]) -> DataFrame:
     by_borrower = loans.groupBy("borrower_entity_id").agg(*[_money(m).alias(m) for m in measures])
-    placed = _with_path(by_borrower, book, "borrower_entity_id", "path")
-    return placed.select(F.posexplode("path").alias("hop", "head"), *measures).select(
+    return _with_heads(by_borrower, book, "borrower_entity_id").select(
         "head",
         *[F.when(F.col("hop") == 0, F.col(m)).otherwise(0).cast(SUM_MONEY).alias(f"own_{m}") for m in measures],
         *[F.col(m).alias(f"direct_{m}") for m in measures],
@@ -131,10 +144,11 @@ def _guarantee_arm(
     )
 
 
-def _touches(placed: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
+def _touches(placed: DataFrame, book: Book, key: str, measures: Sequence[str]) -> DataFrame:
     """``in_*`` per (key, head): the key's loans borrowed inside the head's group."""
+    by_borrower = placed.groupBy(key, "borrower_entity_id").agg(*[_money(m).alias(m) for m in measures])
     return (
-        placed.select(key, F.explode("path").alias("head"), *measures)
+        _with_heads(by_borrower, book, "borrower_entity_id")
         .groupBy(key, "head")
         .agg(*[_money(m).alias(f"in_{m}") for m in measures])
     )
@@ -159,7 +173,7 @@ def shared_pairs(collateral: DataFrame) -> DataFrame:
 def _shared_links(
     book: Book, status_mode: str, measures: Sequence[str]
 ) -> tuple[DataFrame, bool]:
-    """Loans behind shared items, written once per book: ``item, loan_id, path`` and the measures.
+    """Loans behind shared items, written once per book: ``item, loan_id, borrower_entity_id`` and the measures.
 
     Also whether any loan has two shared items.
     """
@@ -170,8 +184,7 @@ def _shared_links(
         secured = shared_pairs(collateral).join(
             loans.select("loan_id", "borrower_entity_id", *measures), "loan_id"
         )
-        placed = _with_path(secured, book, "borrower_entity_id", "path")
-        links = stage(placed.select("item", "loan_id", "path", *measures), "links")
+        links = stage(secured.select("item", "loan_id", "borrower_entity_id", *measures), "links")
         several = not links.groupBy("loan_id").count().filter("count > 1").isEmpty()
         cache[key] = (links, several)
     return cache[key]
@@ -185,12 +198,12 @@ def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFr
     total minus the group's own part. Later ones: see :func:`_later_meetings`.
     """
     links, several = _shared_links(book, status_mode, measures)
-    touch = _touches(links, "item", measures)
+    touch = _touches(links, book, "item", measures)
     first = links
     if several:
         placed = _by_reach(links, touch)
         first = placed.filter("place = 1")
-    own = _touches(first, "item", measures) if several else touch
+    own = _touches(first, book, "item", measures) if several else touch
     amounts = (
         touch.select("item", "head")
         .join(_totals(first, "item", measures), "item")
@@ -262,6 +275,74 @@ def _later_meetings(placed: DataFrame, touch: DataFrame, measures: Sequence[str]
     )
 
 
+def _points(rows: DataFrame, node: str, values: dict[str, Column], names: Sequence[str], count: int) -> DataFrame:
+    """Amounts at entities: ``node``, all of ``names`` (0 where ``values`` has none) and ``k``, how many facts they stand for."""
+    zero = F.lit(0).cast(SUM_MONEY)
+    return rows.select(
+        F.col(node).alias("node"), *[values.get(n, zero).cast(SUM_MONEY).alias(n) for n in names], F.lit(count).cast("bigint").alias("k")
+    )
+
+
+def _deep_arms(book: Book, loans: DataFrame, guarantees: DataFrame, status_mode: str, measures: Sequence[str]) -> DataFrame:
+    """The arms of connected exposure where chains of owners are long, as sums over ranges.
+
+    A fact counts for all owners of an entity: it is put there, and the owners' sums are over their
+    groups' ranges. A guarantee is taken back at the deepest common owner of guarantor and
+    borrower, and so is an item's total at that of neighbouring borrowers, which leaves it
+    counted once for every head that touches it. Rows grow with the facts, not with the depth.
+    """
+    labels = book.labels
+    names = [f"{p}_{m}" for m in measures for p in ("own", "direct", "shared")] + ["guarantees_given"]
+    by_borrower = loans.groupBy("borrower_entity_id").agg(*[_money(m).alias(m) for m in measures])
+    direct = {f"direct_{m}": F.col(m) for m in measures}
+    parts = [_points(by_borrower, "borrower_entity_id", direct, names, 1)]
+    amount = {"guarantees_given": F.col("amount")}
+    if status_mode == "raw":
+        edges = guarantees.groupBy("guarantor_entity_id").agg(_money("amount").alias("amount"))
+    else:
+        borrowers = loans.select(F.col("loan_id").alias("beneficiary_loan_id"), "borrower_entity_id")
+        edges = stage(
+            guarantees.join(borrowers, "beneficiary_loan_id")
+            .groupBy("guarantor_entity_id", "borrower_entity_id")
+            .agg(_money("amount").alias("amount")),
+            "edges",
+        )
+        met = common_owners(labels, edges, "guarantor_entity_id", "borrower_entity_id")
+        parts.append(_points(met, "owner", {"guarantees_given": -F.col("amount")}, names, -1))
+        # An entity outside the table meets only itself.
+        same = edges.filter("guarantor_entity_id = borrower_entity_id").join(
+            labels.nodes.select(F.col("node").alias("guarantor_entity_id")), "guarantor_entity_id", "left_anti"
+        )
+        parts.append(_points(same, "guarantor_entity_id", {"guarantees_given": -F.col("amount")}, names, -1))
+    parts.append(_points(edges, "guarantor_entity_id", amount, names, 1))
+    links, several = _shared_links(book, status_mode, measures)
+    if not several:
+        own = links.groupBy("item", "borrower_entity_id").agg(*[_money(m).alias(f"in_{m}") for m in measures])
+        held = own.join(_totals(links, "item", measures), "item").withColumn("one", F.lit(1).cast("bigint"))
+        enter = labels.nodes.select(F.col("node").alias("borrower_entity_id"), "enter")
+        placed = held.join(enter, "borrower_entity_id", "left")
+        # Unknown borrowers come last in their item, by id; they share no owner with anyone.
+        rows = stage(totals_before(placed, ["item", "enter", "borrower_entity_id"], {"at": "one"}, "touching"), "touching")
+        outside = {f"shared_{m}": F.col(f"all_{m}") - F.col(f"in_{m}") for m in measures}
+        parts.append(_points(rows, "borrower_entity_id", outside, names, 1))
+        following = rows.select((F.col("at") - 1).alias("at"), F.col("item").alias("_item"), F.col("borrower_entity_id").alias("_next"))
+        pairs = stage(rows.join(following, "at").filter("item = _item").drop("_item", "at", "one", "enter"), "neighbours")
+        met = common_owners(labels, pairs, "borrower_entity_id", "_next")
+        parts.append(_points(met, "owner", {f"shared_{m}": -F.col(f"all_{m}") for m in measures}, names, -1))
+    points = reduce(DataFrame.unionByName, parts).groupBy("node").agg(*[_money(n).alias(n) for n in names], F.sum("k").alias("k"))
+    points = stage(points, "points")
+    sums = group_sums(labels, points, [*names, "k"])
+    unknown = points.join(labels.nodes.select("node"), "node", "left_anti")
+    columns = ["head", *[f"own_{m}" for m in measures], *[f"direct_{m}" for m in measures], "guarantees_given", *[f"shared_{m}" for m in measures]]
+    groups = sums.unionByName(unknown).filter("k > 0").withColumnRenamed("node", "head").select(*[F.col(c) if c == "head" else F.col(c).cast(SUM_MONEY).alias(c) for c in columns])
+    heads = by_borrower.select(
+        F.col("borrower_entity_id").alias("head"), *[F.col(m).alias(f"own_{m}") for m in measures], *_zeros("direct_", measures),
+        F.lit(0).cast(SUM_MONEY).alias("guarantees_given"), *_zeros("shared_", measures),
+    )
+    arms = groups.unionByName(heads)
+    return arms.unionByName(_shared_arm(book, status_mode, measures)) if several else arms
+
+
 def connected_parts(
     book: Book,
     measures: Sequence[str] = (PRINCIPAL,),
@@ -274,11 +355,15 @@ def connected_parts(
     (loans to the head itself), ``direct_m`` (to its group) and ``shared_m``.
     """
     loans, guarantees, _ = _facts(book, status_mode)
-    arms = (
-        _direct_arm(loans, book, measures)
-        .unionByName(_guarantee_arm(guarantees, loans, book, measures, status_mode == "raw"))
-        .unionByName(_shared_arm(book, status_mode, measures))
-    )
+    inside_too = status_mode == "raw"
+    if book.deep:
+        arms = _deep_arms(book, loans, guarantees, status_mode, measures)
+    else:
+        arms = (
+            _direct_arm(loans, book, measures)
+            .unionByName(_guarantee_arm(guarantees, loans, book, measures, inside_too))
+            .unionByName(_shared_arm(book, status_mode, measures))
+        )
     if heads is not None:
         arms = arms.join(heads.select("head").distinct(), "head", "left_semi")
     return arms.groupBy("head").agg(
@@ -383,7 +468,7 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
     loans, guarantees, collateral = _facts(book, status_mode)
     asked = _asked(heads, "head")
     members = stage(
-        book.ownership.select("entity_id", F.explode("path").alias("head"))
+        closure(book).select(F.col("member").alias("entity_id"), "head")
         .join(asked, "head", "left_semi")
         .unionByName(asked.select(F.col("head").alias("entity_id"), "head"))
         .distinct(),
@@ -676,15 +761,14 @@ def guarantee_chains(book: Book, heads: DataFrame | None = None) -> DataFrame:
     edges = book.active_guarantees.select(
         "guarantee_id", "guarantor_entity_id", "beneficiary_loan_id", "amount"
     ).join(loan, "beneficiary_loan_id")
-    edges = _with_path(edges, book, "guarantor_entity_id", "guarantor_path")
-    edges = _with_path(edges, book, "borrower_entity_id", "borrower_path")
-    rows = edges.select(
-        F.explode(F.array_union("guarantor_path", "borrower_path")).alias("head"),
-        "guarantee_id",
-        "guarantor_entity_id",
-        "borrower_entity_id",
-        "amount",
-    )
+    fields = ["guarantee_id", "guarantor_entity_id", "borrower_entity_id", "amount"]
+    if book.deep:
+        sides = [_with_heads(edges, book, side).select("head", *fields) for side in fields[1:3]]
+        rows = sides[0].union(sides[1]).distinct()
+    else:
+        edges = _with_path(edges, book, "guarantor_entity_id", "guarantor_path")
+        edges = _with_path(edges, book, "borrower_entity_id", "borrower_path")
+        rows = edges.select(F.explode(F.array_union("guarantor_path", "borrower_path")).alias("head"), *fields)
     if heads is not None:
         rows = rows.join(heads.select("head").distinct(), "head", "left_semi")
     rows = named(rows, book, "guarantor_entity_id", "guarantor_name")

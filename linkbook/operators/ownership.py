@@ -4,6 +4,9 @@ Each entity gets its ancestor path (itself first). Paths grow by doubling: one
 round appends to every unfinished path the path of its last open ancestor, so a
 chain of depth ``d`` needs about log2(d) joins. A path that meets itself again
 stops there, and the first revisited entity is the ultimate parent.
+
+Paths of more than :data:`LONGEST_PATH` entities are not held: such a book is described by
+interval labels (:mod:`linkbook.operators.labels`), which take a few numbers an entity.
 """
 
 from __future__ import annotations
@@ -13,14 +16,19 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkbook.operators import labels as intervals
 from linkbook.plans.staging import stage
 
 if TYPE_CHECKING:
     from linkbook.book import Book
 
 
-def ownership(entities: DataFrame) -> DataFrame:
-    """Return ``entity_id, path, ubo, cyclic`` for every entity."""
+# A power of two. Longer chains are a matter of labels, not of paths.
+LONGEST_PATH = 64
+
+
+def ownership(entities: DataFrame) -> DataFrame | None:
+    """``entity_id, path, ubo, cyclic`` for every entity; None if a path has over ``LONGEST_PATH`` entities."""
     id_type = entities.schema["entity_id"].dataType
     walk = entities.select(
         "entity_id",
@@ -28,10 +36,14 @@ def ownership(entities: DataFrame) -> DataFrame:
         F.col("parent_entity_id").alias("next"),
         F.lit(None).cast(id_type).alias("revisited"),
     )
+    longest = 1
     while True:
         walk = stage(_double(walk), "ownership")
         if walk.filter(F.col("next").isNotNull()).isEmpty():
             break
+        longest *= 2
+        if longest >= LONGEST_PATH:
+            return None
     return walk.select(
         "entity_id",
         "path",
@@ -74,6 +86,8 @@ def _double(walk: DataFrame) -> DataFrame:
 
 def closure(book: Book) -> DataFrame:
     """Reflexive-transitive ``member, head, depth``."""
+    if book.deep:
+        return book.owner_pairs
     return book.ownership.select(
         F.col("entity_id").alias("member"), F.posexplode("path").alias("depth", "head")
     ).select("member", "head", "depth")
@@ -109,8 +123,18 @@ def group_members(book: Book, group: str = "closure") -> DataFrame:
 
 
 def group_sizes(book: Book) -> DataFrame:
-    """``head, members`` including the head itself."""
-    return closure(book).groupBy("head").agg(F.count("*").alias("members"))
+    """``head, members`` including the head itself; of a parent missing from the table, those below it."""
+    nodes = book.labels.nodes
+    own = nodes.filter("not on_cycle").select(F.col("node").alias("head"), "members")
+    # Entities of a cycle head the same group, which is what its cut end holds.
+    cut = nodes.filter("on_cycle and node = cycle").select("cycle", "members")
+    on_cycle = nodes.filter("on_cycle").select(F.col("node").alias("head"), "cycle").join(cut, "cycle").select("head", "members")
+    return own.unionByName(on_cycle).filter("members > 0")
+
+
+def cycles(book: Book) -> DataFrame:
+    """``entity_id, cycle_id, length, distance, entry`` of entities on or below an ownership cycle."""
+    return intervals.cycle_objects(book.labels)
 
 
 def cycle_report(book: Book) -> DataFrame:

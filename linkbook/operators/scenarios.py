@@ -116,7 +116,8 @@ def apply_shock(book: Book, shock: Shock) -> Book:
     new = book.with_tables(
         entities=notched_entities(book, shock), loans=loans, collateral=collateral
     )
-    new.__dict__["ownership"] = book.ownership  # ratings move, owners do not
+    assert book.ownership is not None  # walked once, for all scenarios
+    new.share_ownership(book)  # ratings move, owners do not
     return new
 
 

@@ -42,3 +42,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder that rounds of a loop append to."""
+
+    def __init__(self, spark: SparkSession, label: str, first: DataFrame) -> None:
+        self._spark, self._schema, self._path, self._n = spark, first.schema, scratch(spark, label), 0
+        self.append(first)
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` and return them, read back."""
+        part = f"{self._path}/part={self._n}"
+        rows.write.parquet(part)
+        self._n += 1
+        return self._spark.read.schema(self._schema).parquet(part)
+
+    def rows(self) -> DataFrame:
+        """All rows so far."""
+        return self._spark.read.schema(self._schema).parquet(*[f"{self._path}/part={i}" for i in range(self._n)])

@@ -165,7 +165,7 @@ def test_wide_items_in_many_packages_stay_linear(spark):
         got = exposure.connected_exposure(book)
         assert {r.shared_collateral for r in got.collect()} == {10 * (n - 1)}
         links, several = exposure._shared_links(book, "full", (exposure.PRINCIPAL,))
-        touch = exposure._touches(links, "item", (exposure.PRINCIPAL,))
+        touch = exposure._touches(links, book, "item", (exposure.PRINCIPAL,))
         nodes = exposure._by_reach(links, touch).filter("place > 1").select("prefix", "item").distinct()
         counts.append(nodes.join(touch.select("item", "head"), "item").count())
         assert several
