@@ -13,7 +13,7 @@ from linkbook.book import Book
 from linkbook.operators.exposure import PRINCIPAL
 from linkbook.operators.mitigation import net_exposure
 from linkbook.operators.ownership import group_members, top_level_names
-from linkbook.plans.staging import Growing, stage
+from linkbook.plans.staging import Growing, stage, stage_all
 from linkbook.schema import SUM_MONEY
 
 LOSS = "decimal(34,4)"
@@ -130,14 +130,14 @@ def cascade(book: Book, lgd: Decimal = P.LGD) -> DataFrame:
 class _Units:
     """What a cascade needs to know of the groups and entities that can fail as a whole.
 
-    ``inside``: ``unit, member``; ``nested``: ``unit, inner``, a unit and one inside it;
-    ``facts``: ``unit, n, value, booked`` (entities, pledged collateral, active principal);
+    ``inside``: ``unit, member``; ``facts``: ``unit, n, value, booked`` (entities, pledged collateral,
+    active principal); ``held``: ``holder, unit`` and facts, a guarantor with the units that hold it;
     ``owed``: ``unit, guarantor, amount, net``, what the unit's borrowers make a guarantor outside it
     pay, and its net exposure.
     """
 
     inside: DataFrame
-    nested: DataFrame
+    held: DataFrame
     facts: DataFrame
     owed: DataFrame
     pledged: float
@@ -148,19 +148,18 @@ def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str)
     possible = edges.select(F.col("guarantor").alias("unit")).union(seeds.select(F.col("seed").alias("unit"))).distinct()
     members = group_members(book, contagion_group).select(F.col("head").alias("unit"), "member")
     inside = stage(members.join(possible, "unit", "left_semi"), "inside")
-    inner = possible.withColumnRenamed("unit", "inner")
-    nested = inside.withColumnRenamed("member", "inner").filter("unit <> inner").join(inner, "inner", "left_semi")
+    guarantors = edges.select(F.col("guarantor").alias("member")).distinct()
+    held = inside.join(guarantors, "member", "left_semi").select(F.col("unit").alias("holder"), F.col("member").alias("unit"))
     pledges = (
         book.items.filter(F.col("status") == "active")
         .groupBy(F.col("pledged_by_entity_id").alias("member"))
         .agg(F.sum(F.coalesce("collateral_value", F.lit(0))).cast(SUM_MONEY).alias("value"))
     )
-    pledges = stage(pledges, "pledges")
     booked = book.active_loans.groupBy(F.col("borrower_entity_id").alias("member")).agg(
         F.sum(PRINCIPAL).cast(SUM_MONEY).alias("booked")
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(SUM_MONEY).alias(c)
-    facts = (
+    facts = lambda: (
         inside.join(pledges, "member", "left")
         .join(booked, "member", "left")
         .groupBy("unit")
@@ -177,23 +176,23 @@ def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str)
         .join(net, "guarantor", "left")
         .select("unit", "guarantor", "amount", F.coalesce("net", F.lit(0)).cast(NET).alias("net"))
     )
+    pledges, owed = stage_all({"pledges": pledges, "owed": owed})
     pledged = pledges.agg(F.sum("value")).first()[0] or 1
-    return _Units(inside, stage(nested, "nested"), stage(facts, "facts"), stage(owed, "owed"), float(pledged))
+    facts = stage(facts(), "facts")
+    return _Units(inside, stage(held.join(facts, "unit"), "held"), facts, owed, float(pledged))
 
 
-FAILED = "seed, unit, sign, n, value, booked, round".split(", ")
+# Of a seed when a unit failed: pledges dumped until then, and two sums that name the units in its set.
+STATE = ["dumped", "name1", "name2"]
+FAILED = ["seed", "unit", "sign", "n", "value", "booked", *STATE, "round"]
 
 
 def _haircut(dumped: Column, pledged: float, sensitivity: float) -> Column:
     return F.least(F.lit(P.FIRESALE_CAP), F.lit(sensitivity) * dumped.cast("double") / F.lit(pledged))
 
 
-def _failed_totals(failed: DataFrame) -> DataFrame:
-    """Per seed: pledges dumped, and two sums that name the set of its failed units."""
-    name = lambda n: F.sum(F.col("sign") * F.xxhash64(F.lit(n), "unit").cast("decimal(20,0)")).alias(f"name{n}")
-    return failed.groupBy("seed").agg(
-        F.sum(F.col("sign") * F.col("value")).cast(SUM_MONEY).alias("dumped"), name(1), name(2)
-    )
+def _named(n: int) -> Column:
+    return F.sum(F.col("sign") * F.xxhash64(F.lit(n), "unit").cast("decimal(20,0)"))
 
 
 def _standing(failed: DataFrame) -> DataFrame:
@@ -213,57 +212,75 @@ def cascade_state(
 
     ``failed`` has a row per seed and failed unit: a whole group, or one entity of a group that
     stands. A unit that swallows earlier ones is followed by their rows with sign -1. ``shared`` is
-    ``seed, run, round``: from that round on the seed's set equals that of ``run``, whose rows go
-    on alone.
+    ``seed, run``: the seed's set equals that of ``run``, whose rows go on alone.
     """
     spark = book.loans.sparkSession
     edges = stage(_edges(book), "edges") if edges is None else edges
-    seeds = stage(top_level_names(book).select(F.col("head").alias("seed")), "seeds")
+    seeds = top_level_names(book).select(F.col("head").alias("seed"))
     units = _units(book, edges, seeds, contagion_group)
-    guarantors = edges.select(F.col("guarantor").alias("member")).distinct()
-    held = stage(
-        units.inside.join(guarantors, "member", "left_semi").select("unit", F.col("member").alias("guarantor")), "held"
-    )
+    zero = {"dumped": F.lit(0).cast(SUM_MONEY), "name1": F.lit(0).cast("decimal(38,0)"), "name2": F.lit(0).cast("decimal(38,0)")}
     first = seeds.select("seed", F.col("seed").alias("unit"), F.lit(1).alias("sign")).join(units.facts, "unit")
-    failed = Growing(spark, "failed", first.withColumn("round", F.lit(0)).select(*FAILED))
-    shared = Growing(spark, "shared", seeds.select("seed", F.col("seed").alias("run"), F.lit(0).alias("round")).limit(0))
+    failed = Growing(spark, "failed", first.withColumns(zero).withColumn("round", F.lit(0)).select(*FAILED))
     fresh, owing, round_no = failed.rows(), None, 0
+    fixed = {"fraction": buffer_fraction, "sensitivity": firesale_sensitivity, "cap": P.FIRESALE_CAP, "pledged": units.pledged}
     while True:
         round_no += 1
-        # Seeds of which the last round added something; those with equal sets go on as one run.
-        totals = _failed_totals(failed.rows().join(fresh.select("seed").distinct(), "seed", "left_semi"))
-        totals = stage(totals, "totals")
-        runs = totals.groupBy("name1", "name2").agg(F.min("seed").alias("run"))
-        placed = stage(totals.join(runs, ["name1", "name2"]).select("seed", "run", "dumped"), "runs")
-        shared.append(placed.filter("seed <> run").select("seed", "run", F.lit(round_no).alias("round")))
-        moving = placed.filter("seed = run").select("seed", "dumped")
-        added = fresh.join(units.owed, "unit").select(
-            "seed", "guarantor", (F.col("sign") * F.col("amount")).cast(SUM_MONEY).alias("amount"), "net"
-        )
-        both = added if owing is None else owing.unionByName(added)
-        both = both.join(moving.select("seed"), "seed", "left_semi").groupBy("seed", "guarantor").agg(
-            F.sum("amount").cast(SUM_MONEY).alias("amount"), F.first("net").alias("net")
-        )
-        standing = _standing(failed.rows())
-        fallen = both.select("seed", "guarantor").join(held, "guarantor").join(standing, ["seed", "unit"], "left_semi")
-        owing = stage(both.join(fallen.select("seed", "guarantor"), ["seed", "guarantor"], "left_anti"), "owing")
-        share = F.round(
-            F.lit(buffer_fraction) * (1 - _haircut(F.col("dumped"), units.pledged, firesale_sensitivity)), 12
-        ).cast("decimal(13,12)")
-        failing = (
-            owing.join(moving, "seed")
-            .filter(F.col("amount") > share * F.col("net"))
-            .select("seed", F.col("guarantor").alias("unit"))
-        )
-        # Units inside one that fails too are part of it; those that failed before are taken back.
-        swallowed = failing.join(units.nested, "unit").select("seed", F.col("inner").alias("unit"))
-        new = failing.join(swallowed, ["seed", "unit"], "left_anti").withColumn("sign", F.lit(1))
-        back = standing.join(swallowed.distinct(), ["seed", "unit"], "left_semi").withColumn("sign", F.lit(-1))
-        fresh = failed.append(
-            new.unionByName(back).join(units.facts, "unit").withColumn("round", F.lit(round_no)).select(*FAILED)
-        )
-        if fresh.isEmpty() or round_no == max_rounds:
-            return failed.rows(), shared.rows(), units
+        if owing is None:
+            owing = stage(spark.sql(_OWING.format(carried="", fresh="{fresh}", owed="{owed}"), fresh=fresh, owed=units.owed), "owing")
+        else:
+            query = _OWING.format(carried=_CARRIED.format(failing=_FAILING, owing="{owing}"), fresh="{fresh}", owed="{owed}")
+            owing = stage(spark.sql(query, fixed, fresh=fresh, owed=units.owed, owing=owing), "owing")
+        query = _FALLING.format(failing=_FAILING, owing="{owing}", held="{held}", failed="{failed}")
+        falling = spark.sql(query, fixed, owing=owing, held=units.held, failed=failed.rows())
+        fresh = failed.append(falling.withColumn("round", F.lit(round_no)).select(*FAILED))
+        if round_no == max_rounds or fresh.isEmpty():
+            return failed.rows(), _shared(failed.rows()), units
+
+
+# What guarantors owe for the seeds of which the last round added something; seeds with equal sets go on as one run.
+_OWING = """
+WITH moving AS (
+  SELECT seed, CAST(first(dumped) + sum(sign * value) AS DECIMAL(30,2)) AS dumped,
+    CAST(first(name1) + sum(sign * CAST(xxhash64(1, unit) AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS name1,
+    CAST(first(name2) + sum(sign * CAST(xxhash64(2, unit) AS DECIMAL(20,0))) AS DECIMAL(38,0)) AS name2
+  FROM {fresh} GROUP BY seed),
+runs AS (SELECT min(seed) AS seed, first(dumped) AS dumped, name1, name2 FROM moving GROUP BY name1, name2),
+owing AS (
+  SELECT seed, guarantor, CAST(sum(amount) AS DECIMAL(30,2)) AS amount, first(net) AS net FROM (
+    SELECT seed, guarantor, CAST(sign * amount AS DECIMAL(30,2)) AS amount, net FROM {fresh} JOIN {owed} USING (unit){carried})
+  GROUP BY seed, guarantor)
+SELECT * FROM owing JOIN runs USING (seed)
+"""
+# Guarantors that owe more than the buffer, which shrinks with the fire sale.
+_FAILING = """amount > CAST(round(:fraction * (1 - least(:cap, :sensitivity * CAST(dumped AS DOUBLE) / :pledged)), 12) AS DECIMAL(13,12)) * net"""
+_CARRIED = """
+    UNION ALL SELECT seed, guarantor, amount, net FROM {owing} WHERE NOT ({failing})"""
+# Those of them that fall: neither in the seed's set already nor in a unit that fails in the same round.
+# Units that failed before, inside a new one, are taken back.
+_FALLING = """
+WITH asked AS (SELECT seed, guarantor AS unit, dumped, name1, name2 FROM {owing} WHERE {failing}),
+standing AS (SELECT seed, unit AS holder FROM {failed} GROUP BY seed, unit HAVING sum(sign) > 0),
+holders AS (SELECT seed, holder, true AS old FROM standing UNION ALL SELECT seed, unit, false FROM asked),
+new AS (
+  SELECT seed, unit, first(n) AS n, first(value) AS value, first(booked) AS booked,
+    first(dumped) AS dumped, first(name1) AS name1, first(name2) AS name2
+  FROM asked JOIN {held} USING (unit) LEFT JOIN holders USING (seed, holder)
+  GROUP BY seed, unit HAVING NOT max(coalesce(old OR holder <> unit AND old IS NOT NULL, false)))
+SELECT seed, unit, 1 AS sign, n, value, booked, dumped, name1, name2 FROM new
+UNION ALL
+SELECT new.seed, h.unit, -1, h.n, h.value, h.booked, dumped, name1, name2
+FROM new JOIN {held} h ON h.holder = new.unit AND h.unit <> h.holder
+LEFT SEMI JOIN standing s ON s.seed = new.seed AND s.holder = h.unit
+"""
+
+
+def _shared(failed: DataFrame) -> DataFrame:
+    """``seed, run`` where a round left a seed with the set of another, smaller one that moved too."""
+    after = failed.groupBy("seed", "round").agg(
+        *[(F.first(c) + _named(n)).alias(c) for n, c in ((1, "name1"), (2, "name2"))]
+    )
+    runs = after.groupBy("round", "name1", "name2").agg(F.min("seed").alias("run"))
+    return after.join(runs, ["round", "name1", "name2"]).filter("seed <> run").select("seed", "run")
 
 
 def cascade_multiround(
@@ -324,6 +341,8 @@ def cascade_multiround(
 def _runs(shared: DataFrame) -> DataFrame:
     """``asked, run``: the run that a seed ended in, following runs that were shared later."""
     links = stage(shared.select(F.col("seed").alias("asked"), "run"), "runs")
+    if links.isEmpty():
+        return links
     while True:
         # A seed joins a run once, and that run has a smaller id: pointers double until none moves.
         onward = links.select(F.col("asked").alias("run"), F.col("run").alias("next"))

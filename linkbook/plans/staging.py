@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """:func:`stage` of tables that do not depend on each other, side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(stage, tables.values(), tables))
+
+
 class Growing:
     """A table in the shared folder that rounds of a loop append to."""
 
@@ -53,11 +60,11 @@ class Growing:
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Write ``rows`` and return them, read back."""
-        part = f"{self._path}/part={self._n}"
+        part = f"{self._path}/{self._n}"
         rows.write.parquet(part)
         self._n += 1
         return self._spark.read.schema(self._schema).parquet(part)
 
     def rows(self) -> DataFrame:
         """All rows so far."""
-        return self._spark.read.schema(self._schema).parquet(*[f"{self._path}/part={i}" for i in range(self._n)])
+        return self._spark.read.schema(self._schema).option("recursiveFileLookup", "true").parquet(self._path)
