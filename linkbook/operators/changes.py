@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from linkbook.book import Book
 from linkbook.operators.limits import limit_breaches
+from linkbook.operators.ownership import closure
 from linkbook.operators.validation import (
     GUARANTEED_AMOUNT,
     LIMIT_AMOUNT,
@@ -280,14 +281,73 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
 # --- flags ------------------------------------------------------------------
 
 
+def _changed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of rows that only one side has, or that differ in any column; none for one and the same table."""
+    if before is after:
+        return before.select(*key).limit(0)
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*key, F.struct(*df.columns).alias("row"))
+        return rows.groupBy(*key).agg(F.sort_array(F.collect_list("row")).alias(name))
+
+    # Keys are ids, so a group holds the few rows that repeat one.
+    same = F.col("old").eqNullSafe(F.col("new"))
+    return packed(before, "old").join(packed(after.select(*before.columns), "new"), key, "full_outer").filter(~same).select(*key)
+
+
+def affected(before: Book, after: Book) -> tuple[DataFrame, DataFrame] | None:
+    """``head`` whose connected exposure or limit a change can move, and ``loan_id`` whose wrong-way risk it can.
+
+    A changed loan, guarantee or collateral row moves its borrower's and guarantors' owners, and those
+    of every borrower behind the same items; a limit moves its own entity. None if owners changed:
+    then everything can move.
+    """
+    if not _changed(before.entities, after.entities, ["entity_id"]).isEmpty():
+        return None
+    loans = stage(_changed(before.loans, after.loans, ["loan_id"]), "changed-loans")
+    key = ["collateral_id", "securing_loan_id"]
+    pairs = stage(_changed(before.collateral, after.collateral, key), "changed-pairs")
+    given = _changed(before.guarantees, after.guarantees, ["guarantee_id"])
+    limits = _changed(before.limits, after.limits, ["limit_id"])
+
+    def both(table: str, *columns: str) -> DataFrame:
+        old, new = getattr(before, table), getattr(after, table)
+        rows = old.select(*columns)
+        return rows if old is new else rows.union(new.select(*columns))
+
+    held = both("collateral", "collateral_id", "securing_loan_id")
+    items = pairs.select("collateral_id").union(
+        held.join(loans.withColumnRenamed("loan_id", "securing_loan_id"), "securing_loan_id", "left_semi").select("collateral_id")
+    )
+    beside = held.join(items.distinct(), "collateral_id", "left_semi").select(F.col("securing_loan_id").alias("loan_id"))
+    touched = stage(loans.union(beside).distinct(), "touched-loans")
+    borrowers = both("loans", "loan_id", "borrower_entity_id").join(touched, "loan_id", "left_semi").select("borrower_entity_id")
+    edges = both("guarantees", "guarantee_id", "guarantor_entity_id", "beneficiary_loan_id")
+    on_loans = edges.join(loans.withColumnRenamed("loan_id", "beneficiary_loan_id"), "beneficiary_loan_id", "left_semi")
+    guarantors = on_loans.union(edges.join(given, "guarantee_id", "left_semi").select(*on_loans.columns)).select("guarantor_entity_id")
+    moved = stage(borrowers.union(guarantors).distinct().toDF("member"), "moved")
+    heads = closure(before).join(moved, "member", "left_semi").select("head").union(moved)
+    own = both("limits", "limit_id", "entity_id").join(limits, "limit_id", "left_semi").select("entity_id")
+    wrong_way = loans.union(pairs.select("securing_loan_id")).distinct()
+    return stage(heads.union(own).distinct(), "affected"), wrong_way
+
+
 def change_flags(before: Book, after: Book) -> DataFrame:
-    """``flag, subject``: limit breaches and wrong-way loans the change brought."""
+    """``flag, subject``: limit breaches and wrong-way loans the change brought.
+
+    Both sides are computed for what the changed rows can affect, and for that alone.
+    """
+    moved = affected(before, after)
+    heads, loans = moved if moved is not None else (None, None)
+    if heads is not None:  # only names with a limit can breach it
+        limited = before.limits.select("entity_id").union(after.limits.select("entity_id")).distinct()
+        heads = stage(heads.join(limited.withColumnRenamed("entity_id", "head"), "head", "left_semi"), "affected")
 
     def flags(book: Book) -> DataFrame:
-        breaches = limit_breaches(book).select(
+        breaches = limit_breaches(book, heads).select(
             F.lit("limit-breach").alias("flag"), F.col("entity_id").cast("string").alias("subject")
         )
-        wrong_way = structural_wwr(book).select(
+        wrong_way = structural_wwr(book, loans).select(
             F.lit("wrong-way-risk").alias("flag"), F.col("loan_id").cast("string").alias("subject")
         )
         return breaches.unionByName(wrong_way).distinct()

@@ -144,12 +144,18 @@ def _guarantee_arm(
     )
 
 
-def _touches(placed: DataFrame, book: Book, key: str, measures: Sequence[str]) -> DataFrame:
-    """``in_*`` per (key, head): the key's loans borrowed inside the head's group."""
+def _touches(
+    placed: DataFrame, book: Book, key: str, measures: Sequence[str], reach: DataFrame | None = None
+) -> DataFrame:
+    """``in_*`` per (key, head): the key's loans borrowed inside the head's group; of asked heads only with ``reach``."""
     by_borrower = placed.groupBy(key, "borrower_entity_id").agg(*[_money(m).alias(m) for m in measures])
-    return (
+    headed = (
         _with_heads(by_borrower, book, "borrower_entity_id")
-        .groupBy(key, "head")
+        if reach is None
+        else _reached(by_borrower, reach, "borrower_entity_id")
+    )
+    return (
+        headed.groupBy(key, "head")
         .agg(*[_money(m).alias(f"in_{m}") for m in measures])
     )
 
@@ -190,20 +196,25 @@ def _shared_links(
     return cache[key]
 
 
-def _shared_arm(book: Book, status_mode: str, measures: Sequence[str]) -> DataFrame:
+def _shared_arm(
+    book: Book, status_mode: str, measures: Sequence[str], reach: DataFrame | None = None
+) -> DataFrame:
     """Outside loans that share an item with a group loan, each loan once per head.
 
     A loan's items are ordered by how many heads touch them, the widest first. A head
     meets the loan at the first of them that it touches. First items: their loans'
     total minus the group's own part. Later ones: see :func:`_later_meetings`.
     """
-    links, several = _shared_links(book, status_mode, measures)
-    touch = _touches(links, book, "item", measures)
+    if reach is None:
+        links, several = _shared_links(book, status_mode, measures)
+    else:
+        links, several = _asked_links(book, status_mode, measures, reach)
+    touch = _touches(links, book, "item", measures, reach)
     first = links
     if several:
         placed = _by_reach(links, touch)
         first = placed.filter("place = 1")
-    own = _touches(first, book, "item", measures) if several else touch
+    own = _touches(first, book, "item", measures, reach) if several else touch
     amounts = (
         touch.select("item", "head")
         .join(_totals(first, "item", measures), "item")
@@ -343,6 +354,73 @@ def _deep_arms(book: Book, loans: DataFrame, guarantees: DataFrame, status_mode:
     return arms.unionByName(_shared_arm(book, status_mode, measures)) if several else arms
 
 
+def group_reach(book: Book, asked: DataFrame) -> DataFrame:
+    """``entity_id, head, hop``: who is in the groups of the heads in ``asked``, each head itself included; staged."""
+    # A head that is no entity is its own group.
+    own = asked.select(F.col("head").alias("entity_id"), "head", F.lit(0).alias("hop"))
+    below = closure(book).filter("depth > 0").join(asked, "head", "left_semi")
+    return stage(
+        below.select(F.col("member").alias("entity_id"), "head", F.col("depth").cast("int").alias("hop")).unionByName(own), "reach"
+    )
+
+
+def _reached(df: DataFrame, reach: DataFrame, id_column: str) -> DataFrame:
+    """``df`` once for each asked head of ``id_column``."""
+    return df.join(reach.withColumnRenamed("entity_id", id_column), id_column)
+
+
+def _asked_arms(
+    book: Book, loans: DataFrame, guarantees: DataFrame, status_mode: str, measures: Sequence[str], reach: DataFrame
+) -> DataFrame:
+    """The arms of connected exposure for the heads of ``reach`` alone.
+
+    Their members come first: only loans to members, guarantees by members and items that secure
+    members' loans are read further, so rows grow with the groups asked for and not with the book.
+    """
+    zero = F.lit(0).cast(SUM_MONEY)
+    members = reach.select("entity_id").distinct()
+    member_loans = loans.join(members.withColumnRenamed("entity_id", "borrower_entity_id"), "borrower_entity_id", "left_semi")
+    by_borrower = member_loans.groupBy("borrower_entity_id").agg(*[_money(m).alias(m) for m in measures])
+    direct = _reached(by_borrower, reach, "borrower_entity_id").select(
+        "head",
+        *[F.when(F.col("hop") == 0, F.col(m)).otherwise(0).cast(SUM_MONEY).alias(f"own_{m}") for m in measures],
+        *[F.col(m).alias(f"direct_{m}") for m in measures],
+        zero.alias("guarantees_given"),
+        *_zeros("shared_", measures),
+    )
+    given = guarantees.join(members.withColumnRenamed("entity_id", "guarantor_entity_id"), "guarantor_entity_id", "left_semi")
+    if status_mode == "raw":
+        edges = given.groupBy("guarantor_entity_id").agg(_money("amount").alias("amount"))
+        outside = _reached(edges, reach, "guarantor_entity_id")
+    else:
+        edges = (
+            given.withColumnRenamed("beneficiary_loan_id", "loan_id")
+            .join(loans.select("loan_id", "borrower_entity_id"), "loan_id")
+            .groupBy("guarantor_entity_id", "borrower_entity_id")
+            .agg(_money("amount").alias("amount"))
+        )
+        inside = reach.select(F.col("entity_id").alias("borrower_entity_id"), "head")
+        outside = _reached(edges, reach, "guarantor_entity_id").join(inside, ["borrower_entity_id", "head"], "left_anti")
+    guaranteed = outside.select(
+        "head", *_zeros("own_", measures), *_zeros("direct_", measures), F.col("amount").alias("guarantees_given"), *_zeros("shared_", measures)
+    )
+    return direct.unionByName(guaranteed).unionByName(_shared_arm(book, status_mode, measures, reach))
+
+
+def _asked_links(
+    book: Book, status_mode: str, measures: Sequence[str], reach: DataFrame
+) -> tuple[DataFrame, bool]:
+    """:func:`_shared_links` of the items that secure a loan of an asked group."""
+    loans, _, collateral = _facts(book, status_mode)
+    members = reach.select(F.col("entity_id").alias("borrower_entity_id")).distinct()
+    own = loans.join(members, "borrower_entity_id", "left_semi").select("loan_id")
+    touched = _pairs(collateral).join(own, "loan_id", "left_semi").select("item").distinct()
+    pairs = _pairs(collateral).join(touched, "item", "left_semi")
+    secured = pairs.join(loans.select("loan_id", "borrower_entity_id", *measures), "loan_id")
+    links = stage(secured.select("item", "loan_id", "borrower_entity_id", *measures), "links")
+    return links, not links.groupBy("loan_id").count().filter("count > 1").isEmpty()
+
+
 def connected_parts(
     book: Book,
     measures: Sequence[str] = (PRINCIPAL,),
@@ -356,7 +434,9 @@ def connected_parts(
     """
     loans, guarantees, _ = _facts(book, status_mode)
     inside_too = status_mode == "raw"
-    if book.deep:
+    if heads is not None:
+        arms = _asked_arms(book, loans, guarantees, status_mode, measures, group_reach(book, heads.select("head").distinct()))
+    elif book.deep:
         arms = _deep_arms(book, loans, guarantees, status_mode, measures)
     else:
         arms = (
@@ -364,8 +444,6 @@ def connected_parts(
             .unionByName(_guarantee_arm(guarantees, loans, book, measures, inside_too))
             .unionByName(_shared_arm(book, status_mode, measures))
         )
-    if heads is not None:
-        arms = arms.join(heads.select("head").distinct(), "head", "left_semi")
     return arms.groupBy("head").agg(
         _money("guarantees_given").alias("guarantees_given"),
         *[_money(f"{p}_{m}").alias(f"{p}_{m}") for m in measures for p in ("own", "direct", "shared")],
@@ -467,13 +545,7 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
     """
     loans, guarantees, collateral = _facts(book, status_mode)
     asked = _asked(heads, "head")
-    members = stage(
-        closure(book).select(F.col("member").alias("entity_id"), "head")
-        .join(asked, "head", "left_semi")
-        .unionByName(asked.select(F.col("head").alias("entity_id"), "head"))
-        .distinct(),
-        "members",
-    )
+    members = group_reach(book, asked).drop("hop")
     loan = loans.select("loan_id", F.col("borrower_entity_id").alias("counterparty"), PRINCIPAL)
     member_loans = loan.join(members.withColumnRenamed("entity_id", "counterparty"), "counterparty")
     direct = member_loans.select(

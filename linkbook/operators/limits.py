@@ -11,6 +11,7 @@ from linkbook import params as P
 from linkbook.book import Book
 from linkbook.functions.ratings import rating_lookup
 from linkbook.operators.exposure import connected_exposure, connected_vector, named
+from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
 
@@ -38,13 +39,15 @@ def ratio(part: Column, whole: Column) -> Column:
     )
 
 
-def watchlist(book: Book, status_mode: str = "full") -> DataFrame:
-    """Connected exposure against limit for every limit, names without exposure included."""
+def watchlist(book: Book, status_mode: str = "full", heads: DataFrame | None = None) -> DataFrame:
+    """Connected exposure against limit for every limit, names without exposure included; of ``heads`` only, if given."""
     limits = book.limits if status_mode == "raw" else book.active_limits
+    if heads is not None:
+        limits = limits.join(heads.select(F.col("head").alias("entity_id")).distinct(), "entity_id", "left_semi")
     joined = (
         limits.select("limit_id", "entity_id", F.col("single_name_limit").alias("limit_amount"))
         .join(
-            connected_exposure(book, status_mode).select(
+            connected_exposure(book, status_mode, heads).select(
                 F.col("head").alias("entity_id"), "connected"
             ),
             "entity_id",
@@ -63,9 +66,9 @@ def watchlist(book: Book, status_mode: str = "full") -> DataFrame:
     )
 
 
-def limit_breaches(book: Book) -> DataFrame:
+def limit_breaches(book: Book, heads: DataFrame | None = None) -> DataFrame:
     """Active limits met or exceeded; zero limits never breach."""
-    return watchlist(book).filter(F.col("band") == "red")
+    return watchlist(book, heads=heads).filter(F.col("band") == "red")
 
 
 def near_limit(book: Book, threshold: float | Decimal = P.AMBER_FROM) -> DataFrame:
@@ -166,7 +169,9 @@ def pre_deal_check(
     A known ultimate parent decides the rating even when it has none.
     """
     own = book.ownership.select(F.col("entity_id").alias("borrower_id"), "ubo")
-    connected = connected_exposure(book).select(
+    borrowers = deals.select("borrower_id").distinct().join(own, "borrower_id", "left")
+    asked = stage(borrowers.select(F.coalesce("ubo", "borrower_id").alias("head")).distinct(), "asked")
+    connected = connected_exposure(book, heads=asked).select(
         F.col("head").alias("ubo"), F.col("connected").alias("connected_now")
     )
     limits = first_limits(book)

@@ -9,12 +9,14 @@ from linkbook.book import Book
 from linkbook.operators.exposure import named
 
 
-def _issued(book: Book) -> DataFrame:
-    """Active loans with active issued collateral and both ultimate parents."""
+def _issued(book: Book, loan_ids: DataFrame | None = None) -> DataFrame:
+    """Active loans with active issued collateral and both ultimate parents; of ``loan_ids`` only, if given."""
     own = book.ownership.select("entity_id", "ubo")
     issuer = own.select(F.col("entity_id").alias("issuer"), F.col("ubo").alias("issuer_ubo"))
     borrower = own.select(F.col("entity_id").alias("borrower"), F.col("ubo").alias("borrower_ubo"))
     loans = book.active_loans.select("loan_id", F.col("borrower_entity_id").alias("borrower"))
+    if loan_ids is not None:
+        loans = loans.join(loan_ids, "loan_id", "left_semi")
     return (
         book.active_collateral.filter(F.col("issuer_entity_id").isNotNull())
         .select(
@@ -31,10 +33,10 @@ def _issued(book: Book) -> DataFrame:
     )
 
 
-def structural_wwr(book: Book) -> DataFrame:
-    """Loans whose collateral issuer has the borrower's ultimate parent."""
+def structural_wwr(book: Book, loan_ids: DataFrame | None = None) -> DataFrame:
+    """Loans whose collateral issuer has the borrower's ultimate parent; of ``loan_ids`` only, if given."""
     rows = (
-        _issued(book)
+        _issued(book, loan_ids)
         .filter(F.col("issuer_ubo") == F.col("borrower_ubo"))
         .select("loan_id", "borrower", "collateral", "issuer", F.col("borrower_ubo").alias("group"))
     )
