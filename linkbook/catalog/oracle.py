@@ -6,6 +6,7 @@ instead of following the DataFrame plans, so both sides check each other.
 
 from __future__ import annotations
 
+from linkbook import params as P
 from linkbook.operators import validation as V
 
 
@@ -739,6 +740,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT entity_id, rating, sector, {_d('ead')} AS ead, {_c('el')} AS el FROM credit "
         "WHERE rating IN ('BB', 'B', 'CCC', 'unrated') AND ead >= 100000",
     )
+    q["red_watchlist"] = _sql(WATCH, f"SELECT entity_id, {_d('connected')} AS connected FROM watch WHERE band = 'red'")
     q["wwr_flagged_watchlist"] = _sql(
         WATCH + "," + WWR,
         f"SELECT entity_id, {_d('connected')} AS connected, band FROM watch WHERE entity_id IN "
@@ -1146,7 +1148,22 @@ UNION ALL SELECT a.loan_id, 'seq out of order' FROM active a WHERE a.loan_id > 0
 UNION ALL SELECT a.loan_id, 'prev_hash does not chain' FROM active a WHERE a.loan_id > 0 AND (a.loan_id % 2 = 0 OR a.loan_id - 1 NOT IN (SELECT loan_id FROM active))""",
     )
 
+    q["audit_log_in_order"] = _sql(
+        "",
+        """SELECT * FROM (WITH n AS (SELECT row_number() OVER (ORDER BY loan_id) - 1 AS s FROM active),
+o AS (SELECT s, row_number() OVER (ORDER BY s + CASE WHEN s % 20 = 5 THEN 1.5 ELSE 0 END) - 1 AS "at",
+  lag(s) OVER (ORDER BY s + CASE WHEN s % 20 = 5 THEN 1.5 ELSE 0 END) AS prev FROM n)
+SELECT "at", s AS seq, 'entry_hash mismatch (content altered)' AS problem FROM o WHERE s % 97 = 0
+UNION ALL SELECT "at", s, 'seq out of order' FROM o WHERE s <> "at"
+UNION ALL SELECT "at", s, 'prev_hash does not chain' FROM o WHERE NOT CASE WHEN "at" = 0 THEN s % 2 = 0 ELSE s % 2 = 1 AND prev = s - 1 END)""",
+    )
+
     # access
+    q["group_access"] = _sql(
+        "",
+        """SELECT 'P' || e.entity_id AS principal, p.head, e.entity_id % 10 = 0 OR (e.entity_id % 10 <> 9 AND p.head IN (4 * e.entity_id, e.entity_id + 1)) AS allowed
+FROM entities e, LATERAL (SELECT unnest([4 * e.entity_id, e.entity_id + 1, e.entity_id + 2]) AS head) p WHERE e.entity_id >= 0""",
+    )
     q["group_grants"] = _sql(
         "",
         """SELECT DISTINCT 'P' || e.entity_id AS principal, p.head, FALSE AS sees_all
@@ -1154,6 +1171,33 @@ FROM entities e, LATERAL (SELECT unnest([4 * e.entity_id, e.entity_id + 1]) AS h
 WHERE e.entity_id >= 0 AND e.entity_id % 10 NOT IN (0, 9) AND p.head IN (SELECT head FROM tops)
 UNION ALL SELECT 'P' || entity_id, NULL, TRUE FROM entities WHERE entity_id >= 0 AND entity_id % 10 = 0""",
     )
+    q["second_order_cascades"] = f"SELECT seed, second_order FROM ({q['default_cascade_multiround']}) WHERE second_order > 0"
+    q["macro_hit_sectors"] = f"SELECT scenario, sector, notches FROM ({q['macro_notches']}) WHERE notches > 0"
+    q["second_stage_names"] = f"SELECT entity_id, stage, ecl_recognised FROM ({q['counterparty_ecl']}) WHERE stage > 1"
+    q["energy_valuation"] = _sql(
+        CURVE, f"SELECT a.entity_id, {_d('a.cva')} AS cva FROM adjust a JOIN entities e ON e.entity_id = a.entity_id WHERE e.sector = 'energy' AND a.cva >= 1"
+    )
+    q["scoped_wrong_way"] = _sql(
+        WATCH + "," + WWR,
+        """SELECT loan_id, borrower, collateral, issuer FROM wwr JOIN ubo u ON u.entity_id = borrower WHERE grp = issuer_ubo
+AND (u.ubo IN (SELECT entity_id FROM watch WHERE band = 'red') OR borrower IN (SELECT entity_id FROM watch WHERE band = 'red'))""",
+    )
+    grades = ", ".join(f"({i}, '{g}')" for i, g in enumerate(P.RATING_ORDER))
+    q["macro_book_ratings"] = _sql(
+        NOTCHES,
+        f"""SELECT scenario, rating, {_b('COUNT(*)')} AS names FROM (
+  SELECT n.scenario, CASE WHEN g.i IS NULL THEN e.rating ELSE h.grade END AS rating
+  FROM entities e JOIN notches n ON n.sector IS NOT DISTINCT FROM e.sector
+  LEFT JOIN (VALUES {grades}) g(i, grade) ON g.grade = e.rating
+  LEFT JOIN (VALUES {grades}) h(i, grade) ON h.i = LEAST(g.i + n.notches, {len(P.RATING_ORDER) - 1})) GROUP BY scenario, rating""",
+    )
+    q["ownership_cycle_objects"] = q["ownership_cycles"].split("SELECT r.member AS entity_id, arg_min")[0] + f"""
+, loops AS (SELECT r.member, MIN(r.stop) AS cycle_id, {_b('COUNT(DISTINCT r.stop)')} AS length FROM reach r JOIN on_cycle c ON c.member = r.member
+  WHERE r.stop IN (SELECT member FROM on_cycle) GROUP BY r.member),
+ins AS (SELECT r.member, arg_min(r.stop, r.depth) AS entry, MIN(r.depth) AS distance FROM reach r JOIN on_cycle c ON c.member = r.stop
+  WHERE r.member NOT IN (SELECT member FROM on_cycle) GROUP BY r.member)
+SELECT member AS entity_id, cycle_id, length, {_b('0')} AS distance, member AS entry FROM loops
+UNION ALL SELECT i.member, l.cycle_id, l.length, {_b('i.distance')}, i.entry FROM ins i JOIN loops l ON l.member = i.entry"""
     for frame, whole in (("hhi", "hhi"), ("cr10", "cr10"), ("sectors", "sector_shares"), ("countries", "country_shares"), ("ratings", "rating_shares")):
         q[f"dashboard_{frame}"] = q[whole]
     q["group_view_contributions"] = q["breakdown_breaching_names"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from linkbook.operators import exposure, filters, ifrs9, limits, macro, mitigati
 from linkbook.operators import reverse_stress, scenarios, validation, wrong_way, xva
 from linkbook.operators.dashboard import dashboard
 from linkbook.operators.importing import import_dataset
+from linkbook.plans.prefix import totals_before
 from linkbook.plans.staging import scratch, stage
 from linkbook.schema import COLUMNS
-from linkbook.sources import csv_folder, store, triples
+from linkbook.sources import audit_log, csv_folder, store, triples
 from linkbook.sources.orders_book import orders_book, staged
 
 _books: dict[tuple[str, str], Book] = {}
@@ -261,7 +263,12 @@ def managers(book: Book) -> DataFrame:
 
 
 def audit_lines(book: Book) -> DataFrame:
-    """Audit lines of active loans in chains of two records, some altered afterwards.
+    """:func:`_audit_lines` of the active loans."""
+    return _audit_lines(book.active_loans)
+
+
+def _audit_lines(numbers: DataFrame, *more: Column) -> DataFrame:
+    """Audit lines of ``loan_id`` in chains of two records, some altered afterwards.
 
     An even ``seq`` opens a chain with the genesis hash, the odd one links to it, so
     verification reports the joints between chains, the gaps left by closed loans
@@ -294,7 +301,18 @@ def audit_lines(book: Book) -> DataFrame:
     head_hash = F.sha2(line(head, head, genesis, None, never), 256)
     prev = F.when(seq % 2 == 0, genesis).otherwise(head_hash)
     digest = F.sha2(line(seq, seq, prev, None, never), 256)
-    return book.active_loans.select(line(seq, seq, prev, digest, seq % 97 == 0).alias("value"))
+    return numbers.select(line(seq, seq, prev, digest, seq % 97 == 0).alias("value"), *more)
+
+
+def _log_in_order(spark: SparkSession, book: Book) -> DataFrame:
+    """A log of all active loans, written as text with some neighbours in each other's place, and scanned."""
+    ids = book.active_loans.select(F.col("loan_id").alias("id"), F.lit(1).cast("bigint").alias("one"))
+    numbers = totals_before(ids, ["id"], {"loan_id": "one"}, "log-numbers").select("loan_id")
+    seq = F.col("loan_id")
+    place = seq + F.when(seq % 20 == 5, F.lit(1.5)).otherwise(F.lit(0.0))
+    folder = scratch(spark, "log")
+    _audit_lines(numbers, place.alias("place")).orderBy("place").select("value").write.text(folder)
+    return audit.ordered_chain_problems(audit_log.numbered_lines(spark, folder))
 
 
 # --- queries ----------------------------------------------------------------
@@ -457,6 +475,30 @@ def _flagged_watchlist(book: Book) -> DataFrame:
     )
 
 
+def _macro_book(book: Book) -> DataFrame:
+    """Names by grade in the book of every macro scenario."""
+    parts = [
+        macro.apply_macro(book, s.key).entities.groupBy("rating").agg(F.count("*").alias("names")).withColumn("scenario", F.lit(s.key))
+        for s in macro.macro_shocks()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _allowed(book: Book) -> DataFrame:
+    """The single decision for every principal on two groups of its own and one that is not."""
+    key = F.col("entity_id")
+    asked = managers(book).join(book.entities.select(F.concat(F.lit("P"), key.cast("string")).alias("principal"), "entity_id"), "principal")
+    asked = asked.select("principal", "role", "portfolios", F.explode(F.array(key * 4, key + 1, key + 2)).alias("head"))
+    return asked.select("principal", "head", access.allow(F.col("role"), F.col("portfolios"), F.col("head")).alias("allowed"))
+
+
+def _reverse_search(book: Book) -> DataFrame:
+    """Targets at multiples of the base, also far beyond the grid."""
+    spark = book.loans.sparkSession
+    rows = [(m, x, f) for m in reverse_stress.METRICS for x in (1.0, 1.5, 3.0, 12.0) for f in reverse_stress.FAMILIES]
+    return reverse_stress.search(book, spark.createDataFrame(rows, "metric string, multiple double, family string"))
+
+
 BookQuery = Callable[[SparkSession, Book], DataFrame]
 
 BOOK_QUERIES: dict[str, BookQuery] = {
@@ -469,12 +511,20 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "triples_by_predicate": lambda s, b: _triples(b),
     # filters
     "filtered_expected_loss": lambda s, b: _filtered_el(b),
+    "red_watchlist": lambda s, b: filters.apply_filters(limits.watchlist(b), {"band": ["red"]}).select("entity_id", "connected"),
+    "second_order_cascades": lambda s, b: filters.second_order(contagion.cascade_multiround(b)).select("seed", "second_order"),
+    "macro_hit_sectors": lambda s, b: filters.macro_hit(macro.notches_by_sector(b)).select("scenario", "sector", "notches"),
+    "second_stage_names": lambda s, b: filters.apply_filters(ifrs9.counterparty_ecl(b), {"stage": [2, 3]}).select("entity_id", "stage", "ecl_recognised"),
+    "energy_valuation": lambda s, b: filters.apply_filters(
+        xva.counterparty_xva(b).join(b.entities.select("entity_id", "sector"), "entity_id"), {"sector": "energy", "cva": (1, None)}
+    ).select("entity_id", "cva"),
     "wwr_flagged_watchlist": lambda s, b: _flagged_watchlist(b),
     # ownership
     "ultimate_parents": lambda s, b: ownership.ultimate_parents(b),
     "ownership_closure": lambda s, b: ownership.closure(b),
     "group_heads": lambda s, b: ownership.top_level_names(b),
     "group_sizes": lambda s, b: ownership.group_sizes(b),
+    "ownership_cycle_objects": lambda s, b: ownership.cycles(cross_held(b)),
     "ownership_cycles": lambda s, b: ownership.cycle_report(cross_held(b)),
     # exposure
     "direct_exposure": lambda s, b: exposure.direct_exposure(b),
@@ -551,12 +601,14 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     ),
     "expected_loss_deltas": lambda s, b: scenarios.expected_loss_deltas(b),
     "macro_notches": lambda s, b: macro.notches_by_sector(b),
+    "macro_book_ratings": lambda s, b: _macro_book(b),
     "macro_compare": lambda s, b: rounded(macro.macro_compare(b), "capital_pct_eligible"),
     "macro_sector_impacts": lambda s, b: macro.sector_impacts(b),
     "severity_grid": lambda s, b: rounded(reverse_stress.severity_grid(b), "value", places=2),
     "reverse_stress": lambda s, b: rounded(
         _reverse_stress(b), "target", "base_value", "achieved", places=2
     ),
+    "reverse_stress_search": lambda s, b: rounded(_reverse_search(b), "target", "base_value", "achieved", places=2),
     # contagion and wrong-way risk
     "default_cascade": lambda s, b: rounded(contagion.cascade(b), "amplification"),
     "solvent_guaranteed_loans": lambda s, b: contagion.solvent_guaranteed_loans(
@@ -588,6 +640,7 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "change_flags": lambda s, b: changes.change_flags(b, _updated_book(b)),
     "flag_records": lambda s, b: changes.flag_records(b).select("action", "target", "outcome", "reason"),
     "approval_outcomes": lambda s, b: changes.resolve_approvals(pending_changes(b), decisions(b)),
+    "audit_log_in_order": _log_in_order,
     "audit_chain_problems": lambda s, b: audit.chain_problems(audit_lines(b)),
     # access
     "group_grants": lambda s, b: access.grants(managers(b), access.candidate_groups(b)),
@@ -597,6 +650,8 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "dashboard_countries": lambda s, b: rounded(_scoped_dashboard(b)["countries"], "share"),
     "dashboard_ratings": lambda s, b: rounded(_scoped_dashboard(b)["ratings"], "share"),
     "scoped_watchlist": lambda s, b: rounded(_scoped_dashboard(b)["watchlist"], "utilisation"),
+    "scoped_wrong_way": lambda s, b: _scoped_dashboard(b)["wwr"].select("loan_id", "borrower", "collateral", "issuer"),
+    "group_access": lambda s, b: _allowed(b),
     "scoped_exposures": lambda s, b: _scoped_dashboard(b)["exposures"],
     "limit_edit_gate": lambda s, b: access.gate_limit_edits(amount_changes(b)).select(
         "change_id", "allowed", "refusal"

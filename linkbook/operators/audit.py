@@ -66,6 +66,29 @@ def chain_problems(lines: DataFrame) -> DataFrame:
     )
 
 
+def ordered_chain_problems(lines: DataFrame) -> DataFrame:
+    """``at, seq, problem`` of numbered lines (``at, value``): the log as it lies in its files.
+
+    A record's number is its place, and it links to the line before it, so lines that changed
+    places are told even if all are there. Neighbours meet by their places, which are unique.
+    """
+    digest = F.sha2(body_text(F.col("value")), 256)
+    rows = stage(
+        parse(lines).select("at", "seq", "prev_hash", "entry_hash", (~digest.eqNullSafe(F.col("entry_hash"))).alias("altered")), "audit"
+    )
+    before = rows.select((F.col("at") + 1).alias("at"), F.col("entry_hash").alias("expected"))
+    linked = rows.join(before, "at", "left")
+    expected = F.when(F.col("at") == 0, F.lit(GENESIS)).otherwise(F.col("expected"))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("altered"), "entry_hash mismatch (content altered)"),
+            F.when(~F.col("seq").eqNullSafe(F.col("at")), "seq out of order"),
+            F.when(~F.col("prev_hash").eqNullSafe(expected), "prev_hash does not chain"),
+        )
+    )
+    return linked.select("at", "seq", F.explode(problems).alias("problem"))
+
+
 def chain_status(lines: DataFrame) -> DataFrame:
     """One row: ``ok, length, problems`` (their number)."""
     length = lines.agg(F.count("*").alias("length")).scalar()

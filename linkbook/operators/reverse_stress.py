@@ -1,16 +1,19 @@
 """Reverse stress: the mildest shock of a family that reaches a target.
 
-All severities of both families run as scenarios of one job; the smallest
-severity at or above the target is an aggregate over that grid.
+A grid of severities of both families runs as scenarios of one job; the smallest
+severity at or above the target is an aggregate over that grid. Targets beyond any fixed
+grid are searched for: severities double until they reach it, then the interval is halved,
+one job a step for all targets.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkbook import params as P
 from linkbook.book import Book
 from linkbook.operators.scenarios import BASE, Shock, bands_by_scenario, summary_by_scenario
 
@@ -26,18 +29,24 @@ FAMILIES = ("downgrade", "exposure")
 MAX_SEVERITY = 6
 
 
+def _shock(family: str, n: int) -> Shock:
+    if family == "downgrade":
+        return Shock(f"downgrade:{n}", notches=n)
+    return Shock(f"exposure:{n}", exposure_factor=Decimal(10 + n) / Decimal(10))
+
+
 def severity_shocks(max_severity: int = MAX_SEVERITY) -> list[Shock]:
     steps = range(1, max_severity + 1)
-    downgrades = [Shock(f"downgrade:{n}", notches=n) for n in steps]
-    uplifts = [
-        Shock(f"exposure:{n}", exposure_factor=Decimal(10 + n) / Decimal(10)) for n in steps
-    ]
-    return [BASE, *downgrades, *uplifts]
+    return [BASE, *[_shock(family, n) for family in FAMILIES for n in steps]]
 
 
 def severity_grid(book: Book, max_severity: int = MAX_SEVERITY) -> DataFrame:
     """``family, severity, metric, value``; the base has family ``base`` and severity 0."""
-    shocks = severity_shocks(max_severity)
+    return _values(book, severity_shocks(max_severity))
+
+
+def _values(book: Book, shocks: list[Shock]) -> DataFrame:
+    """The metrics under each shock, in the columns of :func:`severity_grid`."""
     credit = summary_by_scenario(book, shocks)
     # Downgrades leave exposures alone, so their breach counts are the base ones.
     bands = bands_by_scenario(book, shocks)
@@ -62,6 +71,64 @@ def severity_grid(book: Book, max_severity: int = MAX_SEVERITY) -> DataFrame:
     )
 
 
+# No downgrade goes further than the scale; an uplift of 2 ** 14 steps is 1,638 times the exposure.
+LARGEST = {"downgrade": len(P.RATING_ORDER) - 1, "exposure": 1 << 14}
+
+
+def search(book: Book, targets: DataFrame, largest: dict[str, int] | None = None) -> DataFrame:
+    """:func:`min_shock` without a grid to stay in: ``targets`` as there, answered up to ``largest``.
+
+    Metrics do not fall as the severity grows. The targets are the question, a few rows; each step
+    evaluates the severities that they ask for next, all in one job.
+    """
+    largest = largest or LARGEST
+    base = {r["metric"]: r["value"] for r in _values(book, [BASE]).collect()}
+    open_ = {}
+    for r in targets.collect():
+        asked = r.asDict()
+        family = asked.get("family") or DEFAULT_FAMILY[asked["metric"]]
+        goal = asked["target"] if asked.get("target") is not None else asked["multiple"] * base[asked["metric"]]
+        open_[asked["metric"], family, goal] = (0, None, 1)  # below it, reached at, asked next
+    known: dict[tuple[str, int], dict[str, float]] = {}
+    while any(probe is not None for *_, probe in open_.values()):
+        wanted = {(family, probe) for (_, family, _), (*_, probe) in open_.items() if probe is not None} - set(known)
+        if wanted:
+            for r in _values(book, [BASE, *[_shock(f, n) for f, n in sorted(wanted)]]).collect():
+                known.setdefault((r["family"], r["severity"]), {})[r["metric"]] = r["value"]
+        for (metric, family, goal), (below, reached, probe) in open_.items():
+            if probe is None:
+                continue
+            if known[family, probe][metric] >= goal:
+                reached = probe
+            else:
+                below = probe
+            if reached is None:
+                probe = min(2 * below, largest[family]) if below < largest[family] else None
+            else:
+                probe = (below + reached) // 2 if reached - below > 1 else None
+            open_[metric, family, goal] = (below, reached, probe)
+    rows = []
+    for (metric, family, goal), (below, reached, _) in open_.items():
+        rows.append((metric, family, float(goal), float(base[metric]), reached, float(known[family, reached or below][metric]), below))
+    answers = book.loans.sparkSession.createDataFrame(
+        rows, "metric string, family string, target double, base_value double, severity int, achieved double, searched_to int"
+    )
+    return answers.select(
+        "metric", "family", "target", "base_value", "severity", "achieved", F.col("severity").isNotNull().alias("feasible"),
+        F.greatest("searched_to", F.coalesce("severity", F.lit(0))).alias("searched_to"), _label().alias("shock_label"),
+    )
+
+
+def _label() -> Column:
+    n = F.col("severity")
+    return (
+        F.when(n.isNull(), "not reachable within the search cap")
+        .when(F.col("family") == "exposure", F.format_string("+%d%% exposure uplift", n * 10))
+        .when(n == 1, "broad downgrade −1 notch")
+        .otherwise(F.format_string("broad downgrade −%d notches", n))
+    )
+
+
 def min_shock(grid: DataFrame, targets: DataFrame) -> DataFrame:
     """Answer every target (``metric, target`` and optionally ``family``, ``multiple``).
 
@@ -95,12 +162,6 @@ def min_shock(grid: DataFrame, targets: DataFrame) -> DataFrame:
         )
     )
     n = F.col("severity")
-    label = (
-        F.when(n.isNull(), "not reachable within the search cap")
-        .when(F.col("family") == "exposure", F.format_string("+%d%% exposure uplift", n * 10))
-        .when(n == 1, "broad downgrade −1 notch")
-        .otherwise(F.format_string("broad downgrade −%d notches", n))
-    )
     return out.select(
         "metric",
         "family",
@@ -110,5 +171,5 @@ def min_shock(grid: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("at_severity", "worst").alias("achieved"),
         n.isNotNull().alias("feasible"),
         "searched_to",
-        label.alias("shock_label"),
+        _label().alias("shock_label"),
     )
