@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_watching: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +38,32 @@ def scratch(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/linkbook-{label}-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    for made in _watching:
+        made.append(path)
     return path
 
 
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The scratch paths that are taken inside the block."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def release(paths: list[str], docs: DataFrame) -> list[str]:
+    """Delete the scratch tables of a step whose result has been written; those that ``docs`` reads stay and are returned."""
+    spark, read = docs.sparkSession, docs.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.rpartition("/")[2] in file for file in read)]
+    for path in set(paths) - set(kept):
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return kept
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared folder and return a DataFrame reading it back."""
     path = scratch(df.sparkSession, label)
