@@ -133,17 +133,22 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents as ``doc_id`` and ``text`` of the words that no benchmark window covers.
+    """``docs``, all rows and columns, with ``text`` cut to the words that no benchmark window covers.
 
-    Words are lower-cased and joined by one space, as they are compared.
+    The words of a text that is cut are lower-cased and joined by one space, as they are compared;
+    other texts stay as they are, null and empty ones too. Hits go by the text, so ids may be null
+    or repeat. Without a benchmark nothing is cut; empty tables give no rows.
     """
-    found = contamination(docs, benchmark, window).where("contaminated").select("doc_id", "spans").distinct()
-    kept = F.filter(
-        F.transform(terms(F.col("text")), lambda w, i: F.when(~F.exists("spans", lambda s: (s["at"] <= i) & (i < s["end"])), w)),
-        lambda w: w.isNotNull(),
-    )
-    joined = docs.select("doc_id", "text").join(found, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
+    windows = stage(item_windows(benchmark, window), "bench-windows")
+    key, spans = fresh(docs, "text_key"), fresh(docs, "spans")
+    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("text").alias("text"))
+    places = hits(rows, windows, ["key"]).where("at >= 0").select("key", "at", (F.col("at") + F.col("length")).alias("end")).distinct()
+    found = stage(places.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("at", "end")).alias(spans)), "bench-spans")
+    covered = lambda i: F.exists(spans, lambda s: (s["at"] <= i) & (i < s["end"]))
+    kept = F.filter(terms(F.col("text")), lambda w, i: ~covered(i))
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(found, key, "left")
+    cut = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
+    return joined.withColumn("text", cut).select(*[column(joined, c) for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary labelled text: the
-words that most documents of the class hold, most frequent last. The toxic one is short and the
-ordinary one long, so what only the toxic one knows is wording typical of toxic text. Each
-window of a text is compressed with both; how many bytes the toxic dictionary saves, over
-calibrated thresholds, gives the score.
+Two zstandard dictionaries are trained from a bounded sample of labelled texts. Both begin with the
+same part, trained on ordinary text; after it stands a part of each class's own, of equal size: words of toxic
+texts whose letter sequences are significantly commoner there (so stems with varying endings
+count), and further ordinary text. Each window is compressed with both; how many bytes the toxic
+dictionary saves, over calibrated thresholds, gives the score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkbook.llm.common import LOWER, UPPER, fresh, text_key, words
+from linkbook.llm.common import fresh
 from linkbook.plans.staging import stage
 
-TOXIC_BYTES, ORDINARY_BYTES = 1_000, 65_536
-LEVEL = 5
+# Bytes of the part that the dictionaries share, and of each one's own.
+SHARED_BYTES, OWN_BYTES = 64 << 10, 16 << 10
+LEVEL = 12
+# Labelled texts that dictionaries are trained on, about so many of a class at most, chosen by hash;
+# texts of more characters are not sampled.
+SAMPLE_ROWS, SAMPLE_CHARS = {1: 3_000, 0: 6_000}, 100_000
+PIECE_BYTES, PIECES = 400, 20_000
+# A letter sequence is typical of toxic texts if so many have it, at so large log odds and score.
+WORD_COPIES = 3
+GRAMS, GRAM_TEXTS, GRAM_ODDS, GRAM_SCORE = (5, 6, 7, 8), 3, 2.0, 4.0
 # Words of a window. The matcher of short inputs skips their last bytes, so a pad that both
 # dictionaries hold ends every window; it costs both the same.
 WINDOW = 1
@@ -32,11 +43,12 @@ PAD = b"@0q7Zk#9vX!2mW~5jQ^8rT&1hL%4dS*6"
 # Labelled documents whose features calibrate the thresholds, about so many at most, chosen by hash.
 CALIBRATION_ROWS = 40_000
 # Byte savings that count a window as a hit, as features.
-SAVINGS = (1, 2, 3, 4)
+SAVINGS = (2, 3, 4, 5, 6, 7, 8, 10)
+TOPS = (1, 2, 3, 5)
 # Labelled ids are broadcast up to this size; a row takes about so many bytes of a task's memory.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 MEMO_WINDOWS = 200_000
-N_FEATURES = len(SAVINGS) + 3
+N_FEATURES = len(SAVINGS) + len(TOPS) + 1
 PUNCTUATION = ".,;:!?\"()"
 
 
@@ -74,13 +86,21 @@ class _Savings(dict):
         return saved
 
 
+_BREAKS = re.compile(rb'[.,;:!?"()\s]+')
+
+
+def _words(text: bytes) -> list[bytes]:
+    return _BREAKS.sub(b" ", text.lower()).split()
+
+
 def _features(text: bytes, savings: _Savings) -> list[float]:
-    tokens = text.lower().split()
+    tokens = _words(text)
     if WINDOW > 1:
         tokens = [b" ".join(tokens[i : i + WINDOW]) for i in range(0, len(tokens), WINDOW)]
     saved = np.fromiter(map(savings.__getitem__, tokens), np.int16, len(tokens))
-    top = np.sort(saved[saved > 0])[::-1][:2].tolist() + [0, 0]
-    return [*(float(np.log1p((saved >= s).sum())) for s in SAVINGS), float(top[0]), float(top[1]), float(np.log1p(len(saved)))]
+    top = np.sort(saved)[::-1][: max(TOPS)]
+    sums = [float(top[:n].sum()) for n in TOPS]
+    return [*sums, *(float(np.log1p((saved >= n).sum())) for n in SAVINGS), float(np.log1p(len(saved)))]
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -119,17 +139,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _dictionary(counts: DataFrame, label: int, size: int) -> bytes:
-    """The most frequent words of a class within ``size`` bytes, most frequent last."""
-    top = counts.where(F.col("label") == label).orderBy(F.desc("n"), "word").limit(size // 2)
-    chosen, used = [], 0
-    for row in top.collect():  # at most size / 2 words
-        word = row["word"].encode()
-        if used + len(word) + 1 > size:
-            break
-        chosen.append(word)
-        used += len(word) + 1
-    return b" " + b" ".join(reversed(chosen)) + b" " + PAD
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes; of too few samples, their own text."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
+
+
+def _grams(words: Iterable[bytes]) -> set[bytes]:
+    return {x[i : i + n] for w in words for x in (b" " + w,) for n in GRAMS for i in range(len(x) - n + 1)}
+
+
+def _typical_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Words of the toxic texts that hold a letter sequence typical of them, up to ``WORD_COPIES`` times each."""
+    ours, theirs = Counter(), Counter()
+    for texts, counts in ((toxic, ours), (ordinary, theirs)):
+        for words in texts:
+            counts.update(_grams(set(words)))
+    n, m = len(toxic), len(ordinary)
+
+    def typical(gram: bytes) -> bool:
+        expected = n * (ours[gram] + theirs[gram]) / (n + m)
+        odds = np.log((ours[gram] + 0.5) / (n + 1)) - np.log((theirs[gram] + 0.5) / (m + 1))
+        return ours[gram] >= GRAM_TEXTS and odds >= GRAM_ODDS and (ours[gram] - expected) / np.sqrt(expected) >= GRAM_SCORE
+
+    strong = {gram for gram in ours if typical(gram)}
+    words = Counter(w for words in toxic for w in words)
+    return [b" " + w + b" " for w, k in sorted(words.items()) if not strong.isdisjoint(_grams((w,))) for _ in range(min(k, WORD_COPIES))]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary; both end with the same shared part."""
+    shuffled = random.Random(7).shuffle  # the same for equal samples
+    ours, theirs = ([_words(t) for t in sorted(set(texts))] for texts in (toxic, ordinary))
+    pieces = [t[i : i + PIECE_BYTES] for t in map(b" ".join, theirs) for i in range(0, len(t), PIECE_BYTES)]
+    shuffled(pieces)
+    typical = _typical_words(ours, theirs)
+    samples = [b"".join(typical[i : i + 8]) for i in range(0, len(typical), 8)]
+    shuffled(samples)
+    half = min(PIECES, (len(pieces) + 1) // 2)
+    shared = _trained(pieces[:half], SHARED_BYTES)
+    return tuple(shared + _filled(_trained(own, OWN_BYTES), own) + PAD for own in (samples, pieces[half : 2 * half]))
+
+
+def _filled(content: bytes, samples: list[bytes]) -> bytes:
+    """``content`` with samples before it, of ``OWN_BYTES``: what stands before it lies equally far back in both dictionaries."""
+    spare = b"".join(dict.fromkeys(samples))[: OWN_BYTES - len(content)] + content
+    return b" " * (OWN_BYTES - len(spare)) + spare
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float, ...]:
@@ -153,30 +210,33 @@ def _lookup(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() * ROW_BYTES <= BROADCAST_BYTES else rows
 
 
+def _sampled(marks: DataFrame, rows: int, salt: str) -> DataFrame:
+    """About ``rows`` of ``marks`` at most, chosen by hash."""
+    share = min(1.0, rows / max(1, marks.count()))
+    return marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries from one half of the labelled rows that are not held out, thresholds from the other.
 
-    Word counts cover the whole half, each distinct text once; the calibration takes about
-    ``CALIBRATION_ROWS`` rows at most, by hash. Without rows of both labels the score is the share of
-    toxic rows, 0 without rows. Null labels are not used; of several labels of an id the largest holds.
+    The dictionaries take about ``SAMPLE_ROWS`` texts of a class at most, the calibration about
+    ``CALIBRATION_ROWS`` rows, by hash. Without rows of both labels the score is the share of toxic
+    rows, 0 without rows. Null labels are not used; of several labels of an id the largest holds.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
     marks = stage(marks.withColumn("half", half), "toxic-labels")
     rows = docs.select("doc_id", F.col("text").alias("text"))
-    keyed = rows.join(_lookup(marks.where("half = 0")), "doc_id").select("doc_id", "label", text_key(F.col("text")).alias("key"))
-    single = stage(keyed.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label"), "toxic-texts")
-    plain = F.translate(F.coalesce("text", F.lit("")), UPPER + PUNCTUATION, LOWER + " " * len(PUNCTUATION))
-    each = rows.join(_lookup(single.dropDuplicates(["doc_id"])), "doc_id").select("label", F.explode(F.array_distinct(words(plain))).alias("word"))
-    counts = stage(
-        each.where("length(word) < 100").groupBy("label", "word").agg(F.count("*").alias("n")), "toxic-words"
-    )
-    draft = Model(_dictionary(counts, 1, TOXIC_BYTES), _dictionary(counts, 0, ORDINARY_BYTES), ())
-    other = marks.where("half = 1")
-    share = min(1.0, CALIBRATION_ROWS / max(1, other.count()))
-    spread = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = rows.join(_lookup(stage(other.where(spread), "toxic-sample")), "doc_id")
+    samples = [_sampled(marks.where((F.col("half") == 0) & (F.col("label") == k)), n, "sample") for k, n in SAMPLE_ROWS.items()]
+    sampled = rows.join(_lookup(stage(samples[0].union(samples[1]), "toxic-sample")), "doc_id")
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    # Bounded by SAMPLE_ROWS and SAMPLE_CHARS, and read a partition at a time.
+    for r in sampled.where(F.length("text") <= SAMPLE_CHARS).select("label", "text").toLocalIterator():
+        texts[r["label"]].append(r["text"].encode("utf-8", "surrogatepass"))
+    draft = Model(*dictionaries(texts[1], texts[0]), ())
+    other = _sampled(marks.where("half = 1"), CALIBRATION_ROWS, "calibration")
+    sample = rows.join(_lookup(stage(other, "toxic-calibration")), "doc_id")
     measured = sample.select("label", "text").mapInArrow(_feature_batches(draft), "label int, features array<double>").collect()
     y = np.array([r["label"] for r in measured], float)
     if len(set(y)) < 2:
