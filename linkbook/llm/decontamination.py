@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkbook.llm.common import LOWER, UPPER, text_key
+from linkbook.llm.common import LOWER, UPPER, column, fresh, text_key
 from linkbook.plans.staging import stage
 
 WINDOW = 10
