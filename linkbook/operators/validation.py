@@ -82,15 +82,40 @@ def record_id(table: str) -> Column:
     return F.trim(_text(KEY[table]))
 
 
-def _look_up(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """``rows`` with ``{column}_unknown`` where the text in ``column`` is no id.
+# Cells that have to name an entity or a loan.
+ENTITY_CELLS = (
+    ("loans", "borrower_entity_id"),
+    ("loans", "lender_entity_id"),
+    ("guarantees", "guarantor_entity_id"),
+    ("collateral", "pledged_by_entity_id"),
+    ("collateral", "issuer_entity_id"),
+    ("limits", "entity_id"),
+)
+LOAN_CELLS = (("guarantees", "beneficiary_loan_id"), ("collateral", "securing_loan_id"))
+
+
+def unknown_references(raw: Mapping[str, DataFrame], known: Mapping[str, DataFrame]) -> DataFrame:
+    """``kind, value``: what cells of ``raw`` name, and no entity or loan of ``known`` is.
 
-    Distinct values are looked up first, so a value that most rows share travels once;
-    what is joined back is the unknown ones, few in a sound source.
+    All references and all ids are one tagged table, grouped once; equal values meet before the
+    exchange, so one that most rows share travels once a task.
     """
-    known = ids.select(_text(id_column).alias(column))
-    unknown = rows.select(column).distinct().join(known, column, "left_anti")
-    return rows.join(unknown.withColumn(f"{column}_unknown", F.lit(True)), column, "left")
+
+    def tagged(df: DataFrame, kind: str, column: str, is_id: bool) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), _text(column).alias("value"), F.lit(is_id).alias("is_id"))
+
+    parts = [tagged(raw[t], "entity", c, False) for t, c in ENTITY_CELLS]
+    parts += [tagged(raw[t], "loan", c, False) for t, c in LOAN_CELLS]
+    for kind, table in (("entity", "entities"), ("loan", "loans")):
+        parts.append(tagged(known[table].filter(record_id(table) != ""), kind, KEY[table], True))
+    union = reduce(DataFrame.unionByName, parts)
+    return union.groupBy("kind", "value").agg(F.bool_or("is_id").alias("known")).filter(~F.col("known")).select("kind", "value")
+
+
+def _look_up(rows: DataFrame, column: str, unknown: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with ``{column}_unknown`` where the text in ``column`` is no id; few are, in a sound source."""
+    found = unknown.filter(F.col("kind") == kind).select(F.col("value").alias(column), F.lit(True).alias(f"{column}_unknown"))
+    return rows.join(found, column, "left")
 
 
 def _missing(column: str) -> Column:
@@ -110,12 +135,12 @@ def _entities(raw: Mapping[str, DataFrame], strict: bool) -> tuple[DataFrame, li
     return raw["entities"], rules
 
 
-def _loans(raw: Mapping[str, DataFrame], entity_ids: DataFrame) -> tuple[DataFrame, list[Rule]]:
+def _loans(raw: Mapping[str, DataFrame], unknown: DataFrame) -> tuple[DataFrame, list[Rule]]:
     rows = raw["loans"].withColumns(
         {"_b": _text("borrower_entity_id"), "_l": _text("lender_entity_id")}
     )
     for column in ("_b", "_l"):
-        rows = _look_up(rows, column, entity_ids, "entity_id")
+        rows = _look_up(rows, column, unknown, "entity")
     return rows, [
         Rule(BORROWER, _missing("_b"), F.col("_b")),
         Rule(LENDER, _missing("_l"), F.col("_l")),
@@ -126,7 +151,7 @@ def _loans(raw: Mapping[str, DataFrame], entity_ids: DataFrame) -> tuple[DataFra
 
 
 def _guarantees(
-    raw: Mapping[str, DataFrame], entity_ids: DataFrame, loan_ids: DataFrame
+    raw: Mapping[str, DataFrame], unknown: DataFrame, loan_ids: DataFrame
 ) -> tuple[DataFrame, list[Rule]]:
     borrowers = loan_ids.select(
         _text("loan_id").alias("_loan"),
@@ -139,7 +164,7 @@ def _guarantees(
         .withColumn("_loan", _text("beneficiary_loan_id"))
         .join(borrowers, ["_loan", "_g"], "left")
     )
-    rows = _look_up(_look_up(rows, "_g", entity_ids, "entity_id"), "_loan", loan_ids, "loan_id")
+    rows = _look_up(_look_up(rows, "_g", unknown, "entity"), "_loan", unknown, "loan")
     return rows, [
         Rule(GUARANTOR, _missing("_g"), F.col("_g")),
         Rule(GUARANTEED_LOAN, _missing("_loan"), F.col("_loan")),
@@ -149,17 +174,15 @@ def _guarantees(
     ]
 
 
-def _collateral(
-    raw: Mapping[str, DataFrame], entity_ids: DataFrame, loan_ids: DataFrame
-) -> tuple[DataFrame, list[Rule]]:
+def _collateral(raw: Mapping[str, DataFrame], unknown: DataFrame) -> tuple[DataFrame, list[Rule]]:
     rows = (
         raw["collateral"]
         .withColumn("_p", _text("pledged_by_entity_id"))
         .withColumn("_i", _text("issuer_entity_id"))
         .withColumn("_loan", _text("securing_loan_id"))
     )
-    for column, ids, id_column in (("_p", entity_ids, "entity_id"), ("_i", entity_ids, "entity_id"), ("_loan", loan_ids, "loan_id")):
-        rows = _look_up(rows, column, ids, id_column)
+    for column, kind in (("_p", "entity"), ("_i", "entity"), ("_loan", "loan")):
+        rows = _look_up(rows, column, unknown, kind)
     valued = _text("collateral_value") != ""
     percent = F.when(_text("haircut_pct") == "", F.lit(0)).when(
         _text("haircut_pct").rlike(r"^[+-]?\d+$"), F.col("haircut_pct").try_cast("int")
@@ -183,7 +206,7 @@ def _collateral(
 
 
 def _limits(
-    raw: Mapping[str, DataFrame], entity_ids: DataFrame, strict: bool
+    raw: Mapping[str, DataFrame], unknown: DataFrame, strict: bool
 ) -> tuple[DataFrame, list[Rule]]:
     rules = [
         Rule(LIMIT_AMOUNT, _not_positive("single_name_limit"), _same_number("single_name_limit")),
@@ -191,7 +214,7 @@ def _limits(
     ]
     rows = raw["limits"]
     if strict:
-        rows = _look_up(rows.withColumn("_e", _text("entity_id")), "_e", entity_ids, "entity_id")
+        rows = _look_up(rows.withColumn("_e", _text("entity_id")), "_e", unknown, "entity")
         rules.append(Rule(LIMIT_ENTITY, _missing("_e")))
     return rows, rules
 
@@ -238,14 +261,14 @@ def keyed_records(
     behind every limit.
     """
     known = known or raw
-    entity_ids = known["entities"].filter(record_id("entities") != "")
+    unknown = unknown_references(raw, known)
     loan_ids = known["loans"].filter(record_id("loans") != "")
     checked = [
         ("entities", *_entities(raw, strict)),
-        ("loans", *_loans(raw, entity_ids)),
-        ("guarantees", *_guarantees(raw, entity_ids, loan_ids)),
-        ("collateral", *_collateral(raw, entity_ids, loan_ids)),
-        ("limits", *_limits(raw, entity_ids, strict)),
+        ("loans", *_loans(raw, unknown)),
+        ("guarantees", *_guarantees(raw, unknown, loan_ids)),
+        ("collateral", *_collateral(raw, unknown)),
+        ("limits", *_limits(raw, unknown, strict)),
     ]
     return reduce(
         DataFrame.unionByName, [_reduce(rows, table, rules) for table, rows, rules in checked]
@@ -260,16 +283,7 @@ def referenced_ids(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
             DataFrame.unionByName, [raw[t].select(_text(c).alias(name)) for t, c in cells]
         ).distinct()
 
-    entities = [
-        ("loans", "borrower_entity_id"),
-        ("loans", "lender_entity_id"),
-        ("guarantees", "guarantor_entity_id"),
-        ("collateral", "pledged_by_entity_id"),
-        ("collateral", "issuer_entity_id"),
-        ("limits", "entity_id"),
-    ]
-    loans = [("guarantees", "beneficiary_loan_id"), ("collateral", "securing_loan_id")]
-    return ids("entity_id", entities), ids("loan_id", loans)
+    return ids("entity_id", ENTITY_CELLS), ids("loan_id", LOAN_CELLS)
 
 
 def blank_records(raw: Mapping[str, DataFrame]) -> DataFrame:
