@@ -553,15 +553,16 @@ def _totals_sql(loans: str, guarantees: str, limits: str) -> str:
 def _breakdown(heads: str) -> str:
     return f"""
 SELECT a.head, '1. Direct loan' AS contribution_type, l.borrower AS counterparty, {_d('l.amount')} AS amount,
-  CAST(l.loan_id AS VARCHAR) AS via, e.entity_name AS counterparty_name
+  CAST(l.loan_id AS VARCHAR) AS via, e.entity_name AS counterparty_name,
+  'Loan ' || l.loan_id AS via_detail, NULL AS outside_loan
 FROM {heads} h JOIN anc a ON a.head = h.head JOIN active l ON l.borrower = a.member JOIN entities e ON e.entity_id = l.borrower
 UNION ALL
-SELECT a.head, '2. Guaranty (contingent)', l.borrower, {_d('g.amount')}, CAST(g.guarantee_id AS VARCHAR), e.entity_name
+SELECT a.head, '2. Guaranty (contingent)', l.borrower, {_d('g.amount')}, CAST(g.guarantee_id AS VARCHAR), e.entity_name, 'Guaranty ' || g.guarantee_id, CAST(l.loan_id AS VARCHAR)
 FROM {heads} h JOIN anc a ON a.head = h.head JOIN guarantees g ON g.guarantor = a.member
 JOIN active l ON l.loan_id = g.loan_id JOIN entities e ON e.entity_id = l.borrower
 WHERE NOT EXISTS (SELECT 1 FROM anc b WHERE b.member = l.borrower AND b.head = a.head)
 UNION ALL
-SELECT s.head, '3. Shared collateral', s.borrower, {_d('s.amount')}, CAST(s.item AS VARCHAR), e.entity_name FROM (
+SELECT s.head, '3. Shared collateral', s.borrower, {_d('s.amount')}, CAST(s.item AS VARCHAR), e.entity_name, 'Item ' || s.item, CAST(s.loan_id AS VARCHAR) FROM (
   SELECT DISTINCT a.head, l.borrower, l.loan_id, l.amount, p1.item
   FROM {heads} h JOIN anc a ON a.head = h.head JOIN active l1 ON l1.borrower = a.member
   JOIN pairs p1 ON p1.loan_id = l1.loan_id JOIN pairs p2 ON p2.item = p1.item JOIN active l ON l.loan_id = p2.loan_id

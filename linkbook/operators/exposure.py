@@ -537,9 +537,16 @@ def named(df: DataFrame, book: Book, id_column: str, name_column: str) -> DataFr
     )
 
 
+def _labelled(prefix: str, column: str) -> Column:
+    return F.concat(F.lit(f"{prefix} "), F.col(column).cast("string"))
+
+
 def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFrame:
     """One row per contributing path of the heads asked for.
 
+    ``via`` is the record that makes the link and ``via_detail`` its label; ``outside_loan`` is the loan
+    outside the group that a guarantee backs or an item also secures, null for the group's own loans.
+
     The rows are the drill-down itself, so pass the heads to look into; totals for
     all heads come from :func:`connected_exposure`.
     """
@@ -554,6 +561,8 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
         "counterparty",
         F.col(PRINCIPAL).alias("amount"),
         F.col("loan_id").cast("string").alias("via"),
+        _labelled("Loan", "loan_id").alias("via_detail"),
+        F.lit(None).cast("string").alias("outside_loan"),
     )
     given = (
         guarantees.select(
@@ -574,6 +583,8 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
         "counterparty",
         "amount",
         F.col("guarantee_id").cast("string").alias("via"),
+        _labelled("Guaranty", "guarantee_id").alias("via_detail"),
+        F.col("loan_id").cast("string").alias("outside_loan"),
     )
     pairs = shared_pairs(collateral)
     touched = pairs.join(member_loans.select("loan_id", "head"), "loan_id").select("item", "head")
@@ -582,12 +593,15 @@ def breakdown(book: Book, heads: DataFrame, status_mode: str = "full") -> DataFr
         .join(pairs, "item")
         .join(loan, "loan_id")
         .join(inside, ["counterparty", "head"], "left_anti")
+        .join(book.items.select(F.col("collateral_id").alias("item"), "collateral_type"), "item", "left")
         .select(
             "head",
             F.lit(SHARED).alias("contribution_type"),
             "counterparty",
             F.col(PRINCIPAL).alias("amount"),
             F.col("item").cast("string").alias("via"),
+            F.col("collateral_type").alias("via_detail"),
+            F.col("loan_id").cast("string").alias("outside_loan"),
         )
     )
     rows = direct.unionByName(guaranteed).unionByName(shared)

@@ -196,6 +196,11 @@ def test_headline_and_breakdown(spark):
         assert h.limit_breached and h.hidden == 13_500_000
     rows = exposure.breakdown(book, heads).collect()
     assert sum(r.amount for r in rows) == 15_500_000 and len(rows) == 5
+    links = {(r.contribution_type, r.via, r.via_detail, r.outside_loan) for r in rows}
+    assert {x for x in links if x[0][0] == "1"} == {(exposure.DIRECT, i, f"Loan {i}", None) for i in "123"}
+    assert {x for x in links if x[0][0] != "1"} == {
+        (exposure.GUARANTY, "g1", "Guaranty g1", "4"), (exposure.SHARED, "c1", "Item c1", "5")
+    }
     view = exposure.group_view(book, heads)
     assert view["contributions"].count() == 5
 
