@@ -23,12 +23,20 @@ from linkbook.schema import COLUMNS
 from linkbook.sources import audit_log, csv_folder, store, triples
 from linkbook.sources.orders_book import orders_book, staged
 
-_books: dict[tuple[str, str], Book] = {}
+_books: dict[tuple, Book] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a table was last written, and its length."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(hadoop_path).getModificationTime(), files.getContentSummary(hadoop_path).getLength()
 
 
 def book_of(spark: SparkSession, directory: str) -> Book:
-    """The derived book, written once per application and folder and then re-read."""
-    key = (spark.sparkContext.applicationId, directory)
+    """The derived book, written once per application and state of the tables, and then re-read."""
+    stamps = [_stamp(spark, f"{directory}/{t}.parquet") for t in ("customer", "nation", "orders")]
+    key = (spark.sparkContext.applicationId, directory, *stamps)
     if key not in _books:
         _books[key] = staged(orders_book(spark, directory))
     return _books[key]

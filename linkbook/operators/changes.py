@@ -46,12 +46,18 @@ KINDS = {
     "limit": "limits",
 }
 CHECKER_ROLES = ("group_risk",)
+# Messages that outcomes and audit rows show.
 BAD_UPDATE = "invalid subject id, predicate, or amount"
 BAD_ID = "invalid subject id"
 NOT_FOUND = "not found"
 STILL_REFERENCED = (
     "entity still referenced by an active loan or guaranty; deactivate those first"
 )
+SWITCHED_OFF = ("status set to ", " (excluded from metrics; history preserved)")
+BREACH_REASON = "connected %s >= limit %s"
+WRONG_WAY_REASON = "collateral %s issued by same group %s as borrower"
+NOT_PENDING = "no such pending change"
+SAME_PERSON = "four-eyes: the checker must differ from the maker"
 
 
 def _as_text(df: DataFrame, table: str) -> DataFrame:
@@ -237,9 +243,7 @@ def apply_deactivations(book: Book, requests: DataFrame) -> tuple[Book, DataFram
     )
     in_use = _asked(references, requests, "kind").withColumn("in_use", F.lit(True))
     new_status = F.when(F.col("kind") == "loan", "closed").otherwise("inactive")
-    done = F.concat(
-        F.lit("status set to "), new_status, F.lit(" (excluded from metrics; history preserved)")
-    )
+    done = F.concat(F.lit(SWITCHED_OFF[0]), new_status, F.lit(SWITCHED_OFF[1]))
     judged = (
         requests.withColumn("subject_id", F.col("subject_id").cast("string"))
         .join(found, ["subject_id", "kind"], "left")
@@ -361,7 +365,7 @@ def flag_records(book: Book, actor: str = "anonymous", role: str = "group_risk")
         F.lit("flag-limit-breach").alias("action"),
         F.col("entity_id").cast("string").alias("target"),
         F.format_string(
-            "connected %s >= limit %s",
+            BREACH_REASON,
             F.col("connected").cast("string"),
             F.col("limit_amount").cast("string"),
         ).alias("reason"),
@@ -377,7 +381,7 @@ def flag_records(book: Book, actor: str = "anonymous", role: str = "group_risk")
         F.lit("flag-wrong-way-risk").alias("action"),
         F.col("loan_id").cast("string").alias("target"),
         F.format_string(
-            "collateral %s issued by same group %s as borrower",
+            WRONG_WAY_REASON,
             F.col("collateral").cast("string"),
             F.col("group").cast("string"),
         ).alias("reason"),
@@ -416,11 +420,11 @@ def resolve_approvals(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     )
     denial = (
         F.when(
-            ~F.coalesce(F.col("status") == "pending", F.lit(False)), F.lit("no such pending change")
+            ~F.coalesce(F.col("status") == "pending", F.lit(False)), F.lit(NOT_PENDING)
         )
         .when(
             F.col("checker") == F.col("maker"),
-            F.lit("four-eyes: the checker must differ from the maker"),
+            F.lit(SAME_PERSON),
         )
         .when(
             ~F.coalesce(F.col("checker_role").isin(*CHECKER_ROLES), F.lit(False)),

@@ -80,3 +80,13 @@ def test_overlapping_saves(spark, tmp_path):
     assert {int(x) for x in _amounts(spark, root)} == {2}  # it ended last
     store.save(books[0], root, "x")
     assert {int(x) for x in _amounts(spark, root)} == {1}
+
+
+def test_book_follows_its_tables(spark, tmp_path):
+    for name in ("customer", "nation", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = queries.book_of(spark, str(tmp_path))
+    assert queries.book_of(spark, str(tmp_path)) is first
+    n = first.loans.count()
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(10).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert n > 10 and queries.book_of(spark, str(tmp_path)).loans.count() == 10
