@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkbook.llm.common import LOWER, UPPER, column, fresh, text_key
+from linkbook.llm.common import LOWER, UPPER, fresh, text_key
 from linkbook.plans.staging import stage
 
 WINDOW = 10
@@ -148,7 +148,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     kept = F.filter(terms(F.col("text")), lambda w, i: ~covered(i))
     joined = docs.withColumn(key, text_key(F.col("text"))).join(found, key, "left")
     cut = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
-    return joined.withColumn("text", cut).select(*[column(joined, c) for c in docs.columns])
+    return joined.withColumn("text", cut).drop(key, spans)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
