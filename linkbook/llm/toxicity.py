@@ -31,8 +31,8 @@ SHARED_BYTES, OWN_BYTES = 64 << 10, 16 << 10
 LEVEL = 12
 # Labelled texts that dictionaries are trained on, about so many of a class at most, chosen by hash;
 # texts of more characters are not sampled.
-SAMPLE_ROWS, SAMPLE_CHARS = {1: 3_000, 0: 6_000}, 100_000
-PIECE_BYTES, PIECES = 400, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = {1: 2_000, 0: 4_000}, 50_000
+PIECE_BYTES, PIECES = 400, 10_000
 # A letter sequence is typical of toxic texts if so many have it, at so large log odds and score.
 WORD_COPIES = 3
 GRAMS, GRAM_TEXTS, GRAM_ODDS, GRAM_SCORE = (5, 6, 7, 8), 3, 2.0, 4.0
@@ -151,33 +151,35 @@ def _grams(words: Iterable[bytes]) -> set[bytes]:
     return {x[i : i + n] for w in words for x in (b" " + w,) for n in GRAMS for i in range(len(x) - n + 1)}
 
 
-def _typical_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+def _typical_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Words of the toxic texts that hold a letter sequence typical of them, up to ``WORD_COPIES`` times each."""
-    ours, theirs = Counter(), Counter()
-    for texts, counts in ((toxic, ours), (ordinary, theirs)):
-        for words in texts:
-            counts.update(_grams(set(words)))
+    ours, theirs, words = Counter(), Counter(), Counter()
+    for text in toxic:
+        ours.update(_grams(set(text.split())))
+        words.update(text.split())
+    candidates = {gram for gram, k in ours.items() if k >= GRAM_TEXTS}
+    for text in ordinary:  # only sequences that can be typical are counted
+        theirs.update(_grams(set(text.split())) & candidates)
     n, m = len(toxic), len(ordinary)
 
     def typical(gram: bytes) -> bool:
         expected = n * (ours[gram] + theirs[gram]) / (n + m)
         odds = np.log((ours[gram] + 0.5) / (n + 1)) - np.log((theirs[gram] + 0.5) / (m + 1))
-        return ours[gram] >= GRAM_TEXTS and odds >= GRAM_ODDS and (ours[gram] - expected) / np.sqrt(expected) >= GRAM_SCORE
+        return odds >= GRAM_ODDS and (ours[gram] - expected) / np.sqrt(expected) >= GRAM_SCORE
 
-    strong = {gram for gram in ours if typical(gram)}
-    words = Counter(w for words in toxic for w in words)
+    strong = {gram for gram in candidates if typical(gram)}
     return [b" " + w + b" " for w, k in sorted(words.items()) if not strong.isdisjoint(_grams((w,))) for _ in range(min(k, WORD_COPIES))]
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary; both end with the same shared part."""
+    """The toxic and the ordinary dictionary; both begin with the same shared part."""
     shuffled = random.Random(7).shuffle  # the same for equal samples
-    ours, theirs = ([_words(t) for t in sorted(set(texts))] for texts in (toxic, ordinary))
-    pieces = [t[i : i + PIECE_BYTES] for t in map(b" ".join, theirs) for i in range(0, len(t), PIECE_BYTES)]
-    shuffled(pieces)
+    ours, theirs = ([b" ".join(_words(t)) for t in sorted(set(texts))] for texts in (toxic, ordinary))
     typical = _typical_words(ours, theirs)
     samples = [b"".join(typical[i : i + 8]) for i in range(0, len(typical), 8)]
+    pieces = [t[i : i + PIECE_BYTES] for t in theirs for i in range(0, len(t), PIECE_BYTES)]
     shuffled(samples)
+    shuffled(pieces)
     half = min(PIECES, (len(pieces) + 1) // 2)
     shared = _trained(pieces[:half], SHARED_BYTES)
     return tuple(shared + _filled(_trained(own, OWN_BYTES), own) + PAD for own in (samples, pieces[half : 2 * half]))
