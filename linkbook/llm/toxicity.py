@@ -48,6 +48,8 @@ TOPS = (1, 2, 3, 5)
 # Labelled ids are broadcast up to this size; a row takes about so many bytes of a task's memory.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 MEMO_WINDOWS = 200_000
+# The calibration counts so many average texts as ordinary beside its own rows, so a handful of labels rejects no corpus.
+PRIOR_ROWS = 10
 N_FEATURES = len(SAVINGS) + len(TOPS) + 1
 PUNCTUATION = ".,;:!?\"()"
 
@@ -199,7 +201,11 @@ def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float,
     ridge = np.diag([1e-9] + [penalty] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        curvature, slope = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w
+        average = 1 / (1 + np.exp(-np.clip(w[0], -50, 50)))
+        curvature[0, 0] += PRIOR_ROWS * average * (1 - average)
+        slope[0] -= PRIOR_ROWS * average
+        step = np.linalg.solve(curvature, slope)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -223,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     The dictionaries take about ``SAMPLE_ROWS`` texts of a class at most, the calibration about
     ``CALIBRATION_ROWS`` rows, by hash. Without rows of both labels the score is the share of toxic
-    rows, 0 without rows. Null labels are not used; of several labels of an id the largest holds.
+    rows, ``PRIOR_ROWS`` ordinary ones counted in, 0 without rows. Null labels are not used; of several labels of an id the largest holds.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -242,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     measured = sample.select("label", "text").mapInArrow(_feature_batches(draft), "label int, features array<double>").collect()
     y = np.array([r["label"] for r in measured], float)
     if len(set(y)) < 2:
-        share = float(y.mean()) if len(y) else 0.0
+        share = float(y.sum()) / (len(y) + PRIOR_ROWS)
         return Model(draft.toxic, draft.ordinary, (float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), *[0.0] * N_FEATURES))
     order = np.lexsort([*np.array([r["features"] for r in measured]).T, y])
     return Model(draft.toxic, draft.ordinary, _fitted(np.array([r["features"] for r in measured])[order], y[order]))
