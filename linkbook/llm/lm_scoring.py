@@ -1,11 +1,13 @@
 """LM scoring with a weighted backoff automaton.
 
-Token counts cover all training documents and stay distributed. n-grams up to three words whose
-share of all tokens is at least ``SHARE`` become states and arcs of an automaton: an arc carries
-a smoothed log probability, a failure arc a backoff weight to the next shorter history. There
-can be no more than 1 / SHARE of them per order, which bounds what is broadcast at any size of
-corpus. One left-to-right traversal of each text carries the state. Words outside the
-automaton's table get their exact counts by a join.
+The model holds all words, and all n-grams of two and three words that training documents hold at
+least twice; its counts, probabilities and backoff weights stay distributed. n-grams whose share of
+all tokens is at least ``SHARE`` become states and arcs of an automaton: an arc carries a smoothed
+log probability, a failure arc a backoff weight to the next shorter history. There can be no more
+than 1 / SHARE of them per order, which bounds what is broadcast at any size of corpus. One
+left-to-right traversal of each text carries the state. All other n-grams, and words outside the
+automaton's table, are found by a join: what one adds to the automaton's score of a text does not
+depend on its neighbours, so it is added up by text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkbook.llm.hashing import slices, word_hashes
+from linkbook.llm.hashing import scramble, slices, word_hashes
 from linkbook.plans.staging import stage
 
 SHARE = 1e-6
@@ -139,55 +141,162 @@ def _count_grams(table: Table, share: float, wanted: tuple[np.ndarray, np.ndarra
     return run
 
 
+def _names(table: Table, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each token's place in the table, below zero for words outside it; the beginning stands before each row."""
+    places = table.places(hashes)
+    names = np.where(places >= 0, places, (hashes | np.uint64(1 << 63)).view(np.int64))
+    return np.insert(names, first[:-1], len(table.hashes))
+
+
+def _mixed(*words: np.ndarray) -> np.ndarray:
+    total = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        total = scramble(total + w.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return total.view(np.int64)
+
+
+def _rest(table: Table, often: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """For two and three words: places of the n-grams outside the automaton by their last word, and their words."""
+    begin = len(table.hashes)
+    ids = np.append(table.ids, [table.begin, -1])[np.where(names >= 0, names, begin + 1)]
+    out = []
+    last = np.flatnonzero(names[1:] != begin) + 1
+    for k in (2, 3):
+        if k == 3:
+            last = last[names[last - 1] != begin]
+        words = [names[last - i] for i in range(k - 1, -1, -1)]
+        numbers = [ids[last - i] for i in range(k - 1, -1, -1)]
+        numbered = np.all([n >= 0 for n in numbers], axis=0) if len(last) else np.zeros(0, bool)
+        gram = np.zeros(len(last), np.int64)
+        for n in numbers:
+            gram = (gram << _WORD) | np.maximum(n, 0)
+        held = often[k - 2]
+        if len(held):
+            at = np.minimum(np.searchsorted(held, gram), len(held) - 1)
+            numbered &= held[at] == gram
+        else:
+            numbered[:] = False
+        out.append((last[~numbered], [w[~numbered] for w in words]))
+    return out
+
+
+def _count_rest(table: Table, often: tuple[np.ndarray, np.ndarray]):
+    """Arrow function: (text) -> (u, v, w, n) of the n-grams outside the automaton; u is null for two words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            names = np.concatenate(held)
+            held.clear()
+            for _, words in _rest(table, often, names):
+                _, at, n = np.unique(_mixed(*words), return_index=True, return_counts=True)
+                parts = [pa.array(w[at]) for w in words]
+                if len(parts) == 2:
+                    parts.insert(0, pa.nulls(len(at), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*parts, pa.array(n, pa.int64())], ["u", "v", "w", "n"])
+
+        for batch in batches:
+            for _, _, hashes, first in _tokens(batch.column("text")):
+                held.append(_names(table, hashes, first))
+                if sum(map(len, held)) >= CHUNK_TOKENS // 2:
+                    yield from sums()
+        if held:
+            yield from sums()
+
+    return run
+
+
+def _find_rest(table: Table, often: tuple[np.ndarray, np.ndarray]):
+    """Arrow function: (key, text) -> (key, gram): n-grams outside the automaton, as often as a text holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, hashes, first in _tokens(batch.column("text")):
+                names = _names(table, hashes, first)
+                keys = batch.column("key").slice(at, to - at).to_numpy()
+                ends = first[1:] + np.arange(1, len(first))
+                for last, words in _rest(table, often, names):
+                    rows = np.searchsorted(ends, last, "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(_mixed(*words))], ["key", "gram"])
+
+    return run
+
+
+def _named_grams(table: Table):
+    """Arrow function: (size, gram, n) of the automaton -> (u, v, w, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(table.begin + 1, len(table.hashes), np.int64)
+        known = np.flatnonzero(table.ids >= 0)
+        place[table.ids[known]] = known
+        mask = (1 << _WORD) - 1
+        for batch in batches:
+            size, gram = batch.column("size").to_numpy(), batch.column("gram").to_numpy()
+            u, v, w = (place[(gram >> by) & mask] for by in (2 * _WORD, _WORD, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(u, mask=size == 2), pa.array(v), pa.array(w), batch.column("n")], ["u", "v", "w", "n"])
+
+    return run
+
+
+def _named_words(table: Table):
+    """Arrow function: (word, n) -> (id, word, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("word").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(table, hashes, np.zeros(1, np.int64))), batch.column("word"), batch.column("n")], ["id", "word", "n"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, w, more) -> (gram, more)."""
+    for batch in batches:
+        u, v, w = (batch.column(c) for c in "uvw")
+        three = u.is_valid().to_numpy(zero_copy_only=False)
+        first = u.fill_null(0).to_numpy()
+        gram = np.where(three, _mixed(first, v.to_numpy(), w.to_numpy()), _mixed(v.to_numpy(), w.to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column("more")], ["gram", "more"])
+
+
 class Automaton:
-    """States are histories; an arc has a log probability and a next state, a state a backoff weight and a shorter state."""
+    """States are histories; an arc has a log probability and a next state, a state a backoff weight and a shorter state.
 
-    def __init__(self, table: Table, two: dict[int, int], three: dict[int, int], documents: int) -> None:
+    ``back`` has the log weights of the numbered words and of the beginning, ``back_two`` those of n-grams of
+    two words; both cover all n-grams of the model, also those that are not here.
+    """
+
+    def __init__(self, table: Table, two: dict[int, int], three: dict[int, int], documents: int, back: np.ndarray, back_two: dict[int, float]) -> None:
         mask = (1 << _WORD) - 1
-        z = table.tokens + PRIOR * (table.distinct + 1)
         by_id = np.zeros(table.begin + 1)
         known = table.ids >= 0
         by_id[table.ids[known]] = table.counts[known]
-        one = ((by_id + PRIOR) / z).tolist()
         history = by_id.tolist()
         history[table.begin] = documents
-        states: dict[int, int] = {}
-        for gram in two:
-            states.setdefault(gram >> _WORD, len(states) + 1)
-        self.word_state = [states.get(i, 0) for i in range(table.begin + 1)]
-        pairs = {}
-        for gram in three:
-            pairs.setdefault(gram >> _WORD, len(states) + len(pairs) + 1)
-        n = len(states) + len(pairs) + 1
-        self.fail, self.log_p, self.next = [0] * n, [], []
+        self.word_state = list(range(1, table.begin + 2))
+        self.back, self.fail = [0.0, *back.tolist()], [0] * (table.begin + 2)
+        pairs: dict[int, int] = {}
+        for gram, weight in back_two.items():
+            pairs[gram] = len(self.back)
+            self.back.append(weight)
+            self.fail.append(self.word_state[gram & mask])
         self.arcs: dict[int, int] = {}
-        kept, below = [0.0] * n, [0.0] * n
-        p_two = {}
+        self.log_p: list[float] = []
+        self.next: list[int] = []
 
-        def arc(state: int, word: int, p: float, lower: float, to: int) -> None:
+        def arc(state: int, word: int, p: float, to: int) -> None:
             self.arcs[(state << _WORD) | word] = len(self.log_p)
             self.log_p.append(float(np.log10(p)))
             self.next.append(to)
-            kept[state] += p
-            below[state] += lower
 
         for gram, count in two.items():
             v, w = gram >> _WORD, gram & mask
-            p_two[gram] = (count - DISCOUNT) / history[v]
-            arc(states[v], w, p_two[gram], one[w], pairs.get(gram, self.word_state[w]))
-        weight = [1.0] * n
-        for v, s in states.items():
-            weight[s] = max(1 - kept[s], 1e-12) / max(1 - below[s], 1e-12)
+            arc(self.word_state[v], w, (count - DISCOUNT) / history[v], pairs.get(gram, self.word_state[w]))
         for gram, count in three.items():
             pair, w = gram >> _WORD, gram & mask
-            v = pair & mask
-            tail = (v << _WORD) | w
-            lower = p_two.get(tail, weight[self.word_state[v]] * one[w])
-            arc(pairs[pair], w, (count - DISCOUNT) / two[pair], lower, pairs.get(tail, self.word_state[w]))
-        for pair, s in pairs.items():
-            weight[s] = max(1 - kept[s], 1e-12) / max(1 - below[s], 1e-12)
-            self.fail[s] = self.word_state[pair & mask]
-        self.back = np.log10(weight).tolist()
+            tail = ((pair & mask) << _WORD) | w
+            arc(pairs[pair], w, (count - DISCOUNT) / two[pair], pairs.get(tail, self.word_state[w]))
         self.start = self.word_state[table.begin]
 
     def score(self, ids: list[int], alone: list[float]) -> float:
@@ -215,16 +324,18 @@ class Automaton:
 
 
 def _score(table: Table, build):
-    """Arrow function: (doc_id, held_out, text) -> sums over the known tokens, and the other tokens with their numbers."""
+    """Arrow function: (doc_id, held_out, text, key) -> sums over the known tokens, and the other tokens with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build()
+        automaton, back = build()
         z = table.tokens + PRIOR * (table.distinct + 1)
         alone = np.append(np.log10((table.counts + PRIOR) / z), 0.0)
+        # A word without a number is no state: its weight goes with it.
+        reset = alone + np.append(np.where(table.ids < 0, back, 0.0), 0.0)
         for batch in batches:
             for at, to, hashes, first in _tokens(batch.column("text")):
                 places = table.places(hashes)
-                ids, own = np.append(table.ids, -1)[places], alone[places]
+                ids, own, used = np.append(table.ids, -1)[places], alone[places], reset[places]
                 n, known, base, score, rare, times = [], [], [], [], [], []
                 for i in range(to - at):
                     a, b = first[i], first[i + 1]
@@ -232,17 +343,17 @@ def _score(table: Table, build):
                     n.append(int(b - a))
                     known.append(int(b - a - count.sum()))
                     base.append(float(own[a:b].sum()))
-                    score.append(automaton.score(ids[a:b].tolist(), own[a:b].tolist()))
+                    score.append(automaton.score(ids[a:b].tolist(), used[a:b].tolist()))
                     rare.append(other.view(np.int64))
                     times.append(count)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, to - at), batch.column("held_out").slice(at, to - at),
-                        pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                        batch.column("key").slice(at, to - at), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
                         pa.array(score, pa.float64()), pa.array(rare, longs), pa.array(times, longs),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "scored", "rare", "times"],
+                    ["doc_id", "held_out", "key", "n_tokens", "known", "base", "scored", "rare", "times"],
                 )
 
     return run
@@ -299,42 +410,113 @@ def score(docs: DataFrame, share: float = SHARE, table_words: int = TABLE_WORDS)
     size, gram = _arrays(stage(hopeful, "lm-hopeful"), "size", "gram")
     wanted = (np.sort(gram[size == 2]), np.sort(gram[size == 3]))
     exact = chunked.mapInArrow(_count_grams(table, share, wanted), schema).groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    size, gram, n = _arrays(stage(exact.where(F.col("n") >= least), "lm-exact").orderBy("size", "gram"), "size", "gram", "n")
+    exact_grams = stage(exact.where(F.col("n") >= least), "lm-exact")
+    size, gram, n = _arrays(exact_grams.orderBy("size", "gram"), "size", "gram", "n")
+    often = (np.sort(gram[size == 2]), np.sort(gram[size == 3]))
     grams = [dict(zip(gram[size == k].tolist(), n[size == k].tolist(), strict=True)) for k in (2, 3)]
     documents = ends["n"] if ends else 0
-    pieces = docs.sparkSession.sparkContext.broadcast((table, grams, documents))
+    model = _model(counts, learnt, exact_grams, table, often, documents)
+    # Weights of the words of the table, and of the automaton's n-grams of two words.
+    at, back = _arrays(model.back.where(F.col("v").between(0, len(table.hashes))), "v", "back")
+    backs = np.zeros(len(table.hashes) + 1)
+    backs[at] = back
+    v, w, back = _arrays(model.back_two.where("often").select("v", "w", "back"), "v", "w", "back")
+    ids = np.append(table.ids, table.begin)
+    back_two = dict(zip(((ids[v] << _WORD) | ids[w]).tolist(), back.tolist(), strict=True))
+    pieces = docs.sparkSession.sparkContext.broadcast((table, grams, documents, backs, back_two))
+
+    def build() -> tuple[Automaton, np.ndarray]:
+        t, (two, three), d, all_back, pair_back = pieces.value
+        numbered = np.zeros(t.begin + 1)
+        known = np.append(t.ids, t.begin)
+        numbered[known[known >= 0]] = all_back[known >= 0]
+        return Automaton(t, two, three, d, numbered, pair_back), all_back[:-1]
+
+    return _finished(rows, model, table, often, build)
+
+
+@dataclass
+class Model:
+    """What is joined: ``words`` (word, n, back), ``back`` (v, back), ``back_two`` (v, w, often, back) and ``rest`` (gram, more)."""
 
-    def build() -> Automaton:
-        t, (two, three), d = pieces.value
-        return Automaton(t, two, three, d)
+    words: DataFrame
+    back: DataFrame
+    back_two: DataFrame
+    rest: DataFrame
 
-    return _finished(rows, counts, table, build)
+
+def _model(counts: DataFrame, learnt: DataFrame, exact: DataFrame, table: Table, often: tuple[np.ndarray, np.ndarray], documents: int) -> Model:
+    """Probabilities and backoff weights over all n-grams that occur at least twice.
+
+    With log weights, the score of a word after two others is that of the word alone, plus the weight
+    of the word before it, plus what the pair adds, plus the pair's weight, plus what the three add.
+    So an n-gram's share in a text's score is the same wherever it stands.
+    """
+    schema = "u bigint, v bigint, w bigint, n bigint"
+    rest = learnt.mapInArrow(_count_rest(table, often), schema).groupBy("u", "v", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    named = exact.mapInArrow(_named_grams(table), schema)
+    grams = stage(named.withColumn("often", F.lit(True)).unionByName(rest.withColumn("often", F.lit(False))), "lm-model")
+    start = counts.sparkSession.range(1).select(F.lit(len(table.hashes)).cast("long").alias("id"), F.lit(None).cast("long").alias("word"), F.lit(documents).cast("long").alias("n"))
+    numbered = counts.mapInArrow(_named_words(table), "id bigint, word bigint, n bigint")
+    words = stage(numbered.unionByName(start), "lm-numbered")
+    z = F.lit(table.tokens + PRIOR * (table.distinct + 1))
+    weight = F.log10(F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("lower"), F.lit(1e-12))).alias("back")
+    two = grams.where("u is null").join(words.select(F.col("id").alias("v"), F.col("n").alias("of")), "v").join(
+        words.select(F.col("id").alias("w"), ((F.col("n") + PRIOR) / z).alias("lower")), "w"
+    ).select("v", "w", "n", "often", "lower", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p"))
+    two = stage(two, "lm-two")
+    back = stage(two.groupBy("v").agg(weight), "lm-back")
+    three = grams.where("u is not null").join(two.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n").alias("of")), ["u", "v"]).join(
+        two.select("v", "w", F.col("p").alias("lower")), ["v", "w"]
+    ).select("u", "v", "w", "often", "lower", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p"))
+    three = stage(three, "lm-three")
+    back_two = stage(
+        three.groupBy("u", "v").agg(weight).select(F.col("u").alias("v"), F.col("v").alias("w"), "back")
+        .join(two.select("v", "w", "often"), ["v", "w"]), "lm-back-two",
+    )
+    more_two = two.where("not often").join(back, "v").join(back_two.select("v", "w", F.col("back").alias("own")), ["v", "w"], "left").select(
+        F.lit(None).cast("long").alias("u"), "v", "w", (F.log10("p") - F.log10("lower") - F.col("back") + F.coalesce("own", F.lit(0.0))).alias("more")
+    )
+    more_three = three.where("not often").join(back_two.select(F.col("v").alias("u"), F.col("w").alias("v"), "back"), ["u", "v"]).select(
+        "u", "v", "w", (F.log10("p") - F.log10("lower") - F.col("back")).alias("more")
+    )
+    keyed = more_two.unionByName(more_three).mapInArrow(_keyed, "gram bigint, more double")
+    joined = words.where("word is not null and id < 0").join(back.withColumnRenamed("v", "id"), "id", "left").select("word", "n", F.coalesce("back", F.lit(0.0)).alias("back"))
+    return Model(joined, back, back_two, keyed)
 
 
-def _finished(rows: DataFrame, counts: DataFrame, table: Table, build) -> DataFrame:
+def _finished(rows: DataFrame, model: Model, table: Table, often: tuple[np.ndarray, np.ndarray], build) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, scored double, "
+        f"doc_id {id_type}, held_out boolean, key bigint, n_tokens bigint, known bigint, base double, scored double, "
         "rare array<bigint>, times array<bigint>"
     )
     z = table.tokens + PRIOR * (table.distinct + 1)
+    keyed = rows.withColumn("key", F.xxhash64("text"))
     scored = stage(
-        rows.mapInArrow(_score(table, build), schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored"
+        keyed.mapInArrow(_score(table, build), schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored"
     )
     others = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("o")).select(
         "row", F.col("o.rare").alias("word"), F.col("o.times").alias("times")
     )
     count = F.coalesce("n", F.lit(0))
-    found = others.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((count + PRIOR) / F.lit(z))).alias("more"),
+    alone = F.log10((count + PRIOR) / F.lit(z))
+    found = others.join(model.words, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * alone).alias("more"),
+        F.sum(F.col("times") * (alone + F.coalesce("back", F.lit(0.0)))).alias("more_score"),
         F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
-    more = F.coalesce("more", F.lit(0.0))
-    empty = table.tokens == 0
-    final = lambda c: F.lit(0.0) if empty else F.col(c) + more
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(table.tokens).cast("long").alias("train_tokens"), final("base").alias("base_score"), final("scored").alias("score"),
+    # Equal texts hold the same n-grams: their sum is that of one text times their number.
+    held = keyed.select("key", "text").mapInArrow(_find_rest(table, often), "key bigint, gram bigint")
+    sums = held.join(model.rest, "gram").groupBy("key").agg(F.sum("more").alias("grams"))
+    sums = sums.join(scored.groupBy("key").agg(F.count("*").alias("copies")), "key").select("key", (F.col("grams") / F.col("copies")).alias("grams"))
+    known = F.col("known") + F.coalesce("more_known", F.lit(0))
+    base, whole = F.col("base") + F.coalesce("more", F.lit(0.0)), F.col("scored") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("grams", F.lit(0.0))
+    if table.tokens == 0:
+        base = whole = F.lit(0.0)
+    return scored.join(found, "row", "left").join(sums, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"),
+        F.lit(table.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"),
     )
 
 

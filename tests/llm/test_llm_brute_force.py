@@ -168,6 +168,13 @@ def test_frequent_grams_survive_small_chunks(docs, monkeypatch):
     assert all(math.isclose(whole[i], cut[i], rel_tol=1e-12) for i in whole)
 
 
+def test_grams_outside_the_automaton_count_fully(docs):
+    """What the automaton leaves out, by its share or its table of words, is joined: the scores do not change."""
+    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    for r in lm_scoring.score(docs, share=4e-3, table_words=50).collect():
+        assert math.isclose(r["score"], whole[r["doc_id"]], rel_tol=1e-9)
+
+
 def test_quality_counts_and_outliers(spark, docs, texts):
     rng = random.Random(3)
     junk = {1000 + i: " ".join(w + "$$$" for w in rng.choices(texts[1].split() + ["odd", "word"], k=90)) for i in range(6)}
