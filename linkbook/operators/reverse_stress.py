@@ -2,12 +2,13 @@
 
 A grid of severities of both families runs as scenarios of one job; the smallest
 severity at or above the target is an aggregate over that grid. Targets beyond any fixed
-grid are searched for: severities double until they reach it, then the interval is halved,
-one job a step for all targets.
+grid are searched for between the ends of the scale: metrics grow almost in a line, so a few
+steps suffice, one job a step for all targets.
 """
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -78,37 +79,40 @@ LARGEST = {"downgrade": len(P.RATING_ORDER) - 1, "exposure": 1 << 14}
 def search(book: Book, targets: DataFrame, largest: dict[str, int] | None = None) -> DataFrame:
     """:func:`min_shock` without a grid to stay in: ``targets`` as there, answered up to ``largest``.
 
-    Metrics do not fall as the severity grows. The targets are the question, a few rows; each step
-    evaluates the severities that they ask for next, all in one job.
+    Metrics do not fall as the severity grows. The targets are the question, a few rows. The first job
+    evaluates every notch and the largest uplift; each further one, for every open target, where a line
+    between the severities around it would reach it, the severity before that, and their geometric mean.
     """
     largest = largest or LARGEST
-    base = {r["metric"]: r["value"] for r in _values(book, [BASE]).collect()}
-    open_ = {}
-    for r in targets.collect():
-        asked = r.asDict()
-        family = asked.get("family") or DEFAULT_FAMILY[asked["metric"]]
-        goal = asked["target"] if asked.get("target") is not None else asked["multiple"] * base[asked["metric"]]
-        open_[asked["metric"], family, goal] = (0, None, 1)  # below it, reached at, asked next
+    ends = {"downgrade": list(range(1, largest["downgrade"] + 1)), "exposure": [1, largest["exposure"]]}
     known: dict[tuple[str, int], dict[str, float]] = {}
-    while any(probe is not None for *_, probe in open_.values()):
-        wanted = {(family, probe) for (_, family, _), (*_, probe) in open_.items() if probe is not None} - set(known)
-        if wanted:
-            for r in _values(book, [BASE, *[_shock(f, n) for f, n in sorted(wanted)]]).collect():
-                known.setdefault((r["family"], r["severity"]), {})[r["metric"]] = r["value"]
-        for (metric, family, goal), (below, reached, probe) in open_.items():
-            if probe is None:
-                continue
-            if known[family, probe][metric] >= goal:
-                reached = probe
-            else:
-                below = probe
-            if reached is None:
-                probe = min(2 * below, largest[family]) if below < largest[family] else None
-            else:
-                probe = (below + reached) // 2 if reached - below > 1 else None
-            open_[metric, family, goal] = (below, reached, probe)
+
+    def evaluate(wanted: set[tuple[str, int]]) -> None:
+        for r in _values(book, [BASE, *[_shock(f, n) for f, n in sorted(wanted)]]).collect():
+            known.setdefault((r["family"], r["severity"]), {})[r["metric"]] = r["value"]
+
+    asked = [r.asDict() for r in targets.collect()]
+    families = [r.get("family") or DEFAULT_FAMILY[r["metric"]] for r in asked]
+    evaluate({(f, n) for f in set(families) for n in ends[f]})
+    base = known["base", 0]
+    open_ = {}
+    for r, family in zip(asked, families, strict=True):
+        goal = r["target"] if r.get("target") is not None else r["multiple"] * base[r["metric"]]
+        open_[r["metric"], family, goal] = (0, None)  # below it, reached at
+    while True:
+        wanted = set()
+        for metric, family, goal in open_:
+            tried = sorted((n, v[metric]) for (f, n), v in known.items() if f == family)
+            below = max((n for n, v in tried if v < goal), default=0)
+            reached = min((n for n, v in tried if v >= goal), default=None)
+            open_[metric, family, goal] = (below, reached)
+            if reached is not None and reached - below > 1:
+                wanted |= {(family, n) for n in _between(below, reached, *(dict([(0, base[metric]), *tried])[n] for n in (below, reached)), goal)}
+        if not wanted:
+            break
+        evaluate(wanted)
     rows = []
-    for (metric, family, goal), (below, reached, _) in open_.items():
+    for (metric, family, goal), (below, reached) in open_.items():
         rows.append((metric, family, float(goal), float(base[metric]), reached, float(known[family, reached or below][metric]), below))
     answers = book.loans.sparkSession.createDataFrame(
         rows, "metric string, family string, target double, base_value double, severity int, achieved double, searched_to int"
@@ -119,6 +123,13 @@ def search(book: Book, targets: DataFrame, largest: dict[str, int] | None = None
     )
 
 
+def _between(below: int, reached: int, low: float, high: float, goal: float) -> set[int]:
+    """Severities to try next, all between the two."""
+    guess = below + math.ceil((goal - low) / (high - low) * (reached - below)) if high > low else below + 1
+    tried = (guess - 1, guess, math.isqrt(max(below, 1) * reached))
+    return {min(max(n, below + 1), reached - 1) for n in tried}
+
+
 def _label() -> Column:
     n = F.col("severity")
     return (

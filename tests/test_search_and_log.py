@@ -90,3 +90,38 @@ def test_book_follows_its_tables(spark, tmp_path):
     n = first.loans.count()
     spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(10).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
     assert n > 10 and queries.book_of(spark, str(tmp_path)).loans.count() == 10
+
+
+def test_search_takes_few_jobs(spark, monkeypatch):
+    """The ends of the scale and lines between them find every severity in a few evaluations."""
+    book = make_book(spark, **random_rows(2, entities=12, loans=20))
+    value = {
+        ("expected_loss", "exposure"): lambda n: max(0.0, 100.0 * (10 + n) / 10 - 70),
+        ("capital", "exposure"): lambda n: 50.0 + n // 3,
+        ("capital_pct_eligible", "exposure"): lambda n: 1.0 if n < 5000 else 4.0,
+        ("limit_breaches", "exposure"): lambda n: min(900.0, 20 + 3 * n**0.5),
+    }
+    for metric in reverse_stress.METRICS:
+        value[metric, "downgrade"] = lambda n: 10.0 + n * n
+        value[metric, "base"] = lambda n, f=value[metric, "exposure"]: f(0)
+    steps = []
+
+    class Evaluated(list):
+        def collect(self):
+            return self
+
+    def values(_, shocks):
+        steps.append(len(shocks))
+        at = [(f, int(n or 0)) for f, _, n in (s.key.partition(":") for s in shocks)]
+        return Evaluated({"family": f, "severity": n, "metric": m, "value": value[m, f](n)} for f, n in at for m in reverse_stress.METRICS)
+
+    monkeypatch.setattr(reverse_stress, "_values", values)
+    rows = [(m, x, f) for m in reverse_stress.METRICS for x in (1.0, 1.5, 3.0, 12.0, 900.0) for f in reverse_stress.FAMILIES]
+    got = reverse_stress.search(book, spark.createDataFrame(rows, "metric string, multiple double, family string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        tried = range(1, reverse_stress.LARGEST[r.family] + 1)
+        found = next((n for n in tried if value[r.metric, r.family](n) >= r.target), None)
+        assert (r.severity, r.achieved) == (found, value[r.metric, r.family](found or tried[-1]))
+        assert r.searched_to == (found or tried[-1])
+    assert len(steps) <= 12
