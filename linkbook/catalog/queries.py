@@ -465,9 +465,9 @@ def _downgrades(book: Book) -> DataFrame:
     return book.entities.select("entity_id", "rating", *lowered)
 
 
-def _scoped_dashboard(book: Book) -> dict[str, DataFrame]:
-    """The dashboard of a manager whose portfolio is the groups at or over their limits."""
-    return dashboard(book, breaching_heads(book))
+def _scoped_dashboard(book: Book, part: str) -> DataFrame:
+    """A part of the dashboard of a manager whose portfolio is the groups at or over their limits."""
+    return dashboard(book, breaching_heads(book), (part,))[part]
 
 
 def _filtered_el(book: Book) -> DataFrame:
@@ -652,15 +652,15 @@ BOOK_QUERIES: dict[str, BookQuery] = {
     "audit_chain_problems": lambda s, b: audit.chain_problems(audit_lines(b)),
     # access
     "group_grants": lambda s, b: access.grants(managers(b), access.candidate_groups(b)),
-    "dashboard_hhi": lambda s, b: rounded(_scoped_dashboard(b)["hhi"], "direct_hhi", "connected_hhi", places=8),
-    "dashboard_cr10": lambda s, b: rounded(_scoped_dashboard(b)["cr10"], "direct_cr", "connected_cr"),
-    "dashboard_sectors": lambda s, b: rounded(_scoped_dashboard(b)["sectors"], "share"),
-    "dashboard_countries": lambda s, b: rounded(_scoped_dashboard(b)["countries"], "share"),
-    "dashboard_ratings": lambda s, b: rounded(_scoped_dashboard(b)["ratings"], "share"),
-    "scoped_watchlist": lambda s, b: rounded(_scoped_dashboard(b)["watchlist"], "utilisation"),
-    "scoped_wrong_way": lambda s, b: _scoped_dashboard(b)["wwr"].select("loan_id", "borrower", "collateral", "issuer"),
+    "dashboard_hhi": lambda s, b: rounded(_scoped_dashboard(b, "hhi"), "direct_hhi", "connected_hhi", places=8),
+    "dashboard_cr10": lambda s, b: rounded(_scoped_dashboard(b, "cr10"), "direct_cr", "connected_cr"),
+    "dashboard_sectors": lambda s, b: rounded(_scoped_dashboard(b, "sectors"), "share"),
+    "dashboard_countries": lambda s, b: rounded(_scoped_dashboard(b, "countries"), "share"),
+    "dashboard_ratings": lambda s, b: rounded(_scoped_dashboard(b, "ratings"), "share"),
+    "scoped_watchlist": lambda s, b: rounded(_scoped_dashboard(b, "watchlist"), "utilisation"),
+    "scoped_wrong_way": lambda s, b: _scoped_dashboard(b, "wwr").select("loan_id", "borrower", "collateral", "issuer"),
     "group_access": lambda s, b: _allowed(b),
-    "scoped_exposures": lambda s, b: _scoped_dashboard(b)["exposures"],
+    "scoped_exposures": lambda s, b: _scoped_dashboard(b, "exposures"),
     "limit_edit_gate": lambda s, b: access.gate_limit_edits(amount_changes(b)).select(
         "change_id", "allowed", "refusal"
     ),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +16,28 @@ from linkbook.operators.wrong_way import structural_wwr
 from linkbook.plans.staging import stage
 
 
-def dashboard(book: Book, visible: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Named DataFrames over one book; ownership and shared links are walked once."""
-    flags = structural_wwr(book)
-    if visible is not None:
+PARTS = ("hhi", "cr10", "sectors", "countries", "ratings", "watchlist", "wwr", "exposures")
+
+
+def dashboard(book: Book, visible: DataFrame | None = None, parts: Sequence[str] = PARTS) -> dict[str, DataFrame]:
+    """Named DataFrames over one book; only the ``parts`` asked for cost anything."""
+    if visible is not None and {"watchlist", "wwr", "exposures"} & set(parts):
         visible = stage(visible.select("head").distinct(), "visible")
-        flags = scope_rows(
-            flags.withColumn("entity_id", F.col("borrower")), book, visible, ("entity_id",)
-        ).drop("entity_id")
-    return {
-        "hhi": C.hhi_direct_connected(book),
-        "cr10": C.cr_direct_connected(book),
-        "sectors": C.sector_shares(book),
-        "countries": C.country_shares(book),
-        "ratings": C.rating_shares(book),
-        "watchlist": scope_rows(watchlist(book), book, visible, ("entity_id",)),
+
+    def flags() -> DataFrame:
+        rows = structural_wwr(book)
+        if visible is None:
+            return rows
+        return scope_rows(rows.withColumn("entity_id", F.col("borrower")), book, visible, ("entity_id",)).drop("entity_id")
+
+    made: dict[str, Callable[[], DataFrame]] = {
+        "hhi": lambda: C.hhi_direct_connected(book),
+        "cr10": lambda: C.cr_direct_connected(book),
+        "sectors": lambda: C.sector_shares(book),
+        "countries": lambda: C.country_shares(book),
+        "ratings": lambda: C.rating_shares(book),
+        "watchlist": lambda: scope_rows(watchlist(book), book, visible, ("entity_id",)),
         "wwr": flags,
-        "exposures": scope_rows(attributed_view(book), book, visible, ("owner",)),
+        "exposures": lambda: scope_rows(attributed_view(book), book, visible, ("owner",)),
     }
+    return {name: made[name]() for name in parts}

@@ -286,3 +286,11 @@ def test_one_limit_rule_for_subsidiaries(spark):
     listed = limits.breaching_subsidiaries(book).collect()
     assert (row.subsidiary_breaches, row.ubo_breaches) == (1, False)
     assert [(r["head"], r.entity_id) for r in listed] == [("H", "S")]
+
+
+def test_dashboard_builds_the_asked_parts_only(stressed, monkeypatch):
+    whole = dashboard.dashboard(stressed)
+    for name in ("hhi_direct_connected", "cr_direct_connected", "sector_shares"):
+        monkeypatch.setattr(dashboard.C, name, lambda book: pytest.fail("not asked for"))
+    part = dashboard.dashboard(stressed, parts=("exposures",))
+    assert set(part) == {"exposures"} and sorted(part["exposures"].collect()) == sorted(whole["exposures"].collect())
