@@ -13,6 +13,7 @@ from linkbook.book import Book
 from linkbook.operators.exposure import PRINCIPAL
 from linkbook.operators.mitigation import net_exposure
 from linkbook.operators.ownership import group_members, top_level_names
+from linkbook.plans.joins import merged
 from linkbook.plans.staging import Growing, stage, stage_all
 from linkbook.schema import SUM_MONEY
 
@@ -147,7 +148,7 @@ def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str)
     """Facts of every possible unit: a guarantor with what it takes down, or a seed with its group."""
     possible = edges.select(F.col("guarantor").alias("unit")).union(seeds.select(F.col("seed").alias("unit"))).distinct()
     members = group_members(book, contagion_group).select(F.col("head").alias("unit"), "member")
-    inside = stage(members.join(possible, "unit", "left_semi"), "inside")
+    inside = merged(stage(members.join(merged(possible), "unit", "left_semi"), "inside"))
     guarantors = edges.select(F.col("guarantor").alias("member")).distinct()
     held = inside.join(guarantors, "member", "left_semi").select(F.col("unit").alias("holder"), F.col("member").alias("unit"))
     pledges = (
@@ -160,8 +161,8 @@ def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str)
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(SUM_MONEY).alias(c)
     facts = lambda: (
-        inside.join(pledges, "member", "left")
-        .join(booked, "member", "left")
+        inside.join(merged(pledges), "member", "left")
+        .join(merged(booked), "member", "left")
         .groupBy("unit")
         .agg(F.count("*").alias("n"), total("value"), total("booked"))
     )
@@ -169,16 +170,16 @@ def _units(book: Book, edges: DataFrame, seeds: DataFrame, contagion_group: str)
     net = net_exposure(book).select(F.col("entity_id").alias("guarantor"), "net")
     owed = (
         inside.withColumnRenamed("member", "borrower")
-        .join(by_borrower, "borrower")
+        .join(merged(by_borrower), "borrower")
         .groupBy("unit", "guarantor")
         .agg(F.sum("amount").cast(SUM_MONEY).alias("amount"))
-        .join(inside.withColumnRenamed("member", "guarantor"), ["unit", "guarantor"], "left_anti")
-        .join(net, "guarantor", "left")
+        .join(merged(inside.withColumnRenamed("member", "guarantor")), ["unit", "guarantor"], "left_anti")
+        .join(merged(net), "guarantor", "left")
         .select("unit", "guarantor", "amount", F.coalesce("net", F.lit(0)).cast(NET).alias("net"))
     )
     pledges, owed = stage_all({"pledges": pledges, "owed": owed})
     pledged = pledges.agg(F.sum("value")).first()[0] or 1
-    facts = stage(facts(), "facts")
+    facts = merged(stage(facts(), "facts"))
     return _Units(inside, stage(held.join(facts, "unit"), "held"), facts, owed, float(pledged))
 
 
@@ -237,6 +238,7 @@ def cascade_state(
             return failed.rows(), _shared(failed.rows()), units
 
 
+# The rounds repeat their joins, and every broadcast passes through the driver, so they say MERGE.
 # What guarantors owe for the seeds of which the last round added something; seeds with equal sets go on as one run.
 _OWING = """
 WITH moving AS (
@@ -247,9 +249,9 @@ WITH moving AS (
 runs AS (SELECT min(seed) AS seed, first(dumped) AS dumped, name1, name2 FROM moving GROUP BY name1, name2),
 owing AS (
   SELECT seed, guarantor, CAST(sum(amount) AS DECIMAL(30,2)) AS amount, first(net) AS net FROM (
-    SELECT seed, guarantor, CAST(sign * amount AS DECIMAL(30,2)) AS amount, net FROM {fresh} JOIN {owed} USING (unit){carried})
+    SELECT /*+ MERGE(o) */ seed, guarantor, CAST(sign * amount AS DECIMAL(30,2)) AS amount, net FROM {fresh} JOIN {owed} o USING (unit){carried})
   GROUP BY seed, guarantor)
-SELECT * FROM owing JOIN runs USING (seed)
+SELECT /*+ MERGE(runs) */ * FROM owing JOIN runs USING (seed)
 """
 # Guarantors that owe more than the buffer, which shrinks with the fire sale.
 _FAILING = """amount > CAST(round(:fraction * (1 - least(:cap, :sensitivity * CAST(dumped AS DOUBLE) / :pledged)), 12) AS DECIMAL(13,12)) * net"""
@@ -262,13 +264,13 @@ WITH asked AS (SELECT seed, guarantor AS unit, dumped, name1, name2 FROM {owing}
 standing AS (SELECT seed, unit AS holder FROM {failed} GROUP BY seed, unit HAVING sum(sign) > 0),
 holders AS (SELECT seed, holder, true AS old FROM standing UNION ALL SELECT seed, unit, false FROM asked),
 new AS (
-  SELECT seed, unit, first(n) AS n, first(value) AS value, first(booked) AS booked,
+  SELECT /*+ MERGE(h, holders) */ seed, unit, first(n) AS n, first(value) AS value, first(booked) AS booked,
     first(dumped) AS dumped, first(name1) AS name1, first(name2) AS name2
-  FROM asked JOIN {held} USING (unit) LEFT JOIN holders USING (seed, holder)
+  FROM asked JOIN {held} h USING (unit) LEFT JOIN holders USING (seed, holder)
   GROUP BY seed, unit HAVING NOT max(coalesce(old OR holder <> unit AND old IS NOT NULL, false)))
 SELECT seed, unit, 1 AS sign, n, value, booked, dumped, name1, name2 FROM new
 UNION ALL
-SELECT new.seed, h.unit, -1, h.n, h.value, h.booked, dumped, name1, name2
+SELECT /*+ MERGE(h, s) */ new.seed, h.unit, -1, h.n, h.value, h.booked, dumped, name1, name2
 FROM new JOIN {held} h ON h.holder = new.unit AND h.unit <> h.holder
 LEFT SEMI JOIN standing s ON s.seed = new.seed AND s.holder = h.unit
 """
@@ -280,7 +282,7 @@ def _shared(failed: DataFrame) -> DataFrame:
         *[(F.first(c) + _named(n)).alias(c) for n, c in ((1, "name1"), (2, "name2"))]
     )
     runs = after.groupBy("round", "name1", "name2").agg(F.min("seed").alias("run"))
-    return after.join(runs, ["round", "name1", "name2"]).filter("seed <> run").select("seed", "run")
+    return after.join(merged(runs), ["round", "name1", "name2"]).filter("seed <> run").select("seed", "run")
 
 
 def cascade_multiround(
@@ -318,14 +320,14 @@ def cascade_multiround(
         _haircut(F.sum(before).cast(SUM_MONEY), units.pledged, firesale_sensitivity).alias("haircut"),
     )
     initial = failed.filter("round = 0").select(F.col("seed").alias("asked"), F.col("n").alias("initial"))
-    runs = initial.join(_runs(shared), "asked", "left").select("asked", "initial", F.coalesce("run", "asked").alias("seed"))
+    runs = initial.join(merged(_runs(shared)), "asked", "left").select("asked", "initial", F.coalesce("run", "asked").alias("seed"))
     standing = stage(_standing(failed), "standing")
-    covered = _covered(standing.join(runs.select("seed").distinct(), "seed", "left_semi"), units.inside, edges)
+    covered = _covered(standing.join(merged(runs.select("seed").distinct()), "seed", "left_semi"), units.inside, edges)
     effective = F.least(F.lit(1.0), F.lit(float(lgd)) + F.col("haircut"))
     exposed = (F.col("gross") - F.coalesce("covered", F.lit(0)).cast(SUM_MONEY)).cast("double")
     return (
-        runs.join(status, "seed")
-        .join(covered, "seed", "left")
+        runs.join(merged(status), "seed")
+        .join(merged(covered), "seed", "left")
         .select(
             F.col("asked").alias("seed"),
             "rounds",
@@ -346,7 +348,7 @@ def _runs(shared: DataFrame) -> DataFrame:
     while True:
         # A seed joins a run once, and that run has a smaller id: pointers double until none moves.
         onward = links.select(F.col("asked").alias("run"), F.col("run").alias("next"))
-        moved = links.join(onward, "run", "left").select("asked", F.coalesce("next", "run").alias("run"), F.col("next").isNotNull().alias("moved"))
+        moved = links.join(merged(onward), "run", "left").select("asked", F.coalesce("next", "run").alias("run"), F.col("next").isNotNull().alias("moved"))
         moved = stage(moved, "runs")
         links = moved.drop("moved")
         if moved.filter("moved").isEmpty():
@@ -356,19 +358,19 @@ def _runs(shared: DataFrame) -> DataFrame:
 def _covered(standing: DataFrame, inside: DataFrame, edges: DataFrame) -> DataFrame:
     """``seed, covered``: active loans to defaulted borrowers that a guarantor outside the seed's set backs."""
     live = edges.filter(F.col("status") == "active").select("loan_id", "borrower", "guarantor", PRINCIPAL)
-    by_unit = inside.withColumnRenamed("member", "borrower").join(live, "borrower")
-    by_unit = by_unit.join(inside.withColumnRenamed("member", "guarantor"), ["unit", "guarantor"], "left_anti")
-    backed = standing.join(by_unit, "unit").select("seed", "loan_id", "guarantor", PRINCIPAL)
+    by_unit = inside.withColumnRenamed("member", "borrower").join(merged(live), "borrower")
+    by_unit = by_unit.join(merged(inside.withColumnRenamed("member", "guarantor")), ["unit", "guarantor"], "left_anti")
+    backed = standing.join(merged(by_unit), "unit").select("seed", "loan_id", "guarantor", PRINCIPAL)
     holders = inside.select(F.col("unit").alias("holder"), F.col("member").alias("guarantor"))
     gone = (
         backed.select("seed", "guarantor")
         .distinct()
-        .join(holders, "guarantor")
-        .join(standing.withColumnRenamed("unit", "holder"), ["seed", "holder"], "left_semi")
+        .join(merged(holders), "guarantor")
+        .join(merged(standing.withColumnRenamed("unit", "holder")), ["seed", "holder"], "left_semi")
         .select("seed", "guarantor")
     )
     return (
-        backed.join(gone, ["seed", "guarantor"], "left_anti")
+        backed.join(merged(gone), ["seed", "guarantor"], "left_anti")
         .groupBy("seed", "loan_id")
         .agg(F.first(PRINCIPAL).alias("amount"))
         .groupBy("seed")
