@@ -2,7 +2,8 @@
 
 Copies of a text are one row from the start. In a band's bucket every text is compared with one
 head, another one in each band. Texts that this connects need no further comparison; two texts
-of a bucket that are still apart are compared, unless the sizes of their sets rule it out. So a
+of a bucket that are still apart are compared, unless the sizes of their sets rule it out; in
+buckets of more than ``CROWD`` texts this happens inside blocks, without listing the pairs. So a
 bucket of near copies is not expanded into pairs, and no similar pair of a bucket is missed.
 Connected groups are the classes. The links of a text are then counted inside its class, block
 by block, without emitting pairs.
@@ -27,7 +28,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 320
-# Shingles of one block when the links of a class are counted; classes with more are cut into blocks.
+# Buckets of more texts are compared inside blocks; pairs of the others are listed.
+CROWD = 16
+# Shingles of one block of a class or of a crowded bucket; those with more are cut into blocks.
 BLOCK_SHINGLES = 400_000
 
 
@@ -147,6 +150,57 @@ def _count_links(threshold: float):
     return run
 
 
+def _placed(rows: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+    """``by``, key, grams and ``more`` of each text for every pair ``i``, ``j`` of blocks that it takes part in.
+
+    ``side``: 0 left, 1 right, 2 both, where a block meets itself. Groups of one text have no rows.
+    """
+    big = rows.groupBy(*by).agg(F.sum(F.size("grams").cast("long")).alias("grams_all"), F.count("*").alias("texts")).where("texts > 1")
+    blocks = F.ceil(F.col("grams_all") / BLOCK_SHINGLES).cast("int")
+    cut = rows.join(big, by).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # A text of block i takes part in the pairs (i, j) with j >= i on the left and (j, i) with j < i on the right.
+    kept = [*by, "key", "grams", *more]
+    paired = cut.select(*kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return paired.select(
+        *kept, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
+        F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).cast("int").alias("side"),
+    )
+
+
+def _connect(threshold: float):
+    """Pandas function over one pair of blocks of a bucket: similar texts of different parts, enough to connect them.
+
+    Pairs that an earlier band puts into one bucket are left to that one.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.arange(len(rows))
+        side, band = rows["side"].to_numpy(), int(rows["band"].iloc[0])
+        keys, root = rows["key"].tolist(), pd.factorize(rows["part"])[0]
+        earlier = np.stack([np.asarray(b, np.int64) for b in rows["bands"]])[:, :band]
+        grams = [np.sort(np.asarray(g, np.int64)) for g in rows["grams"]]
+        sizes = np.array([len(g) for g in grams])
+        links = []
+        for i in at[side != 1]:
+            own, n = grams[i], sizes[i]
+            other = (side != 0) & (root != root[i]) & ((side != 2) | (at > i))
+            other &= np.minimum(sizes, n) >= threshold * np.maximum(sizes, n) - 1e-9
+            other &= ~(earlier == earlier[i]).any(axis=1)
+            found = np.flatnonzero(other)
+            if not len(found):
+                continue
+            flat = np.concatenate([grams[j] for j in found])
+            hit = own[np.minimum(np.searchsorted(own, flat), n - 1)] == flat
+            same = np.add.reduceat(hit, np.cumsum(sizes[found]) - sizes[found], dtype=np.int64)
+            for j in found[same >= threshold * (n + sizes[found] - same) - 1e-9]:
+                if root[i] != root[j]:
+                    links.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
 def classes(
     docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -184,8 +238,10 @@ def classes(
     # What the heads have connected needs no comparison. In each bucket the rest is compared.
     joined = stage(components(alike, "join-groups"), "join-groups").withColumnRenamed("group", "part")
     member = bucketed.join(joined, bucketed["key"] == joined["node"], "left").withColumn("part", F.coalesce("part", "key")).drop("node")
-    split = member.groupBy("band", "hash").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", "hash")
-    apart = stage(member.join(split, ["band", "hash"], "left_semi"), "join-apart")
+    split = member.groupBy("band", "hash").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q").select("band", "hash", "n")
+    apart = stage(member.join(split, ["band", "hash"]), "join-apart")
+    crowded = apart.where(F.col("n") > CROWD).select("band", "hash", "key", "part").join(sets, "key").join(texts.select("key", "bands"), "key")
+    apart = apart.where(F.col("n") <= CROWD)
     core = apart.where("key = head").select("band", "hash", F.col("part").alias("core"))
     apart = apart.join(core, ["band", "hash"])
     lone = apart.where("part != core").select("band", "hash", "core", *[F.col(c).alias(f"lone_{c}") for c in ("key", "size", "part")])
@@ -196,7 +252,10 @@ def classes(
         .where(_sizes_allow("size", "lone_size", threshold))
         .select(F.least("lone_key", "key").alias("a"), F.greatest("lone_key", "key").alias("b")).distinct()
     )
-    more = stage(_similar(pairs, sets, threshold), "join-more")
+    dense = _placed(crowded, ["band", "hash"], ["part", "bands"]).groupBy("band", "hash", "i", "j").applyInPandas(
+        _connect(threshold), "a binary, b binary"
+    )
+    more = stage(_similar(pairs, sets, threshold).union(dense), "join-more")
     links = joined.select(F.col("node").alias("a"), F.col("part").alias("b")).union(more)
     groups = components(links, "join-groups")
     grouped = texts.drop("bands", "size").join(groups.withColumnRenamed("node", "key"), "key", "left")
@@ -207,18 +266,7 @@ def classes(
 
 def link_counts(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``key``, ``links``: similar documents of other texts, for each text of a class of several."""
-    rows = texts.join(sets, "key").withColumn("grams_n", F.size("grams").cast("long"))
-    big = rows.groupBy("group").agg(F.sum("grams_n").alias("grams_all"), F.count("*").alias("texts")).where("texts > 1")
-    blocks = F.ceil(F.col("grams_all") / BLOCK_SHINGLES).cast("int")
-    cut = rows.join(big, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # A text of block i takes part in the pairs (i, j) with j >= i on the left and (j, i) with j < i on the right.
-    paired = cut.select(
-        "group", "key", "copies", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    )
-    placed = paired.select(
-        "group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "copies", "grams",
-        F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).cast("int").alias("side"),
-    )
+    placed = _placed(texts.join(sets, "key"), ["group"], ["copies"])
     counted = placed.groupBy("group", "i", "j").applyInPandas(_count_links(threshold), "key binary, links bigint")
     return counted.groupBy("key").agg(F.sum("links").alias("links"))
 
