@@ -26,6 +26,7 @@ from linkbook.operators.exposure import (
 )
 from linkbook.operators.limits import eligible_capital, exact_band, ratio
 from linkbook.operators.mitigation import ead, positions
+from linkbook.plans.joins import merged
 from linkbook.plans.staging import stage
 from linkbook.schema import SUM_MONEY
 
@@ -133,7 +134,7 @@ def shocked_positions(book: Book, shocks: Sequence[Shock]) -> DataFrame:
     factors = sorted({ONE, *(s.exposure_factor for s in shocks)})
     adds = sorted({0, *(s.haircut_add for s in shocks)})
     rows = positions(book, {_factor_name(f): scaled(f) for f in factors}, adds).join(
-        book.entities.select("entity_id", *ENTITY_TRAITS), "entity_id", "left"
+        merged(book.entities.select("entity_id", *ENTITY_TRAITS)), "entity_id", "left"
     )
     base_gross = f"gross_{_factor_name(ONE)}"
 
@@ -201,7 +202,7 @@ def _measured_loans(book: Book, shocks: Sequence[Shock]) -> DataFrame:
             F.col("entity_id").alias("borrower_entity_id"),
             *[F.col(c).alias(f"borrower_{c}") for c in selectors],
         )
-        loans = loans.join(traits, "borrower_entity_id", "left")
+        loans = loans.join(merged(traits), "borrower_entity_id", "left")
     amounts = [
         F.when(s.hits("borrower_"), scaled(s.exposure_factor)).otherwise(F.col(PRINCIPAL)).alias(m)
         for m, s in moving.items()
@@ -221,7 +222,7 @@ def rating_shares_by_scenario(book: Book, shocks: Sequence[Shock]) -> DataFrame:
     """``scenario, bucket, exposure, share`` of attributed exposure by shocked owner rating."""
     measured, measures = measured_book(book, shocks)
     traits = book.entities.select(F.col("entity_id").alias("owner"), *ENTITY_TRAITS)
-    owners = attributed_parts(measured, measures).join(traits, "owner", "left")
+    owners = attributed_parts(measured, measures).join(merged(traits), "owner", "left")
     rows = (
         owners.select(
             F.inline(
@@ -255,7 +256,7 @@ def bands_by_scenario(book: Book, shocks: Sequence[Shock]) -> DataFrame:
         *[connected_total(m).alias(m) for m in measures],
     )
     limits = book.active_limits.select("entity_id", "single_name_limit")
-    rows = limits.join(connected, "entity_id", "left").select(
+    rows = limits.join(merged(connected), "entity_id", "left").select(
         F.inline(
             F.array(
                 *[

@@ -3,7 +3,7 @@
 import pytest
 
 from linkbook.catalog.queries import book_of
-from linkbook.operators import contagion
+from linkbook.operators import contagion, scenarios
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +36,8 @@ def test_no_round_of_a_cascade_broadcasts(book, monkeypatch):
     assert len(rounds) >= 4
     for plan in rounds + plans["held"]:
         assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_scenarios_do_not_broadcast_the_names(book):
+    plan = plan_of(scenarios._measured_loans(book, scenarios.SCENARIOS))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
