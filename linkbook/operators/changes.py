@@ -24,7 +24,7 @@ from linkbook.operators.validation import (
     blank_records,
     keyed_records,
     record_id,
-    referenced_ids,
+    references,
 )
 from linkbook.operators.wrong_way import structural_wwr
 from linkbook.plans.staging import stage
@@ -87,33 +87,29 @@ def apply_creates(
     )
     # Only stored rows under a proposed key are checked again, and only referenced ids
     # are looked up, so a small batch costs a scan of the keys and no shuffle of the book.
+    # Each is found once and written; every record of the candidates is a proposed one.
     candidates = {}
     for t in TABLES:
         candidates[t] = proposed[t]
         if t in proposals:
-            keys = proposed[t].select(KEY[t]).distinct()
-            stored = _as_text(getattr(book, t), t).join(keys, KEY[t], "left_semi")
-            candidates[t] = stored.select(*COLUMNS[t]).unionByName(proposed[t])
-    entity_refs, loan_refs = referenced_ids(candidates)
-    entity_keys = _as_text(book.entities, "entities").unionByName(proposed["entities"])
-    loan_keys = _as_text(book.loans, "loans").unionByName(proposed["loans"])
-    known = {
-        "entities": entity_keys.select("entity_id").join(entity_refs, "entity_id", "left_semi"),
-        "loans": loan_keys.select("loan_id", "borrower_entity_id").join(
-            loan_refs, "loan_id", "left_semi"
-        ),
-    }
-    focus = reduce(
-        DataFrame.unionByName,
-        [
-            proposed[t].select(F.lit(t).alias("table"), record_id(t).alias("record_id"))
-            for t in proposals
-        ],
-    ).distinct()
+            stored = _as_text(getattr(book, t), t).join(proposed[t].select(KEY[t]), KEY[t], "left_semi")
+            candidates[t] = stage(stored.select(*COLUMNS[t]), "stored").unionByName(proposed[t])
+    named = stage(references(candidates).select("kind", "value").distinct(), "references")
+
+    def answered(table: str, kind: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """The entities or loans that references name, and the references that name none."""
+        values = named.filter(F.col("kind") == kind).select(F.col("value").alias(KEY[table]))
+        keys = _as_text(getattr(book, table), table).unionByName(proposed[table]).filter(record_id(table) != "")
+        known = stage(keys.select(KEY[table], *columns).join(values, KEY[table], "left_semi"), "known")
+        lost = values.join(known, KEY[table], "left_anti")
+        return known, lost.select(F.lit(kind).alias("kind"), F.col(KEY[table]).alias("value"))
+
+    _, no_entity = answered("entities", "entity")
+    loan_ids, no_loan = answered("loans", "loan", "borrower_entity_id")
     report = stage(
-        keyed_records(candidates, strict, known)
-        .join(focus, ["table", "record_id"], "left_semi")
-        .unionByName(blank_records(proposed)),
+        keyed_records(candidates, strict, loan_ids, no_entity.unionByName(no_loan)).unionByName(
+            blank_records(proposed)
+        ),
         "report",
     )
     good = accepted_rows(proposed, report)

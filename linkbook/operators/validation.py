@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkbook.plans.staging import stage
 from linkbook.schema import COUNTERPARTY_TYPES, KEY, LOAN_STATUSES, TABLES
 
 # Messages shown for broken rules.
@@ -94,22 +95,30 @@ ENTITY_CELLS = (
 LOAN_CELLS = (("guarantees", "beneficiary_loan_id"), ("collateral", "securing_loan_id"))
 
 
-def unknown_references(raw: Mapping[str, DataFrame], known: Mapping[str, DataFrame]) -> DataFrame:
-    """``kind, value``: what cells of ``raw`` name, and no entity or loan of ``known`` is.
+def references(raw: Mapping[str, DataFrame], ids: bool = False) -> DataFrame:
+    """``kind, value, is_id``: what cells of ``raw`` name, and with ``ids`` its entities and loans; one scan a table."""
+    cells = [(t, "entity", c, False) for t, c in ENTITY_CELLS] + [(t, "loan", c, False) for t, c in LOAN_CELLS]
+    if ids:
+        cells += [("entities", "entity", KEY["entities"], True), ("loans", "loan", KEY["loans"], True)]
+    parts = []
+    for table in dict.fromkeys(t for t, *_ in cells):
+        named = [
+            F.struct(F.lit(kind).alias("kind"), _text(column).alias("value"), F.lit(is_id).alias("is_id"))
+            for t, kind, column, is_id in cells
+            if t == table
+        ]
+        parts.append(raw[table].select(F.inline(F.array(*named))))
+    return reduce(DataFrame.unionByName, parts).filter(~(F.col("is_id") & (F.trim("value") == "")))
+
+
+def unknown_references(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """``kind, value``: what cells of ``raw`` name, and none of its entities or loans is.
 
     All references and all ids are one tagged table, grouped once; equal values meet before the
     exchange, so one that most rows share travels once a task.
     """
-
-    def tagged(df: DataFrame, kind: str, column: str, is_id: bool) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), _text(column).alias("value"), F.lit(is_id).alias("is_id"))
-
-    parts = [tagged(raw[t], "entity", c, False) for t, c in ENTITY_CELLS]
-    parts += [tagged(raw[t], "loan", c, False) for t, c in LOAN_CELLS]
-    for kind, table in (("entity", "entities"), ("loan", "loans")):
-        parts.append(tagged(known[table].filter(record_id(table) != ""), kind, KEY[table], True))
-    union = reduce(DataFrame.unionByName, parts)
-    return union.groupBy("kind", "value").agg(F.bool_or("is_id").alias("known")).filter(~F.col("known")).select("kind", "value")
+    grouped = references(raw, ids=True).groupBy("kind", "value").agg(F.bool_or("is_id").alias("known"))
+    return grouped.filter(~F.col("known")).select("kind", "value")
 
 
 def _look_up(rows: DataFrame, column: str, unknown: DataFrame, kind: str) -> DataFrame:
@@ -251,18 +260,19 @@ def _reduce(rows: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
 def keyed_records(
     raw: Mapping[str, DataFrame],
     strict: bool = True,
-    known: Mapping[str, DataFrame] | None = None,
+    loan_ids: DataFrame | None = None,
+    unknown: DataFrame | None = None,
 ) -> DataFrame:
     """``table, record_id, accepted, reasons`` of every record that has a key.
 
-    References are looked up among all candidates, rejected ones included, or in
-    ``known`` (entities and loans) when the candidates are only part of the data.
-    ``strict`` adds two documented rules: a non-blank sector and an existing entity
-    behind every limit.
+    References are looked up among all candidates, rejected ones included. When the candidates are
+    only part of the data, ``unknown`` has the references that nothing answers (``kind, value``) and
+    ``loan_ids`` the loans they name. ``strict`` adds two documented rules: a non-blank sector and an
+    existing entity behind every limit.
     """
-    known = known or raw
-    unknown = unknown_references(raw, known)
-    loan_ids = known["loans"].filter(record_id("loans") != "")
+    # Written first: where few references are unknown, no table is shuffled to look them up.
+    unknown = stage(unknown_references(raw) if unknown is None else unknown, "unknown")
+    loan_ids = (raw["loans"] if loan_ids is None else loan_ids).filter(record_id("loans") != "")
     checked = [
         ("entities", *_entities(raw, strict)),
         ("loans", *_loans(raw, unknown)),
@@ -275,17 +285,6 @@ def keyed_records(
     ).select("table", "record_id", (F.size("reasons") == 0).alias("accepted"), "reasons")
 
 
-def referenced_ids(raw: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Distinct ``entity_id`` and ``loan_id`` the candidate rows point at."""
-
-    def ids(name: str, cells: Sequence[tuple[str, str]]) -> DataFrame:
-        return reduce(
-            DataFrame.unionByName, [raw[t].select(_text(c).alias(name)) for t, c in cells]
-        ).distinct()
-
-    return ids("entity_id", ENTITY_CELLS), ids("loan_id", LOAN_CELLS)
-
-
 def blank_records(raw: Mapping[str, DataFrame]) -> DataFrame:
     """One rejected record per row without a key."""
     return reduce(

@@ -41,3 +41,21 @@ def test_no_round_of_a_cascade_broadcasts(book, monkeypatch):
 def test_scenarios_do_not_broadcast_the_names(book):
     plan = plan_of(scenarios._measured_loans(book, scenarios.SCENARIOS))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_what_a_batch_names_is_found_once(spark, book, monkeypatch):
+    """The report re-reads what proposals meet in the book and name in it; rows are not shuffled to look that up."""
+    from linkbook.catalog.queries import proposals
+    from linkbook.operators import changes
+
+    plans, stage = {}, changes.stage
+
+    def staged(df, label):
+        plans.setdefault(label, []).append(plan_of(df))
+        return stage(df, label)
+
+    monkeypatch.setattr(changes, "stage", staged)
+    changes.apply_creates(book, proposals(book))
+    (report,) = plans["report"]
+    assert "LeftSemi" not in report and "LeftAnti" not in report
+    assert [len(plans[k]) for k in ("stored", "references", "known")] == [2, 1, 2]

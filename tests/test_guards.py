@@ -294,3 +294,20 @@ def test_dashboard_builds_the_asked_parts_only(stressed, monkeypatch):
         monkeypatch.setattr(dashboard.C, name, lambda book: pytest.fail("not asked for"))
     part = dashboard.dashboard(stressed, parts=("exposures",))
     assert set(part) == {"exposures"} and sorted(part["exposures"].collect()) == sorted(whole["exposures"].collect())
+
+
+def test_creates_beside_stored_rows_with_blank_and_repeated_ids(spark, stress):
+    """References to proposed and stored rows, to a blank id and to nothing; a key with two contents; a row without key."""
+    loans = "loan_id string, lender_entity_id string, borrower_entity_id string, exposure_amount string, currency string"
+    proposals = {
+        "entities": spark.createDataFrame(
+            [("NEW", "n", "bank", "energy"), (" ", "blank", "bank", "energy")], "entity_id string, entity_name string, counterparty_type string, sector string"),
+        "loans": spark.createDataFrame(
+            [("A", "LE-0099", "NEW", "5", "SGD"), ("B", "LE-0099", " ", "5", "SGD"), ("C", "LE-0099", None, "5", "SGD"),
+             ("D", "LE-0099", "NEW", "5", "SGD"), ("D", "LE-0099", "NEW", "6", "SGD"), (None, "LE-0099", "NEW", "5", "SGD")], loans),
+    }
+    _, report = changes.apply_creates(stress, proposals)
+    got = {(r["table"], r.record_id): r.reasons for r in report.collect()}
+    assert got == {
+        ("entities", "NEW"): [], ("entities", "(blank)"): [validation.MISSING_ID], ("loans", "(blank)"): [validation.MISSING_ID],
+        ("loans", "A"): [], ("loans", "B"): [validation.BORROWER], ("loans", "C"): [validation.BORROWER], ("loans", "D"): [validation.PRINCIPAL]}
