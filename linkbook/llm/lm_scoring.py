@@ -31,6 +31,8 @@ DISCOUNT = 0.75
 PRIOR = 0.1
 # Tokens a task sums up at once.
 CHUNK_TOKENS = 6_000_000
+# Tokens whose rarer n-grams a task holds at once: about 130 bytes each while they are counted.
+REST_TOKENS = 1_000_000
 END = np.uint64(0x5E2D58D8B3BCDEF1)  # stands for the end of a text
 _WORD = 21  # bits of a word's number in an n-gram's key
 
@@ -199,7 +201,7 @@ def _count_rest(table: Table, often: tuple[np.ndarray, np.ndarray]):
         for batch in batches:
             for _, _, hashes, first in _tokens(batch.column("text")):
                 held.append(_names(table, hashes, first))
-                if sum(map(len, held)) >= CHUNK_TOKENS // 2:
+                if sum(map(len, held)) >= REST_TOKENS:
                     yield from sums()
         if held:
             yield from sums()
@@ -453,7 +455,9 @@ def _model(counts: DataFrame, learnt: DataFrame, exact: DataFrame, table: Table,
     So an n-gram's share in a text's score is the same wherever it stands.
     """
     schema = "u bigint, v bigint, w bigint, n bigint"
-    rest = learnt.mapInArrow(_count_rest(table, often), schema).groupBy("u", "v", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    # Chunks are summed up already and most n-grams stand once: another sum before the exchange would only spill.
+    dealt = learnt.mapInArrow(_count_rest(table, often), schema).repartition("u", "v", "w")
+    rest = dealt.groupBy("u", "v", "w").agg(F.sum("n").alias("n")).where("n > 1")
     named = exact.mapInArrow(_named_grams(table), schema)
     grams = stage(named.withColumn("often", F.lit(True)).unionByName(rest.withColumn("often", F.lit(False))), "lm-model")
     start = counts.sparkSession.range(1).select(F.lit(len(table.hashes)).cast("long").alias("id"), F.lit(None).cast("long").alias("word"), F.lit(documents).cast("long").alias("n"))

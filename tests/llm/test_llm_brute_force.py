@@ -341,3 +341,30 @@ def test_long_lines_may_differ_by_a_tenth(spark):
     pair = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     texts = spark.createDataFrame(rows, "id long, norm string")
     assert [tuple(r) for r in line_dedup._alike(pair, texts).collect()] == [(1, 2)]
+
+
+def test_rare_ngrams_are_counted_in_small_chunks(monkeypatch):
+    """A task holds few tokens at once, and chunks add up to the same counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from linkbook.llm import lm_scoring
+
+    none = np.zeros(0, np.int64)
+    table = lm_scoring.Table(none.astype(np.uint64), none, none, 0, 0)
+    texts = [" ".join(f"w{(i * k) % 7}" for i in range(60)) for k in range(1, 9)]
+    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for t in texts]
+
+    def counts(most):
+        monkeypatch.setattr(lm_scoring, "REST_TOKENS", most)
+        chunks = list(lm_scoring._count_rest(table, (none, none))(iter(batches)))
+        total = {}
+        for chunk in chunks:
+            for row in chunk.to_pylist():
+                key = (row["u"], row["v"], row["w"])
+                total[key] = total.get(key, 0) + row["n"]
+        return len(chunks), total
+
+    few, whole = counts(10_000)
+    many, parts = counts(50)
+    assert (few, many) == (2, 2 * len(texts)) and parts == whole and sum(whole.values()) > 900
