@@ -7,6 +7,7 @@ connected group stays. Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -25,6 +26,8 @@ FAR = 12
 # Lines are alike if their edit distance is at most this share of the longer one.
 MAX_EDIT_SHARE = 0.1
 FEATURE_LETTERS = 4
+# Letters of the pieces that two lines are compared by before they are compared as a whole.
+PIECES = (64, 256, 1024, 4096, 16384)
 BROADCAST_BYTES = 32 << 20
 HEADS = 2
 
@@ -67,7 +70,9 @@ def _wordings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id``, ``norm`` of the lines whose unchanged text has a hash of ``wanted`` (``raw``, ``id``, ``k1``, ``k2``)."""
     line = rows.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     found = line.withColumn("raw", F.xxhash64("line")).join(wanted, "raw")
-    spelled = found.withColumn("norm", F.array_join(normalised(F.col("line")), " "))
+    # One of equal lines is normalised. Two lines of one hash stay apart by another one.
+    once = found.groupBy("id", "k1", "k2", F.xxhash64("line", F.lit("second"))).agg(F.first("line").alias("line"))
+    spelled = once.withColumn("norm", F.array_join(normalised(F.col("line")), " "))
     exact = spelled.where((F.xxhash64("norm") == F.col("k1")) & (F.xxhash64("norm", F.lit("second")) == F.col("k2")))
     return exact.dropDuplicates(["id"]).select("id", "norm")
 
@@ -83,13 +88,13 @@ def _fingerprinted(lines: DataFrame) -> DataFrame:
     lanes = (1 << 2 * LANE) | (1 << LANE) | 1
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lanes))).alias(f"s{j}") for j in range(LANE)]
     counted = each.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
-    low = (1 << LANE) - 1
+    # Added to a counter, this sets its top bit if more than half of the words count; the three of a long at once.
+    counted = counted.withColumn("more", (F.lit((1 << (LANE - 1)) - 1) - F.shiftright("n", 1)) * F.lit(lanes))
     sim = F.lit(0).cast("long")
     for j in range(LANE):
-        for k in range(3):
-            many = F.shiftright(f"s{j}", LANE * k).bitwiseAND(F.lit(low)) * 2 > F.col("n")
-            sim = sim.bitwiseOR(F.when(many, F.lit(1 << (j + LANE * k)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, "n", sim.alias("sim"))
+        many = F.shiftrightunsigned(F.col(f"s{j}") + F.col("more"), LANE - 1).bitwiseAND(F.lit(lanes))
+        sim = sim.bitwiseOR(F.shiftleft(many, j))
+    return counted.select(*keys, "n", F.coalesce(sim, F.lit(0).cast("long")).alias("sim"))
 
 
 def _may_be_alike(sim: str, other_sim: str, size: str, other_size: str) -> Column:
@@ -102,13 +107,62 @@ def _most_edits(longest: Column) -> Column:
     return F.floor(longest * MAX_EDIT_SHARE).cast("int")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(pair: Column, end: bool) -> Column:
+    """A pair of texts ``a``, ``b`` without the beginning or end that they share, which takes no edits."""
+    steps = F.array(*[F.lit(1 << i) for i in range(16, -1, -1)])
+
+    def longest(sizes: Column) -> Column:
+        def grow(n: Column, step: Column) -> Column:
+            a, b = (F.substr(pair[k], sizes[k] - n - step + 1 if end else n + 1, step) for k in "ab")
+            return F.when((n + step <= F.least(sizes["a"], sizes["b"])) & (a == b), n + step).otherwise(n)
+
+        return F.aggregate(steps, F.lit(0), grow)
+
+    def rest(n: Column) -> Column:
+        return F.struct(*[F.substr(pair[k], F.lit(1) if end else n + 1, F.length(pair[k]) - n).alias(k) for k in "ab"])
+
+    return _let(_let(F.struct(*[F.length(pair[k]).alias(k) for k in "ab"]), longest), rest)
+
+
+def _within(pair: Column, most: Column) -> Column:
+    """Whether ``most`` edits make the texts of a pair equal.
+
+    The distance takes time with the square of the length. That of the pieces at equal places, all
+    together, is never less, and settles most pairs that are alike; longer pieces bear longer shifts.
+    """
+
+    def pieces(size: Column, piece: int) -> Column:
+        def edits(sum_: Column, at: Column) -> Column:
+            a, b = (F.substr(pair[k], at, F.lit(piece)) for k in "ab")
+            # Beyond half of its letters (-1) a piece counts in full.
+            own = F.pmod(F.call_function("levenshtein", a, b, F.lit(piece // 2)), F.lit(piece + 1))
+            return sum_ + F.when(a == b, 0).otherwise(own)
+
+        return F.aggregate(F.sequence(F.lit(1), size, F.lit(piece)), F.lit(0), edits)
+
+    def decided(size: Column) -> Column:
+        found = F.call_function("levenshtein", pair["a"], pair["b"], most) >= 0
+        for piece in reversed(PIECES):
+            found = F.when((size > 2 * piece) & (pieces(size, piece) <= most), True).otherwise(found)
+        return found
+
+    return _let(F.greatest(*[F.length(pair[k]) for k in "ab"]), decided)
+
+
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose wordings are alike."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b"
     )
-    within = joined.withColumn("most", _most_edits(F.greatest(F.length("ta"), F.length("tb"))))
-    return within.where("levenshtein(ta, tb, most) >= 0").select("a", "b")
+    most = _most_edits(F.greatest(F.length("ta"), F.length("tb")))
+    whole = F.struct(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    cut = _let(_cut(whole, end=False), lambda pair: _cut(pair, end=True))
+    return joined.where(_let(cut, lambda pair: _within(pair, most))).select("a", "b")
 
 
 def _similar_lines(distinct: DataFrame, rows: DataFrame, n_lines: int) -> DataFrame:
@@ -157,23 +211,21 @@ def _similar_lines(distinct: DataFrame, rows: DataFrame, n_lines: int) -> DataFr
 def _removed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): every line with words, as row and ``at``; the ones to remove."""
     lines = stage(_fingerprinted(_lines(rows)), "lines")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "at")
     distinct = stage(
         lines.where("n > 0").groupBy("k1", "k2").agg(
-            F.count("*").alias("times"), F.first("sim").alias("sim"), F.first("len").alias("len"), F.first("raw").alias("raw"), F.min(place).alias("first")
+            F.count("*").alias("times"), F.first("sim").alias("sim"), F.first("len").alias("len"), F.first("raw").alias("raw")
         ).withColumn("id", F.monotonically_increasing_id()),
         "lines-distinct",
     )
     links = _similar_lines(distinct, rows, distinct.count())
     groups = stage(components(links, "lines-groups"), "lines-groups")
-    grouped = distinct.select("id", "k1", "k2", "first", "times").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    repeated = stage(grouped.where("times > 1 or group is not null").withColumn("group", F.coalesce("group", "id")), "lines-repeated")
-    stays = repeated.groupBy("group").agg(F.min("first").alias("stays"))
-    facts = repeated.join(stays, "group").select("k1", "k2", F.col("stays.row").alias("stay_row"), F.col("stays.at").alias("stay_at"))
-    removed = (
-        lines.where("n > 0").join(facts, ["k1", "k2"])
-        .where((F.col("row") != F.col("stay_row")) | (F.col("at") != F.col("stay_at"))).select("row", "at")
-    )
+    grouped = distinct.select("id", "k1", "k2", "times").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    repeated = grouped.where("times > 1 or group is not null").select("k1", "k2", F.coalesce("group", "id").alias("group"))
+    # Only lines that stand more than once are ordered.
+    members = stage(lines.where("n > 0").join(repeated, ["k1", "k2"]).select("group", "doc_id", "row", "at"), "lines-repeated")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "at")
+    stays = members.groupBy("group").agg(F.min(place).alias("stays")).select("group", F.col("stays.row").alias("stay_row"), F.col("stays.at").alias("stay_at"))
+    removed = members.join(stays, "group").where((F.col("row") != F.col("stay_row")) | (F.col("at") != F.col("stay_at"))).select("row", "at")
     return lines, removed
 
 
